@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegrid.llm import near_dedup
-from lodegrid.llm import sql
+from lodegrid.llm import bpe, near_dedup, sql, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_encode_decode": bpe.query,
     "op8_minhash_near_dedup": near_dedup.query,
+    "op9_token_orc": token_orc.query,
 }
 
 ORACLE: dict[str, str] = {

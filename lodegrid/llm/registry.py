@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegrid.llm import bpe, near_dedup, sql, token_orc
+from lodegrid.llm import bpe, near_dedup, quality_rules, sql, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.query,
     "op5_bpe_encode_decode": bpe.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_token_orc": token_orc.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY_RULES,
     "op8_minhash_near_dedup": sql.NEAR_DUPLICATES,
 }

@@ -31,3 +31,60 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.component, d
   d.doc_id = coalesce(c.component, d.doc_id) AS kept
 FROM sets d LEFT JOIN uniq u ON list_sort(d.s) = u.s LEFT JOIN comp c ON c.rep = u.rep
 """
+
+
+def _fence(prefix: str, measure: str, slack: int) -> str:
+    return f"max(CASE WHEN measure = '{measure}' THEN q75 + 3 * (q75 - q25) + {slack} END) AS {prefix}{measure}"
+
+
+def _level(keys: str, prefix: str) -> str:
+    by = f"{keys}, measure" if keys else "measure"
+    fences = ", ".join(_fence(prefix, m, s) for m, s in {"symbols": 50, "lines": 400, "repeats": 250, "length": 1500}.items())
+    return f"""
+  SELECT {keys}{',' if keys else ''} max(total) AS {prefix}total, {fences} FROM (
+    SELECT {by}, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN cell END) AS q25,
+      min(CASE WHEN 4 * upto >= 3 * total THEN cell END) AS q75
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+          FROM (SELECT {by}, cell, count(*) AS n FROM cells GROUP BY {by}, cell))
+    GROUP BY {by}) {f'GROUP BY {keys}' if keys else ''}"""
+
+
+_FENCES = " AND ".join(f"{m} <= CASE WHEN total >= 50 THEN o.{m}_ WHEN l_total >= 50 THEN l_{m} ELSE a_{m} END" for m in ("symbols", "lines", "repeats", "length"))
+
+QUALITY_RULES = rf"""
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM raw WHERE len(w) > 2)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(DISTINCT line) AS u FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM raw)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), stats AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n - l.u, 0) AS n_dup_lines,
+    coalesce(p.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+  FROM raw LEFT JOIN repeats p USING (r) LEFT JOIN lines l USING (r)
+), measured AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS lines,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+    CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS length FROM stats
+), cells AS (
+  SELECT lang, source, measure, (v >> s) << s AS cell FROM (
+    SELECT *, CAST(greatest(length(bin(v)) - 5, 0) AS BIGINT) AS s FROM (
+      SELECT lang, source, unnest(['symbols', 'lines', 'repeats', 'length']) AS measure, unnest([symbols, lines, repeats, length]) AS v
+      FROM measured WHERE NOT base_failed))
+), own AS ({_level("lang, source", "").replace(" AS symbols", " AS symbols_").replace(" AS lines", " AS lines_").replace(" AS repeats", " AS repeats_").replace(" AS length", " AS length_")}
+), by_lang AS ({_level("lang", "l_")}
+), every AS ({_level("", "a_")}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({_FENCES}, true) AS kept
+FROM measured m LEFT JOIN own o USING (lang, source) LEFT JOIN by_lang USING (lang) CROSS JOIN every
+"""

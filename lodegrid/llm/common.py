@@ -48,9 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+
+
+def kind(name: str) -> T.DataType:
+    return T.ArrayType(kind(name[6:-1])) if name.startswith("array<") else _TYPES[name]
+
+
 def fields(*columns: str) -> T.StructType:
-    """A schema from "name type" strings, so that column names may hold any character but a space."""
-    return T.StructType([T.StructField(c.rpartition(" ")[0], T._parse_datatype_string(c.rpartition(" ")[2])) for c in columns])
+    """A schema from "name type" strings, without a session."""
+    return T.StructType([T.StructField(c.rpartition(" ")[0], kind(c.rpartition(" ")[2])) for c in columns])
 
 
 def cut(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -66,13 +73,13 @@ def cut(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterato
     yield from cut(batch.slice(half), column, limit)
 
 
-def with_text(df: DataFrame, text: str, f: Callable[[list], list[pa.Array]], *new: str) -> DataFrame:
-    """Add the columns ``new`` ("name type"), which ``f`` makes from a list of texts (str or None).
+def with_text(df: DataFrame, text: str, f: Callable[[list], list[pa.Array]], *new: str | T.StructField) -> DataFrame:
+    """Add the columns ``new`` ("name type", or fields), which ``f`` makes from a list of texts (str or None).
 
     All input columns are kept in place. New names must differ from the input's (callers pick
     private names), so clashing user columns never mix with them.
     """
-    add = fields(*new)
+    add = T.StructType([n if isinstance(n, T.StructField) else fields(n)[0] for n in new])
     schema = T.StructType([*df.schema.fields, *add.fields])
     at = df.columns.index(text)
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegrid.llm import bpe, near_dedup, quality_rules, sql, token_orc
+from lodegrid.llm import bpe, html_text, mpeg_audio, near_dedup, quality_rules, sql, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
+    "op3_html_main_text": html_text.query,
     "op5_bpe_encode_decode": bpe.query,
+    "op6_mpeg_audio": mpeg_audio.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_token_orc": token_orc.query,
 }

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegrid.llm import bpe, html_text, mpeg_audio, near_dedup, quality_rules, sql, token_orc
+from lodegrid.llm import bpe, html_text, license_scan, mpeg_audio, near_dedup, quality_rules, sql, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
+    "op2_license_scan": license_scan.query,
     "op3_html_main_text": html_text.query,
     "op5_bpe_encode_decode": bpe.query,
     "op6_mpeg_audio": mpeg_audio.query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op2_license_scan": sql.LICENSES,
     "op8_minhash_near_dedup": sql.NEAR_DUPLICATES,
 }

@@ -88,3 +88,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
   NOT base_failed AND coalesce({_FENCES}, true) AS kept
 FROM measured m LEFT JOIN own o USING (lang, source) LEFT JOIN by_lang USING (lang) CROSS JOIN every
 """
+
+
+def _license_scan() -> str:
+    from lodegrid.llm.license_scan import COVER, NEAR, PHRASES, STRETCH, TEMPLATES
+
+    rows = [(label, text, True) for text, label in PHRASES.items()] + [(label, text, False) for label, text in TEMPLATES]
+    values = ", ".join(f"({i}, '{a}', '{t}', {b})" for i, (a, t, b) in enumerate(rows))
+    return rf"""
+WITH templates AS (
+  SELECT id, label, base, string_split(text, ' ') AS w FROM (VALUES {values}) AS v(id, label, text, base)
+), tgrams AS (
+  SELECT id, label, base, len(w) AS length, greatest(len(w) - 2, 1) AS windows, i - 1 AS t, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM templates)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT r, i - 1 AS p, array_to_string(w[i:i + 1], ' ') AS g2, array_to_string(w[i:i + 2], ' ') AS g3, len(w) - i + 1 AS rest
+  FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM docs)
+), hits AS (
+  SELECT r, p, t.* FROM grams JOIN tgrams t ON g3 = t.g AND t.length > 2 AND rest > 2
+  UNION ALL SELECT r, p, t.* FROM grams JOIN tgrams t ON g2 = t.g AND t.length = 2 AND rest > 1
+), votes AS (
+  SELECT r, id, label, base, windows, length, p - t AS diagonal, list_distinct(list(t)) AS ts, max(p) AS last FROM hits GROUP BY ALL
+), places AS (
+  SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list_sort(list_distinct(list(label))) AS labels
+  FROM votes WHERE base AND len(ts) = windows GROUP BY r
+), merged AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR diagonal - before > {NEAR} THEN 1 ELSE 0 END) OVER (PARTITION BY r, id ORDER BY diagonal) AS cluster
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) AS before FROM votes WHERE NOT base)
+), spans AS (
+  SELECT r, label, length, min(diagonal + list_min(ts)) AS s, max(last) + 3 AS e,
+    round(len(list_distinct(flatten(list_transform(list_distinct(flatten(list(ts))), lambda x: [x, x + 1, x + 2])))) / CAST(length AS DOUBLE), 6) AS coverage
+  FROM merged GROUP BY r, id, label, length, cluster
+), verified AS (
+  SELECT r, list_sort(list_distinct(list(label))) AS labels, max(coverage) AS best FROM spans WHERE coverage >= {COVER} AND e - s <= {STRETCH} * length GROUP BY r
+)
+SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, array_to_string(coalesce(p.labels, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(v.labels, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
+FROM docs d LEFT JOIN places p USING (r) LEFT JOIN verified v USING (r)
+"""
+
+
+LICENSES = _license_scan()

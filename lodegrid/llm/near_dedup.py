@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(placed.join(shared, "bucket"), "members")
     stars = members.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     plausible = written(_plausible_pairs(stars, reps, tests), "plausible")
-    block = written(components(plausible), "blocks").select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    block = components(plausible).select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
 
     # buckets of three and more that are not one block yet: compare across blocks, in tiles
     known = members.where("size > 2").join(block, "doc_id", "left").withColumn("block", F.coalesce("block", "doc_id"))
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = written(known.groupBy("bucket").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least != most").select("bucket"), "split")
     apart = known.join(split, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
     more = written(_tile_edges(_tiles(apart, "bucket", "size"), tests), "more")
-    block = written(components(plausible.unionByName(more)), "blocks").select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    block = components(plausible.unionByName(more)).select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
 
     # exact verification within blocks: first each chunk in itself
     sizes = written(block.groupBy("block").agg(F.count("*").alias("size")), "sizes")
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # blocks of several chunks: what is not in the block's largest component, against all of it
     large = whole.where(F.col("size") > TILE)
-    got = written(components(links), "got").select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    got = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
     large = large.join(got, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     large = written(large.select("block", "size", "i", "doc_id", "label", "sig", "text"), "large")
     counts = large.groupBy("block", "label").agg(F.count("*").alias("n"))

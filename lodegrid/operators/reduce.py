@@ -157,16 +157,9 @@ def day_of_year_window(
     [0, 1] first, and back afterwards with ``rescale``. The samples' days are spread over the days they
     count for, a fixed number, and meet by an equi-join."""
     others = [d for d in c.dims if d != time]
-    day = F.least(F.dayofyear(time), F.lit(365)).cast("long")
-    half = window // 2
-    df = c.df
-    if scale_float:
-        df = df.select(*c.dims, *(scaled(F.col(o), *scale_float).alias(o) for o in c.outputs))
-    wanted = c.df.select(F.dayofyear(time).cast("long").alias(time)).distinct().withColumn("__day", F.least(time, F.lit(365)).cast("long"))
-    spread = df.withColumn("__to", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("__day", F.pmod(day - 1 + F.col("__to"), F.lit(365)) + 1)
-    met = spread.drop(time, "__to").join(F.broadcast(wanted), "__day")  # 366 rows at most
+    met = day_of_year_samples(c, window, time, scale_float)
     if callable(fn):
-        out = _custom_groups(c.with_df(met.drop("__day")), fn, [*others, time])
+        out = _custom_groups(c.with_df(met), fn, [*others, time])
     else:
         f = aggregate(fn)
         out = c.with_df(met.groupBy(*others, time).agg(*(f(F.col(o)).alias(o) for o in c.outputs)), dims=[*others, time])
@@ -176,6 +169,18 @@ def day_of_year_window(
     return out
 
 
+def day_of_year_samples(c: Coverage, window: int, time: str, scale_float: tuple[float, float] | None) -> DataFrame:
+    """Each sample once for every day of year (``time``) whose window it lies in."""
+    day = F.least(F.dayofyear(time), F.lit(365)).cast("long")
+    half = window // 2
+    df = c.df
+    if scale_float:
+        df = df.select(*c.dims, *(scaled(F.col(o), *scale_float).alias(o) for o in c.outputs))
+    wanted = c.df.select(F.dayofyear(time).cast("long").alias(time)).distinct().withColumn("__day", F.least(time, F.lit(365)).cast("long"))
+    spread = df.withColumn("__to", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("__day", F.pmod(day - 1 + F.col("__to"), F.lit(365)) + 1)
+    return spread.drop(time, "__to").join(F.broadcast(wanted), "__day").drop("__day")  # 366 rows at most
+
+
 def group_frame(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Coverage:
     """Cells from an event table: mean of each value by key."""
     return Coverage(df.groupBy(*keys).agg(*(F.avg(v).alias(n) for n, v in values.items())), tuple(keys), tuple(values))

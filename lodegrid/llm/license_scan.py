@@ -4,7 +4,8 @@ Every rolling 3-word window of a text is hashed and joined with the windows of t
 fixed table of a few hundred windows, broadcast). A hit at text word p and template word t votes for
 the diagonal p - t, where the template would start. Votes are added up for each text, template and
 diagonal; diagonals within ``NEAR`` words of each other (words put in or left out) merge into one span;
-a span counts when its words, compared as words and not as hashes, cover enough of the template.
+a span counts when its words, compared as words and not as hashes, cover enough of the template, and
+where spans of several templates overlap the words go to the one that is covered best.
 
 Phrases (the base) count only where all their words stand consecutively: a diagonal that has every
 window of the phrase. Templates of two words have one window of two words; a text window that begins
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm.common import table, written
 
-K, NEAR, COVER, STRETCH = 3, 4, 0.6, 1.5
+K, NEAR, COVER, STRETCH = 3, 4, 0.85, 1.5
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -123,7 +124,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the template words that the windows of a span cover
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (K - 1))))))
     spans = spans.withColumn("coverage", F.round(covered / F.col("length"), 6)).where((F.col("coverage") >= COVER) & (F.col("end") - F.col("start") <= STRETCH * F.col("length")))
-    spans = spans.select("doc_id", "digest", "label", "template", F.col("start").cast("long"), F.col("end").cast("long"), "coverage")
+    # where spans overlap the better covered one takes the words; a span stands if half of its words are its own
+    each_word = spans.withColumn("word", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    best = F.max("coverage").over(Window.partitionBy("doc_id", "digest", "word"))
+    held = each_word.withColumn("own", (F.col("coverage") == best).cast("int"))
+    spans = held.groupBy("doc_id", "digest", "label", "template", "cluster", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "coverage").agg(F.avg("own").alias("own")).where("own >= 0.5").drop("own", "cluster")
     by_text = spans.groupBy("doc_id", "digest").agg(F.collect_set("label").alias("span_set"), F.max("coverage").alias("best"))
 
     own = found.where("template = -1").select("doc_id", "digest", F.col("n").cast("long").alias("n_words"))

@@ -118,11 +118,15 @@ WITH templates AS (
   SELECT *, sum(CASE WHEN before IS NULL OR diagonal - before > {NEAR} THEN 1 ELSE 0 END) OVER (PARTITION BY r, id ORDER BY diagonal) AS cluster
   FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) AS before FROM votes WHERE NOT base)
 ), spans AS (
-  SELECT r, label, length, min(diagonal + list_min(ts)) AS s, max(last) + 3 AS e,
+  SELECT r, id, label, cluster, length, min(diagonal + list_min(ts)) AS s, max(last) + 3 AS e,
     round(len(list_distinct(flatten(list_transform(list_distinct(flatten(list(ts))), lambda x: [x, x + 1, x + 2])))) / CAST(length AS DOUBLE), 6) AS coverage
   FROM merged GROUP BY r, id, label, length, cluster
+), held AS (
+  SELECT *, coverage = max(coverage) OVER (PARTITION BY r, word) AS own FROM (SELECT *, unnest(generate_series(s, e - 1)) AS word FROM spans WHERE coverage >= {COVER} AND e - s <= {STRETCH} * length)
+), standing AS (
+  SELECT r, label, coverage FROM held GROUP BY r, id, label, cluster, coverage HAVING avg(own::INT) >= 0.5
 ), verified AS (
-  SELECT r, list_sort(list_distinct(list(label))) AS labels, max(coverage) AS best FROM spans WHERE coverage >= {COVER} AND e - s <= {STRETCH} * length GROUP BY r
+  SELECT r, list_sort(list_distinct(list(label))) AS labels, max(coverage) AS best FROM standing GROUP BY r
 )
 SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
   CAST(last_word AS BIGINT) AS last_word, array_to_string(coalesce(p.labels, []), ',') AS base_labels,

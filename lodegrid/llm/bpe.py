@@ -76,8 +76,7 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.made = {out: (rank, pair) for pair, (rank, out) in self.merges.items()}
-        self.ends = np.zeros(max(self.tokens) + 1, bool)
-        self.ends[[*self.closing.values(), *self.added.values()]] = True
+        self.names = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
 
     def merged(self, body: bytes, closes: bool) -> list[int]:
         """Plain BPE of one word by its merge ranks; the trie asks it about single tokens only."""
@@ -185,24 +184,15 @@ class TrieEncoder:
 
 
 class LibraryEncoder:
-    """Encodes distinct words with the tokenizers library, many in one call."""
+    """Encodes distinct words with the tokenizers library's model."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
-        words = list(words)
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = np.array(self.v.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.v.ends[ids]) + 1  # each word closes with a word-end token
-            assert len(ends) == len(some)
-            start = 0
-            for w, e in zip(some, ends.tolist(), strict=True):
-                out[w] = ids[start:e].tobytes()
-                start = e
-        return out
+        tokenize, letters = self.v.library.model.tokenize, self.letters
+        return {w: np.array([t.id for t in tokenize(w if w.isalnum() and w.isascii() else w.encode("utf-8").decode("latin-1").translate(letters))], "<u4").tobytes() for w in words}
 
 
 class TextEncoder:
@@ -257,8 +247,11 @@ class TextEncoder:
         if len(self.chunks) > CACHE:
             self.chunks = {}
         new = wanted - self.chunks.keys()
-        parts = {c: [c] if c.isalpha() and c.isascii() else _WORD.findall(c) for c in new}
-        known = self.words.encode({w for p in parts.values() for w in p})
+        single = {c for c in new if c.isascii() and c.isalpha()}
+        parts = {c: _WORD.findall(c) for c in new - single}
+        known = self.words.encode(single.union(*parts.values()))
+        for c in single:
+            self.chunks[c] = known[c]
         for c, p in parts.items():
             self.chunks[c] = known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])
         get = self.chunks.__getitem__
@@ -307,8 +300,7 @@ def _clash(name: str) -> DataFrame:
 
 
 def _decoder(source: str) -> Callable[[list[np.ndarray]], list[str]]:
-    v = encoder(source, TrieEncoder).v
-    names = [v.tokens.get(i) for i in range(len(v.ends))]
+    names = encoder(source, TrieEncoder).v.names
 
     def decode(ids: list[np.ndarray | None]) -> list[str | None]:
         return [None if i is None else " ".join([t for t in map(names.__getitem__, i.tolist()) if t is not None]) for i in ids]

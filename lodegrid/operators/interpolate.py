@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.functions import timeunits as tu
-from lodegrid.plans.coordinates import Axis, UniformAxis
+from lodegrid.plans.coordinates import Axis, Stack, UniformAxis
 from lodegrid.plans.coverage import Coverage
 
 TIES = {"-infinity": lambda x: F.ceil(x - 0.5), "+infinity": lambda x: F.floor(x + 0.5), "unbiased": F.rint}
@@ -161,6 +161,55 @@ def nearest_points(source: Coverage, request: DataFrame, dims: list[str], cell:
     return source.with_df(out, dims=keep)
 
 
+#: Points that ``nearest_listed`` keeps in the plan.
+LISTED = 20_000
+
+
+def nearest_listed(source: Coverage, request: DataFrame, stack: Stack, scales: dict[str, float] | None = None, tolerance: float | None = None) -> Coverage:
+    """The nearest of a plan-time list of source points, over the dimensions that both have (scaled
+    Euclidean; times in seconds). Equal distances go to the point listed first. The points are literals
+    of the plan, so each request finds its point on its own and meets the source by an equi-join."""
+    dims = [a.name for a in stack.axes if a.name in request.columns]
+    if not dims:
+        raise ValueError("the request has none of the source's stacked dimensions")
+    if stack.size > LISTED:
+        raise ValueError(f"more than {LISTED} points: use nearest_points, which deals them into cells")
+    unit = {a.name: 1e6 if a.is_time else 1.0 for a in stack.axes}
+    values = lambda a: [tu.micros(v) / 1e6 if a.is_time else float(v) for v in a.coordinates]
+    lists = {a.name: F.lit(values(a)) for a in stack.axes if a.name in dims}
+    at = {d: number(F.col(d), request, d) / unit[d] for d in dims}
+
+    def gap(i: Column) -> Column:
+        return sum(F.pow((F.get(lists[d], i) - at[d]) * (scales or {}).get(d, 1.0), F.lit(2.0)) for d in dims)
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(stack.size - 1)), lambda i: F.struct(gap(i).alias("d"), i.alias("i"))))
+    keep = [c for c in request.columns if not c.startswith("__i_")]
+    hit = request.select(*keep, best.alias("__b"))
+    if tolerance is not None:
+        hit = hit.withColumn("__b", F.when(F.sqrt("__b.d") <= tolerance, F.col("__b")))
+    keys = {a.name: F.get(F.lit([tu.micros(v) if a.is_time else float(v) for v in a.coordinates]), F.col("__b.i")) for a in stack.axes}
+    hit = hit.select(*keep, *(k.alias(f"__k_{d}") for d, k in keys.items()))
+    exact = lambda d: F.unix_micros(d) if isinstance(source.df.schema[d].dataType, T.TimestampType) else F.col(d)
+    free = [d for d in source.dims if d not in keys and d not in keep]
+    src = source.df.select(*(exact(d).alias(f"__k_{d}") for d in keys), *(d for d in source.dims if d not in keys), *source.outputs)
+    joined = hit.join(src, [*(f"__k_{d}" for d in keys), *(d for d in source.dims if d not in keys and d in keep)], "left")
+    return source.with_df(joined.select(*keep, *free, *source.outputs), dims=[*keep, *free])
+
+
+def nearest_at_points(source: Coverage, request: DataFrame, axes: dict[str, UniformAxis], ties: str = "-infinity") -> Coverage:
+    """Points over a gridded source: an index for each dimension, and one equi-join on all of them."""
+    df, src = request, source.df
+    for d, axis in axes.items():
+        index = TIES[ties](axis_index(F.col(d), axis)).cast("long")
+        df = df.withColumn(f"__k_{d}", F.when((index >= 0) & (index < axis.size), index))
+        src = src.withColumn(f"__k_{d}", whole_index(F.col(d), axis))
+    keep = [c for c in request.columns if not c.startswith("__i_")]
+    others = [d for d in source.dims if d not in axes]
+    shared, free = [d for d in others if d in keep], [d for d in others if d not in keep]
+    out = df.join(src.drop(*axes), [*(f"__k_{d}" for d in axes), *shared], "left").select(*keep, *free, *source.outputs)
+    return source.with_df(out, dims=[*keep, *free])
+
+
 def linear(source: Coverage, request: DataFrame, dim: str, axis: UniformAxis, extrapolate: bool = False, first_pruned: int | None = None) -> Coverage:
     """Linear along one uniform dimension: both neighbours by index, and a weighted sum.
 

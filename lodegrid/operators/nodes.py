@@ -306,10 +306,17 @@ class Interpolate(Node):
         asked = request.coords
         if found and found[0].crs != asked.crs:
             asked = asked.transform(found[0].crs)
-        c = source.compile(request.at(asked))
+        inner = request.at(asked)
+        inner.neighbours = True
+        c = source.compile(inner)
+        stacked = [p for f in found for p in f.parts if isinstance(p, Stack) and set(p.dims) <= set(c.dims)]
+        if stacked:
+            wanted = [d for d in asked.udims if d in stacked[0].dims]
+            scales = {d: self._params().get(k) for d, k in (("lat", "spatial_scale"), ("lon", "spatial_scale"), ("time", "time_scale"), ("alt", "alt_scale")) if self._params().get(k)}
+            return interpolate.nearest_listed(c, request.at(asked).frame(wanted).select(*wanted), stacked[0], scales, self._params().get("spatial_tolerance"))
         for part in asked.parts:
-            if isinstance(part, Stack) and set(part.dims) & set(c.dims) and len(set(part.dims) & set(c.dims)) > 1:
-                return self._points(c, asked, part, found[0] if found else None)
+            if isinstance(part, Stack) and len(set(part.dims) & set(c.dims)) > 1:
+                return self._points(c, asked, part, found, request)
         own = {d: self._axis(c, d, found) for d in c.dims if d in asked.udims}
         for method, dims, params in self.steps(list(own)):
             c = self._step(c, method, dims, params, asked, own, request)
@@ -372,8 +379,25 @@ class Interpolate(Node):
         outs = [F.when(F.col("__x") == F.col("__n___x"), F.col(o)).otherwise(F.col(o) * (1 - w) + F.col(f"__n_{o}") * w).alias(o) for o in c.outputs]
         return c.with_df(df.select(*a.dims, *outs), dims=a.dims)
 
-    def _points(self, c: Coverage, asked: Coordinates, stack: Stack, own: Coordinates | None) -> Coverage:
-        raise NotImplementedError("stacked requests over stacked sources go through lodegrid.operators.interpolate.nearest_points")
+    def _params(self) -> dict:
+        given = self.attrs["interpolation"]
+        items = given if isinstance(given, list) else [given]
+        return {k: v for i in items if isinstance(i, dict) for k, v in i.get("params", {}).items()}
+
+    def _points(self, c: Coverage, asked: Coordinates, stack: Stack, found: list[Coordinates], request: Request) -> Coverage:
+        """A stack of requested points over a gridded source."""
+        axes = {d: self._axis(c, d, found) for d in stack.dims if d in c.dims}
+        if not all(a.uniform for a in axes.values()):
+            raise ValueError("points over a gridded source need uniform axes")
+        method = self.steps(list(axes))[0][0]
+        frame = request.at(asked).frame([stack.name])
+        if method in ("bilinear", "linear", "slinear") and len(axes) == 2:
+            return interpolate.bilinear(c, frame, *axes, *axes.values(), first=tuple(_first(a, stack_axis(stack, d)) for d, a in axes.items()))
+        return interpolate.nearest_at_points(c, frame, axes)
+
+
+def stack_axis(stack: Stack, d: str) -> Axis:
+    return next(a for a in stack.axes if a.name == d)
 
 
 def _first(axis: UniformAxis, asked: Axis) -> int:

@@ -66,6 +66,11 @@ class DataSource(Node):
                 if not kept.size:
                     return data.with_df(data.df.limit(0))
                 b = kept.bounds
+            elif own is not None and any(isinstance(p, Stack) and d in p.dims for p in own.parts):
+                if request.neighbours:
+                    continue
+                kept = own.axis(d).select(b, outer=True)
+                b = kept.bounds if kept.size else b
             bounds[d] = b
         return data.within(bounds)
 

@@ -56,6 +56,21 @@ def test_linear_outside_is_missing(spark):
     assert np.isnan(got[4]).all() and np.isnan(got[:, 4]).all() and np.isclose(got[0, 0], 2.4)
 
 
+def test_points(spark):
+    own = Coordinates([[[0, 2, 1], [10, 12, 11], ["2018-01-01", "2018-01-02", "2018-01-03"]]], dims=["lat_lon_time"])
+    node = Array(source=[0, 1, 2], coordinates=own).interpolate("nearest")
+    assert dense(node.eval(Coordinates([[0.5, 1.5], [10.5, 11.5]], dims=["lat", "lon"]), spark)).tolist() == [[0, 2], [2, 1]]
+    pairs = node.eval(Coordinates([[[0.5, 1.5], [10.5, 11.5]]], dims=["lat_lon"]), spark).df.collect()
+    assert {(r.lat, r.lon): r.value for r in pairs} == {(0.5, 10.5): 0, (1.5, 11.5): 1}
+    assert dense(node.eval(Coordinates([["2018-01-01"]], dims=["time"]), spark)).tolist() == [0]
+    grid = Array(source=np.arange(25.0).reshape(5, 5), coordinates=Coordinates.grid(lat=(0, 4, 5), lon=(0, 4, 5)))
+    ask = Coordinates.points(lat=[0.2, 3.5], lon=[3.9, 1.5])
+    got = {r.lat: r.value for r in grid.interpolate("nearest").eval(ask, spark).df.collect()}
+    assert got == {0.2: 4, 3.5: 16}
+    got = {r.lat: r.value for r in grid.interpolate("bilinear").eval(ask, spark).df.collect()}
+    assert np.isclose(got[0.2], 4.9) and np.isclose(got[3.5], 19)
+
+
 def test_ordered_fill_with_gaps(spark):
     a = np.ones((3, 3))
     a[0] = NAN

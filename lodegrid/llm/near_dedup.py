@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegrid.llm.common import by_group, components, cut, fields, free_name, table, written
@@ -331,13 +331,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), miss: float = 1e-7) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one of the smallest id.
 
-    All columns stay as they are. Rows with a null id stay. Rows that repeat an id are one document: the first by text stays.
+    All columns stay as they are. Rows with a null id stay. Rows that repeat an id are one document: the
+    one whose text sorts first stays. Texts move only if the dropped ids are too many to broadcast.
     """
     gone, key = free_name(docs, "dropped_id"), F.col(id_col).cast("long")
     found = near_duplicates(docs, id_col, text_col, width, threshold, miss)
     drop = written(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
     kept = docs.join(drop, key == F.col(gone), "left_anti")
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    again = written(docs.where(F.col(id_col).isNotNull()).groupBy(key.alias(gone)).agg(F.count("*").alias("n")).where("n > 1").select(gone), "repeated")
+    if again.isEmpty():
+        return kept
+    rank = free_name(docs, "rank")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    first = kept.join(again, key == F.col(gone), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(again, key == F.col(gone), "left_anti").unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

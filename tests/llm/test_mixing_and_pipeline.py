@@ -1,8 +1,13 @@
+import hashlib
 import math
 
+import duckdb
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from lodegrid.llm import mixing
+from lodegrid.llm import bpe, mixing, sql, toxicity
 from tests.llm.conftest import SF
+from tests.llm.test_near_dedup import brute
 
 
 def brute_tokens(text):
@@ -66,3 +71,30 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_against_plain_python(spark):
+    """The rows of run() by SQL, all pairs, plain loops and the library."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    good = {r[0] for r in con.execute(f"SELECT doc_id FROM ({sql.QUALITY_RULES}) WHERE kept").fetchall()}
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id in good]
+    model = toxicity.train(spark, SF)
+    docs = [r for r, s in zip(docs, model.score([r.text for r in docs]), strict=True) if s < 0.5]
+    first = {k for k, _, c in brute([(r.doc_id, r.text) for r in docs], 5, 80, 100) if k == c}
+    docs = [r for r in docs if r.doc_id in first]
+    own: dict[str, int] = {}
+    for r in docs:
+        own[r.source] = own.get(r.source, 0) + brute_tokens(r.text)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == first
+    weights = mixing.tempered(own, mixing.exponent(own))
+    total, longest = max(own[s] / w for s, w in weights.items()), max(brute_tokens(r.text) for r in docs)
+    text = {r.doc_id: r.text for r in docs}
+    for s, w in weights.items():
+        mixed = sum(brute_tokens(text[r.doc_id]) for r in got if r.source == s)
+        assert abs(mixed - total * w) <= longest + 1
+    library = Tokenizer.from_file(bpe.word_bpe())
+    for r in got:
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

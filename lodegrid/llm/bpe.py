@@ -14,8 +14,10 @@ whose size is bounded (it is a cache: chunks that it has lost are encoded again)
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from lodegrid.llm.common import free_name, table, with_text
 
 #: Chunks that a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Texts of these characters only are cut by the patterns below; the others go through the library's
 #: own normaliser and pre-tokeniser. Ranges in which both agree by the Unicode tables.
 _SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞]*")
@@ -183,16 +185,38 @@ class TrieEncoder:
         return out
 
 
-class LibraryEncoder:
-    """Encodes distinct words with the tokenizers library's model."""
+class LibraryEncoder(dict):
+    """Encodes distinct words with the tokenizers library's model; a table of words that it has seen."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
+        self.tokenize = vocabulary.library.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
+    def __missing__(self, word: str) -> bytes:
+        symbols = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = self[word] = array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
+        return ids
+
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
-        tokenize, letters = self.v.library.model.tokenize, self.letters
-        return {w: np.array([t.id for t in tokenize(w if w.isalnum() and w.isascii() else w.encode("utf-8").decode("latin-1").translate(letters))], "<u4").tobytes() for w in words}
+        if len(self) > CACHE:
+            self.clear()
+        return {w: self[w] for w in words}
+
+
+class _Chunks(dict):
+    """Chunks of plain texts and their ids, encoded when first met."""
+
+    def __init__(self, words: LibraryEncoder):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = self.words
+        found = [chunk] if chunk.isascii() and chunk.isalpha() else _WORD.findall(chunk)
+        ids = self[chunk] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        return ids
 
 
 class TextEncoder:
@@ -200,7 +224,8 @@ class TextEncoder:
 
     def __init__(self, vocabulary: Vocabulary, words: TrieEncoder | LibraryEncoder):
         self.v, self.words = vocabulary, words
-        self.chunks: dict[str, bytes] = {}
+        self.direct = isinstance(words, LibraryEncoder)
+        self.chunks: dict[str, bytes] = _Chunks(words) if self.direct else {}
 
     def _cut(self, text: str) -> list[str]:
         """The chunks of a plain text."""
@@ -233,13 +258,27 @@ class TextEncoder:
             at = m.end()
         return [s for s in [*out, text[at:]] if s]
 
+    def _is_plain(self, text: str) -> bool:
+        return (self.v.specials is None or "<|" not in text or not self.v.specials.search(text)) and self.plain(text)
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers, words encoded one by one as they are met."""
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        if len(self.words) > CACHE:
+            self.words.clear()
+        get = self.chunks.__getitem__
+        return [b"" if not t else b"".join(map(get, self._cut(t))) if self._is_plain(t) else self._rare(t) for t in texts]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.direct:
+            return [np.frombuffer(b, "<u4") for b in self.encode_bytes(texts)]
         cut: list[list[str] | bytes] = []
         wanted: set[str] = set()
         for text in texts:
             if not text:
                 cut.append(b"")
-            elif (self.v.specials is None or "<|" not in text or not self.v.specials.search(text)) and self.plain(text):
+            elif self._is_plain(text):
                 cut.append(self._cut(text))
                 wanted.update(cut[-1])
             else:
@@ -266,6 +305,7 @@ def encoder(source: str, kind: type) -> TextEncoder:
     key = (hash(source), kind.__name__)
     if key not in _ENCODERS:
         _ENCODERS.clear()
+        gc.set_threshold(200_000, 20, 100)  # the tables hold no cycles, so collecting often only costs
         vocabulary = Vocabulary(source)
         _ENCODERS[key] = TextEncoder(vocabulary, kind(vocabulary))
     return _ENCODERS[key]

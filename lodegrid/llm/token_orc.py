@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm.bpe import LibraryEncoder, _source, encoder, lists, word_bpe
+from lodegrid.llm.bpe import LibraryEncoder, _source, encoder, word_bpe
 from lodegrid.llm.common import cut, fields, shared_path, table
 
 #: The file format: columns in this order.
-LAYOUT = fields("doc_id long", "file int", "local_start long", "ids array<int>")
+LAYOUT = fields("doc_id long", "file int", "local_start long", "n_tokens int", "ids array<int>")
 #: Bytes of a stripe, and rows of a row group (an index entry and a Bloom filter each).
 STRIPE, ROW_GROUP, FALSE_POSITIVES = 64 << 20, 1000, 0.01
 
@@ -36,14 +36,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     shipped = docs.sparkSession.sparkContext.broadcast(_source(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, start = TaskContext.get().partitionId(), 0
+        file, start, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch in cut(whole, 1):
-                ids = [np.append(a, np.uint32(end_id)) for a in encoder(shipped.value, LibraryEncoder).encode(batch.column(1).to_pylist())]
-                ends = np.cumsum([len(a) for a in ids])
-                begins = start + np.concatenate([[0], ends[:-1]])
+                ids = encoder(shipped.value, LibraryEncoder).encode_bytes(batch.column(1).to_pylist())
+                sizes = np.array([len(b) // 4 + 1 for b in ids], np.int32)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                flat = np.frombuffer(end.join([*ids, b""]), "<i4")
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), file, np.int32)), pa.array(start + ends[:-1], pa.int64()), pa.array(sizes), column], names=LAYOUT.names)
                 start += int(ends[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), file, np.int32)), pa.array(begins, pa.int64()), lists(ids)], names=LAYOUT.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
@@ -60,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file, local_start, ids) as written; filters on doc_id reach the stripes' metadata."""
+    """(doc_id, file, local_start, n_tokens, ids) as written; filters on doc_id reach the stripes' metadata."""
     return spark.read.schema(LAYOUT).orc(path)
 
 
@@ -76,7 +78,7 @@ def starts(tokens: DataFrame) -> DataFrame:
     tasks) and sent back as a table of that size.
     """
     spark = tokens.sparkSession
-    totals = tokens.groupBy("file").agg(F.max(F.col("local_start") + F.size("ids")).alias("n")).orderBy("file").collect()
+    totals = tokens.groupBy("file").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n")).orderBy("file").collect()
     before = np.cumsum([0, *(r.n for r in totals)]).tolist()
     offsets = spark.createDataFrame([(r.file, b) for r, b in zip(totals, before, strict=False)], fields("file int", "before long"))
     return tokens.join(F.broadcast(offsets), "file").withColumn("start", F.col("before") + F.col("local_start")).drop("before")

@@ -62,7 +62,7 @@ class Lexicon:
         look-alike characters are read as letters."""
         key = (chunk, own)
         if key not in self.words:
-            if len(self.words) > 400_000:
+            if len(self.words) > 150_000:
                 self.words.clear()
             plain = max((self.weight(e, own) for w in _WORD.findall(chunk) for e in entries(w)), default=0.0)
             out = plain

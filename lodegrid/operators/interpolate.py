@@ -149,7 +149,7 @@ def nearest_points(source: Coverage, request: DataFrame, dims: list[str], cell:
     rings = max(1, math.ceil(reach / cell))
     at = lambda df, d: number(F.col(d), df, d) * scale[d]
     keep = [c for c in request.columns if not c.startswith("__i_")]
-    req = request.select(*keep, *(F.floor(at(request, d) / cell).alias(f"__c_{d}") for d in dims), F.monotonically_increasing_id().alias("__id"))
+    req = request.select(*keep, *(F.floor(at(request, d) / cell).alias(f"__c_{d}") for d in dims))
     for d in dims:
         req = req.withColumn(f"__c_{d}", F.explode(F.sequence(F.col(f"__c_{d}") - rings, F.col(f"__c_{d}") + rings)))
     src = source.df.select(*(F.col(d).alias(f"__s_{d}") for d in dims), *source.outputs, *(F.floor(at(source.df, d) / cell).alias(f"__c_{d}") for d in dims))

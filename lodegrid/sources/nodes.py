@@ -131,6 +131,31 @@ class CSV(DataSource):
         return tables.csv(spark, a["source"], a["header"] is not None, a["lat_key"], a["lon_key"], a["alt_key"], a["time_key"], a["data_key"])
 
 
+class Overviews(Node):
+    """Levels of one source, each on a coarser grid: a request reads the coarsest level that is at least as
+    fine as itself (``closest``: the level whose step is nearest to the request's)."""
+
+    attributes = {"steps": (), "dim": "lat", "closest": False}
+    input_names = ("levels",)
+
+    def pick(self, coords: Coordinates) -> int:
+        axis = coords.axis(self.attrs["dim"])
+        steps = [float(s) for s in self.attrs["steps"]]
+        if axis.size < 2:
+            return steps.index(min(steps))
+        wanted = abs(float(axis.coordinates[-1] - axis.coordinates[0])) / (axis.size - 1)
+        if self.attrs["closest"]:
+            return min(range(len(steps)), key=lambda i: abs(steps[i] - wanted))
+        fine = [i for i, s in enumerate(steps) if s <= wanted * (1 + 1e-9)]
+        return max(fine, key=lambda i: steps[i]) if fine else steps.index(min(steps))
+
+    def find_coordinates(self) -> list[Coordinates]:
+        return self.inputs["levels"][0].find_coordinates()
+
+    def build(self, request: Request) -> Coverage:
+        return self.inputs["levels"][self.pick(request.coords)].compile(request)
+
+
 class _Generated(Node):
     input_names = ()
 

@@ -8,7 +8,7 @@ from lodegrid import Coordinates, Node, crange
 from lodegrid.algorithm import Arange, Arithmetic, Combine, Convolution, CoordData, Count, DayOfYearWindow, ExpandCoordinates, GroupReduce, Kurtosis, Mask, Max, Mean, Median, Min, Percentile, Reproject, ResampleReduce, SelectCoordinates, SinCoords, Skew, StandardDeviation, Sum, TransformTimeUnits, Variance, YearSubstituteCoordinates
 from lodegrid.caches import HashCache, PartialCache
 from lodegrid.compositor import OrderedCompositor, TileCompositor
-from lodegrid.data import CSV, Array, Dataset
+from lodegrid.data import CSV, Array, Dataset, Overviews
 from lodegrid.interpolators import Interpolate
 from lodegrid.managers import Parallel
 from lodegrid.plans.coordinates import concat
@@ -274,6 +274,13 @@ def test_exports(spark, tmp_path):
     assert (tmp_path / "x.tif").read_bytes()[:4] == b"II*\x00"
 
 
+def test_overviews():
+    levels = [Array(source=np.zeros(n), coordinates=Coordinates.grid(lat=(0, 8, n))) for n in (9, 5, 3)]
+    node = Overviews(levels=levels, steps=(1, 2, 4))
+    assert [node.pick(Coordinates.grid(lat=(0, 8, n))) for n in (17, 9, 5, 4, 2)] == [0, 0, 1, 1, 2]
+    assert Overviews(levels=levels, steps=(1, 2, 4), closest=True).pick(Coordinates.grid(lat=(0, 7, 3))) == 2
+
+
 def test_probe(spark):
     node = Arithmetic(eqn="A * 2", A=CoordData(coord_name="lat"))
     rows = node.probe(spark, lat=3, lon=4)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from lodegrid.llm.common import cut, fields, free_name, table, with_text
 
@@ -260,25 +260,45 @@ def with_audio(df: DataFrame, media_col: str = "media", out_col: str = "audio")
     return made.drop(out_col).withColumnRenamed(name, out_col)
 
 
+_DIGEST = fields("doc_id long", "n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string")
+
+
+def _summary(media: bytes) -> tuple:
+    """The digest columns of one stream, all read from its bytes."""
+    s = inspect(media)
+    p = payload(media, s)
+    seek = zlib.crc32(struct.pack(f"<{len(s['offsets'])}q", *s["offsets"]))
+    feature = f"samples={s['samples']};rate={s['rate']};frames={len(s['offsets'])};table={s['table']['kind']}:{s['table']['frames']};crc={s['right']}/{s['checked']};skipped={s['skipped']};seek={seek:08x}"
+    return unpadded(s), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, media) to the digest columns."""
+    kinds = [f.type for f in to_arrow_schema(_DIGEST)][1:]
+    for whole in batches:
+        for batch in cut(whole, 1):
+            rows = [_summary(media) for media in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=_DIGEST.names)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
     from (doc_id, media): everything is read from the stored bytes."""
-    schema = fields("doc_id long", "n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string")
+    return df.select(F.col("doc_id").cast("long"), "media").mapInArrow(_digests, _DIGEST)
+
+
+def text_digest(df: DataFrame) -> DataFrame:
+    """The same from (doc_id, text): each slice of texts is stored as streams and read back in one worker,
+    so a task needs one Python process and holds the streams of one slice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in cut(whole, 1):
-                rows = []
-                for media in batch.column(1).to_pylist():
-                    s = inspect(media)
-                    p = payload(media, s)
-                    seek = zlib.crc32(struct.pack(f"<{len(s['offsets'])}q", *s["offsets"]))
-                    feature = f"samples={s['samples']};rate={s['rate']};frames={len(s['offsets'])};table={s['table']['kind']}:{s['table']['frames']};crc={s['right']}/{s['checked']};skipped={s['skipped']};seek={seek:08x}"
-                    rows.append((unpadded(s), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]))], names=schema.names)
+            for batch in cut(whole, 1, 2 << 20):
+                media = [store((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return df.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _digests(stored(batches)), _DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(text_to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media"))
+    return text_digest(table(spark, sf_dir, "documents"))

@@ -48,6 +48,7 @@ def test_media_columns(edge_docs, no_docs):
         p = data.ljust(max(576, -(-len(data) // 576) * 576), b"\xff")
         want.append((r.doc_id, len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
     assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, mpeg_audio.text_digest(edge_docs).collect()))) == sorted(map(str, map(tuple, got)))
     assert mpeg_audio.digest(mpeg_audio.text_to_media(no_docs).select("doc_id", "media")).count() == 0
     full = mpeg_audio.with_audio(mpeg_audio.text_to_media(edge_docs, out_col="kept"), media_col="kept", out_col="n_words")
     assert full.select("n_words.frames").where("frames >= 1").count() == 13

@@ -165,7 +165,7 @@ class TrieEncoder:
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         """Each word's ids as little-endian 32-bit integers."""
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 600_000:
             self.compatible.clear()
         out, path, before = {}, [-1], b""
         text = self.v.text

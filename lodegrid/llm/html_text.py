@@ -2,8 +2,8 @@
 
 Each page is parsed into a small tree and its containers are scored: a block of running text counts for
 its parent, half for its grandparent, less for the share of it that stands in links; tags and class
-words that mean articles add, those that mean menus, adverts, comments and the like take off. A page
-then votes for the generalised path (tags and classes from the root, digits levelled) of its best
+words that mean articles add, boxes of menus, adverts, comments and the like are left out unless they
+hold the article or most of the text. A page then votes for the generalised path (tags and classes from the root, digits levelled) of its best
 container. Votes are added up for each host in Spark, and every page of the host is extracted again
 from the elements on the winning path, or from its own best container where it has none.
 """
@@ -27,12 +27,18 @@ RAW = set("script style textarea title xmp iframe noembed noframes noscript".spl
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("article main section div body td".split())
 #: Elements that never hold the article's text.
-DROPPED = set("head script style noscript template nav footer aside form button select option input textarea iframe svg canvas object audio video menu dialog title fieldset".split())
+DROPPED = set("head script style noscript template button select option input textarea iframe svg canvas object audio video title".split())
+#: Elements that are boilerplate unless they hold the page's article or main element.
+ASIDE = set("nav footer aside menu dialog header".split())
+#: Elements that may be a small box or wrap the whole page; their content decides.
+FORMS = set("form fieldset".split())
 #: Words of class, id and role that mark boilerplate, and those that mark the article. Fixed values.
 NEGATIVE = set(
     "ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments disqus discussion replies reply respond related recommended recommendations share sharing social widget pagination pager skip hidden legal disclaimer copyright tags byline-links outbrain taboola paywall form".split()
 )
 HEADERS = set("header head top site-header page-header banner".split())
+#: Unlinked characters from which a box is judged by its text, as a paragraph would be.
+PARAGRAPH = 250
 POSITIVE = set("article content entry main post story text body page blog prose".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
@@ -53,13 +59,16 @@ _SHIELD = set("table td th button body html article section main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "step", "hidden", "score", "label")
+    __slots__ = ("tag", "parent", "children", "step", "hidden", "score", "label", "tokens", "mass", "linked", "flat", "anchor")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
         self.step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})])
         label = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-        self.label = set(label.split()) | set(re.split(r"[\s_-]+", label)) if label.strip() else set()
+        self.tokens = set(label.split())
+        self.label = self.tokens | set(re.split(r"[\s_-]+", label)) if label.strip() else set()
+        self.mass = self.linked = 0  # characters outside and inside of links
+        self.flat, self.anchor = True, False  # no container or title below; holds the article
         self.hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
 
 
@@ -152,14 +161,80 @@ def _raw_end(tag: str) -> re.Pattern[str]:
     return re.compile(f"</{re.escape(tag)}[\\s/>]", re.I)
 
 
-def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element is dropped; ``inside``: below the chosen container."""
+def _named(node: Node) -> bool:
+    """Whether a whole word of class, id or role says boilerplate and none says article, or the tag does."""
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    words = node.tokens - {"form"} if node.tag == "form" else node.tokens
+    return node.tag in ASIDE or bool(words & (NEGATIVE | HEADERS)) and not node.label & POSITIVE
+
+
+def measure(root: Node) -> None:
+    """Sets mass, linked, flat and anchor of all elements. Text of elements named as boilerplate counts for them
+    alone. Anchors are the article and main elements outside of such elements, or else the largest one in them."""
+    order: list[tuple[Node, bool, bool]] = []
+    work = [(root, False, False)]
+    while work:
+        node, link, named = work.pop()
+        if node is not root and (node.tag in DROPPED or node.hidden):
+            continue
+        link, named = link or node.tag == "a", named or _named(node)
+        order.append((node, link, named))
+        work.extend((c, link, named) for c in node.children if isinstance(c, Node))
+    for node, link, _ in reversed(order):
+        length = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if link:
+            node.linked += length
+        else:
+            node.mass += length
+        if node.parent:
+            node.parent.flat &= node.flat and node.tag not in CONTAINERS and node.tag not in ("h1", "h2")
+            if not _named(node):
+                node.parent.mass += node.mass
+                node.parent.linked += node.linked
+    articles = [(n, named) for n, _, named in order if n.tag in ("article", "main") and n.mass]
+    outside = [n for n, named in articles if not named and not n.label & NEGATIVE]
+    for n in outside or [max((n for n, _ in articles), key=lambda n: n.mass)] if articles else []:
+        while n and not n.anchor:
+            n.anchor, n = True, n.parent
+
+
+def boilerplate(node: Node, top: Node, inside: bool) -> bool:
+    """Whether an element below ``top`` is dropped; ``inside``: below the chosen container.
+
+    What holds the article stays. Elements named as boilerplate by a whole word stay only where there is next to no
+    other text. Forms, and elements with a part of a name, stay where they hold most of the text or, as wrappers
+    of other elements, a paragraph of text that does not stand in links.
+    """
     if node.tag in DROPPED or node.hidden:
         return True
+    if node.anchor or node.tag in ("html", "body", "article", "main"):
+        return False
     if node.tag == "header" or node.label & HEADERS:
         # a heading of the article itself may stand in a header of its own
-        return not (inside and any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children))
-    return node.tag not in ("html", "body", "article", "main") and bool(node.label & NEGATIVE)
+        if inside and (any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children) or _within(node) and _titled(node)):
+            return False
+    elif node.tag not in ASIDE | FORMS and not node.label & NEGATIVE:
+        return False
+    if node.tag in ASIDE:
+        return True
+    if _named(node) or node.flat and node.tag not in FORMS:
+        return node.mass < PARAGRAPH or 10 * (top.mass - (0 if _named(node) else node.mass)) > node.mass
+    return 2 * node.mass <= top.mass and (node.flat or node.mass < PARAGRAPH or node.mass < node.linked)
+
+
+def _within(node: Node) -> bool:
+    return any(n.tag in ("article", "main") for n in _above(node))
+
+
+def _titled(node: Node) -> bool:
+    work = [node]
+    while work:
+        n = work.pop()
+        if n.tag in ("h1", "h2"):
+            return True
+        work.extend(c for c in n.children if isinstance(c, Node))
+    return False
 
 
 def blocks(top: Node) -> Iterator[str]:
@@ -182,7 +257,7 @@ def blocks(top: Node) -> Iterator[str]:
                 yield found
         if closing:
             continue
-        if item is not top and boilerplate(item, True):
+        if item is not top and boilerplate(item, top, True):
             continue
         if item.tag in ("br", "wbr", "img"):
             parts.append(" " if item.tag == "br" else "")
@@ -196,11 +271,12 @@ def blocks(top: Node) -> Iterator[str]:
 
 def score(root: Node) -> list[Node]:
     """The containers outside boilerplate, their scores set."""
+    measure(root)
     found: list[Node] = []
     work: list[tuple[Node, bool]] = [(root, False)]
     while work:
         node, link = work.pop()
-        if node is not root and boilerplate(node, False):
+        if node is not root and boilerplate(node, root, False):
             continue
         if node.tag in CONTAINERS:
             found.append(node)

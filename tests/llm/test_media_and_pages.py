@@ -80,3 +80,17 @@ def test_consensus(spark):
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     assert got[9] == "tiny" and got[0].startswith("real words") and got[10] == got[11] == ""
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_wrappers_and_forms_are_judged_by_content():
+    body = "<h1>Title</h1><p>" + "real words of the article " * 20 + "</p>"
+    want = "Title\n" + ("real words of the article " * 20).strip()
+    for open_, close in (('<div id="content-sidebar-wrap">', "</div>"), ('<div class="layout has-sidebar">', "</div>"), ('<div class="main menu-left">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<form id="form"><fieldset>', "</fieldset></form>")):
+        for inner in (f"<article>{body}</article>", f'<div class="story-text">{body}</div>', body):
+            page = f'<body><nav><a href=x>menu</a></nav>{open_}{inner}<div class="sidebar"><p>Side words</p></div>{close}<div class="cookie-notice">We use cookies</div><footer>f</footer></body>'
+            assert html_text.extract(page, html_text.best_path(page)) == want, (open_, inner)
+    # long comments, a search form and small boxes still go
+    comments = '<div class="comments-area"><ol><li class="comment"><article>' + "what a reader thinks " * 60 + "</article></li></ol></div>"
+    page = f'<body><form action=s><p>Search here</p></form><article>{body}<div class="share-box"><div>Share this</div></div></article>{comments}</body>'
+    assert html_text.extract(page, html_text.best_path(page)) == want
+    assert html_text.extract('<body><div class="cookie-notice">We use cookies</div></body>', None) == ""

@@ -4,7 +4,7 @@ Each page is parsed into a small tree and its containers are scored: a block of
 its parent, half for its grandparent, less for the share of it that stands in links; tags and class
 words that mean articles add, boxes of menus, adverts, comments and the like are left out unless they
 hold the article or most of the text. A page then votes for the generalised path (tags and classes from the root, digits levelled) of its best
-container. Votes are added up for each host in Spark, and every page of the host is extracted again
+container, widened to the whole article around it. Votes are added up for each host in Spark, and every page of the host is extracted again
 from the elements on the winning path, or from its own best container where it has none.
 """
 
@@ -299,10 +299,35 @@ def score(root: Node) -> list[Node]:
     return found
 
 
+def widened(node: Node, root: Node) -> Node:
+    """The whole article around the best container: the article or main element that holds it, or without one the
+    highest container in reach that adds text outside of links and of boilerplate. Other boxes directly in the body
+    are not the article's; headings, paragraphs and text there are."""
+    above = [node, *_above(node)]
+    for tag in ("article", "main"):
+        for n in above:
+            if n.tag == tag:
+                return n
+    top = node
+    for below, n in zip(above, above[1:], strict=False):
+        if n is root or n.tag == "html":
+            break
+        added = linked = 0
+        for c in n.children:
+            if isinstance(c, str):
+                added += len(c.strip())
+            elif c is not below and not boilerplate(c, n, True) and (n.tag != "body" or c.tag not in CONTAINERS):
+                added, linked = added + c.mass, linked + c.linked
+        if n.tag in CONTAINERS and added > linked:
+            top = n
+    return top
+
+
 def best_path(page: str | None) -> str | None:
     """The generalised path of a page's best container; null without text."""
-    found = [n for n in score(parse(page or "")) if n.score > 45]
-    return max(found, key=lambda n: n.score).path() if found else None  # of equals the first met
+    root = parse(page or "")
+    found = [n for n in score(root) if n.score > 45]
+    return widened(max(found, key=lambda n: n.score), root).path() if found else None  # of equals the first met
 
 
 def extract(page: str | None, path: str | None) -> str:
@@ -315,7 +340,7 @@ def extract(page: str | None, path: str | None) -> str:
     if text:
         return text
     rich = [n for n in found if n.score > 0]
-    top = max(rich, key=lambda n: n.score) if rich else root
+    top = widened(max(rich, key=lambda n: n.score), root) if rich else root
     return "\n".join(blocks(top))
 
 

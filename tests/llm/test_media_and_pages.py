@@ -94,3 +94,14 @@ def test_wrappers_and_forms_are_judged_by_content():
     page = f'<body><form action=s><p>Search here</p></form><article>{body}<div class="share-box"><div>Share this</div></div></article>{comments}</body>'
     assert html_text.extract(page, html_text.best_path(page)) == want
     assert html_text.extract('<body><div class="cookie-notice">We use cookies</div></body>', None) == ""
+
+
+def test_whole_article_around_the_best_container():
+    long = ("real words of the article " * 30).strip()
+    got = lambda inner: html_text.extract(page := f"<body><nav><a href=x>menu</a></nav>{inner}<footer>f</footer></body>", html_text.best_path(page))
+    assert got(f"<article><h1>Title</h1><p>lede</p><section><p>{long}</p></section><section class=b><p>more</p></section></article>") == f"Title\nlede\n{long}\nmore"
+    assert got(f'<article><header><h1>Title</h1></header><div class="entry-content"><p>{long}</p></div></article>') == f"Title\n{long}"
+    assert got(f'<main><article><header><div><h1>Title</h1></div></header><div><div class="entry-content"><p>{long}</p></div></div></article></main>') == f"Title\n{long}"
+    assert got(f'<div class="post"><h1>Title</h1><div class="wrap"><div class="a"><p>{long}</p></div></div><div class="b"><p>more</p></div></div>') == f"Title\n{long}\nmore"
+    assert got(f'<h1>Title</h1><p>lede</p><div class="text"><p>{long}</p></div>') == f"Title\nlede\n{long}"
+    assert got(f'<div class="related-links"><div><a href=x>other story</a></div></div><div class="text"><p>{long}</p></div>') == long

@@ -4,8 +4,8 @@ Every rolling 3-word window of a text is hashed and joined with the windows of t
 fixed table of a few hundred windows, broadcast). A hit at text word p and template word t votes for
 the diagonal p - t, where the template would start. Votes are added up for each text, template and
 diagonal; diagonals within ``NEAR`` words of each other (words put in or left out) merge into one span;
-a span counts when its words, compared as words and not as hashes, cover enough of the template, and
-where spans of several templates overlap the words go to the one that is covered best.
+a span counts when its words, compared as words and not as hashes, cover enough of the template (of a
+span that is too long, the parts of it that do so within the length allowed), and where spans of several templates overlap the words go to the one that is covered best.
 
 Phrases (the base) count only where all their words stand consecutively: a diagonal that has every
 window of the phrase. Templates of two words have one window of two words; a text window that begins
@@ -85,6 +85,30 @@ def _key(a: F.Column, b: F.Column, c: F.Column, pairs: list[str]) -> F.Column:
     return F.when(F.coalesce(short, F.lit(False)), F.xxhash64(a, b)).otherwise(F.xxhash64(a, b, c))
 
 
+def _covering(spans: DataFrame) -> DataFrame:
+    """Spans whose windows ``ts`` cover enough of the template's words, with their coverage."""
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (K - 1))))))
+    return spans.withColumn("coverage", F.round(covered / F.col("length"), 6)).where(F.col("coverage") >= COVER)
+
+
+def _parts(spans: DataFrame, key: list[str], longest: int) -> DataFrame:
+    """The parts of spans that are too long which cover enough within the length allowed: of those that overlap the
+    best covered, then the shortest, then the first."""
+    each = spans.select(*key, "cluster", F.inline("at"))
+    near = Window.partitionBy("doc_id", "digest", "template", "cluster").orderBy("p").rangeBetween(0, int(STRETCH * longest) - K)
+    each = each.withColumn("at", F.collect_list(F.struct("p", "t")).over(near))
+    each = each.withColumn("at", F.filter("at", lambda x: x["p"] - F.col("p") + K <= STRETCH * F.col("length")))
+    each = _covering(each.withColumn("ts", F.array_distinct(F.transform("at", lambda x: x["t"]))))
+    # a part ends where the last of its windows is met for the first time
+    firsts = F.transform("ts", lambda t: F.array_min(F.transform(F.filter("at", lambda x: x["t"] == t), lambda x: x["p"])))
+    each = each.withColumn("end", F.array_max(firsts) + K)
+    one = F.struct((-F.col("coverage")).alias("less"), (F.col("end") - F.col("p")).alias("width"), F.col("p").alias("start"), "end", "ts", "coverage")
+    found = each.groupBy(*key, "cluster").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    free = lambda some, x: ~F.exists(some, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    picked = F.aggregate("found", F.slice("found", 1, 0), lambda some, x: F.when(free(some, x), F.concat(some, F.array(x))).otherwise(some))
+    return found.select(*key, "cluster", F.inline(picked)).drop("less", "width")
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, texts: list[tuple[str, str]] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(results, spans). Results have a row for each row of ``docs``: doc_id, n_words, n_base,
     first_word, last_word, base_labels, labels, score. Spans: (doc_id, digest, label, template, start,
@@ -120,10 +144,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | F.lag("diagonal").over(order).isNull()
     merged = votes.where(~F.col("base")).withColumn("cluster", F.sum(apart.cast("int")).over(order))
-    spans = merged.groupBy(*key, "cluster").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min(F.col("diagonal") + F.array_min("ts")).alias("start"), (F.max("last") + K).alias("end"))
-    # the template words that the windows of a span cover
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (K - 1))))))
-    spans = spans.withColumn("coverage", F.round(covered / F.col("length"), 6)).where((F.col("coverage") >= COVER) & (F.col("end") - F.col("start") <= STRETCH * F.col("length")))
+    at = F.transform("ts", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.alias("t")))
+    spans = merged.groupBy(*key, "cluster").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min(F.col("diagonal") + F.array_min("ts")).alias("start"), (F.max("last") + K).alias("end"), F.flatten(F.collect_list(at)).alias("at"))
+    spans = _covering(spans)
+    fits = F.col("end") - F.col("start") <= STRETCH * F.col("length")
+    spans = spans.where(fits).drop("at").unionByName(_parts(spans.where(~fits), key, max(len(text.split()) for _, text in texts) if texts else K))
     # where spans overlap the better covered one takes the words; a span stands if half of its words are its own
     each_word = spans.withColumn("word", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
     best = F.max("coverage").over(Window.partitionBy("doc_id", "digest", "word"))

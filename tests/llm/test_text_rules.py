@@ -66,3 +66,20 @@ def test_license_places(spark, edge_docs, no_docs):
     assert labels[103][0] == "cc-by,cc-by-nc" and labels[104] == ("gpl", 1.0) and labels[4] == ("", 0.0)
     assert {s.doc_id for s in spans.collect()} == {103, 104}
     assert license_scan.license_scan(no_docs)[0].count() == 0
+
+
+def test_license_name_after_its_notice(spark):
+    texts = [
+        ("mit", "Released under the MIT License. See the MIT License for details.", [(0, 5)]),
+        ("mit", "Released under the MIT License. The MIT License permits much.", [(0, 5)]),
+        ("cc0", "x CC0 1.0 Universal Public Domain Dedication. This Public Domain Dedication", [(1, 8)]),
+        ("mit", "See the MIT License. Released under the MIT License", [(4, 9)]),
+        ("mit", "Released under the MIT License. x the MIT License x Released under the MIT License", [(0, 5), (10, 15)]),
+        ("", "under the MIT License, the MIT License, under the MIT License", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(texts)], "doc_id long, text string")
+    results, spans = license_scan.license_scan(docs)
+    got = {r.doc_id: (r.labels, r.score) for r in results.collect()}
+    assert got == {i: (label, 1.0 if label else 0.0) for i, (label, _, _) in enumerate(texts)}
+    found = sorted((s.doc_id, s.start, s.end) for s in spans.collect())
+    assert found == [(i, a, b) for i, (_, _, where) in enumerate(texts) for a, b in where]

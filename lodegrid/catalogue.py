@@ -228,6 +228,10 @@ def _places(fn: str) -> int:
     return {"mean": 7, "var": 2}.get(fn, 4)
 
 
+def _whole_places(fn: str) -> int:
+    return {"mean": 7, "prod": 8}.get(fn, 4)
+
+
 for _fn, _sql in _REDUCE.items():
     _query(f"reduce_{_fn}_all", f"SELECT round({_sql}, {_places(_fn)}) AS value FROM {L}")(_reduce(_fn, None))
     _query(f"reduce_{_fn}_time", f"SELECT station, round({_sql}, {_places(_fn)}) AS value FROM {L} GROUP BY station")(_reduce(_fn, ["time"]))
@@ -260,6 +264,20 @@ def _empty(s: SparkSession, d: str, fn: str) -> DataFrame:
     return shown(reduce.reduce(c, fn, ["time"]))
 
 
+# the same over all rows, with groups that are empty as the data have none; factors near 1 keep products comparable
+_FACTOR = "1 + (quantity - 25) / 1000000"
+for _fn, _sql in (("sum", "coalesce(sum(v), 0.0)"), ("mean", "avg(v)"), ("prod", "coalesce(product(v), 1.0)")):
+    _query(f"reduce_{_fn}_empty_whole", f"SELECT station, round({_sql}, {_whole_places(_fn)})::DOUBLE AS value FROM (SELECT station, CASE WHEN station % 2 = 0 THEN {_FACTOR if _fn == 'prod' else 'quantity / 25'} END AS v FROM {L}) GROUP BY 1")(
+        lambda s, d, fn=_fn: _empty_whole(s, d, fn)
+    )
+
+
+def _empty_whole(s: SparkSession, d: str, fn: str) -> DataFrame:
+    v = F.expr(_FACTOR) if fn == "prod" else F.col("quantity") / 25
+    c = Coverage.of(lines(s, d).df.select("time", "station", F.when(F.col("station") % 2 == 0, v).alias("value")), ["time", "station"])
+    return shown(reduce.reduce(c, fn, ["time"]), _whole_places(fn))
+
+
 _query("reduce_custom_range", f"SELECT station, round(max(value) - min(value), 4) AS value FROM {L} GROUP BY 1")(lambda s, d: shown(reduce.reduce_custom(lines(s, d).select("value"), lambda v: v.max() - v.min(), ["time"])))
 
 # -- calendar groups (A14, A15), buckets (A16), windows (A17) --------------------------------------
@@ -270,6 +288,12 @@ for _g, _gsql in _GROUPS.items():
         _query(f"group_{_g}_{_fn}", f"SELECT {_gsql}::BIGINT AS time, round({_sql}, {_places(_fn)}) AS value FROM {L} GROUP BY 1")(
             lambda s, d, g=_g, fn=_fn: shown(reduce.group_reduce(reduce_all_stations(lines(s, d).select("flag" if fn in ("any", "all") else "quantity")), g, fn), _places(fn))
         )
+    _query(f"group_{_g}_prod", f"SELECT {_gsql}::BIGINT AS time, round(product({_FACTOR}), 8) AS value FROM {L} GROUP BY 1")(lambda s, d, g=_g: _group_prod(s, d, g))
+
+
+def _group_prod(s: SparkSession, d: str, group: str) -> DataFrame:
+    c = Coverage.of(lines(s, d).df.select("time", "station", F.expr(_FACTOR).alias("value")), ["time", "station"])
+    return shown(reduce.group_reduce(reduce_all_stations(c), group, "prod"), 8)
 
 
 def reduce_all_stations(c: Coverage) -> Coverage:

@@ -274,6 +274,8 @@ class TileCompositor(BaseCompositor):
 
 # -- interpolation -------------------------------------------------------------------------------
 METHODS = {"nearest", "nearest_preview", "linear", "bilinear", "quadratic", "cubic", "zero", "slinear", "next", "previous", "average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum", "none"}
+#: Requested axes of more values than this are not broadcast.
+BROADCAST_CELLS = 1_000_000
 AREA = {"average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum"}
 
 
@@ -344,7 +346,8 @@ class Interpolate(Node):
         for d in dims:
             axis = own[d]
             if asked.axis(d) == axis or asked.axis(d).issubset(axis) and method != "nearest_preview":
-                c = c.with_df(c.df.join(F.broadcast(frame(d).select(d)), d, "left_semi")) if asked.axis(d).size <= 1_000_000 else c
+                cells = frame(d).select(d)
+                c = c.with_df(c.df.join(F.broadcast(cells) if asked.axis(d).size <= BROADCAST_CELLS else cells, d, "left_semi"))
             elif method in ("bilinear", "linear", "slinear") and axis.uniform and axis.size > 1:
                 c = interpolate.linear(c, frame(d), d, axis, extrapolate=params.get("fill_value") == "extrapolate", first_pruned=_first(axis, asked.axis(d)))
             elif method in ("next", "previous", "zero"):

@@ -294,3 +294,12 @@ def test_beta_fit():
     a, b = cl.fit(x)
     assert abs(a - 2) < 0.2 and abs(b - 5) < 0.4
     assert abs(cl.cumulative(2, 3, cl.quantile(2, 3, 0.3)) - 0.3) < 1e-9 and abs(cl.quantile(1, 1, 0.25) - 0.25) < 1e-9
+
+
+def test_large_requests_filter_the_source(spark, monkeypatch):
+    from lodegrid.operators import nodes
+
+    monkeypatch.setattr(nodes, "BROADCAST_CELLS", 2)
+    source = Array(source=np.arange(9.0), coordinates=Coordinates([crange(0, 8, 1)], dims=["lat"]))
+    c = Interpolate(source=source, interpolation="nearest").eval(Coordinates([crange(0, 8, 2)], dims=["lat"]), spark)
+    assert sorted((r.lat, r[c.outputs[0]]) for r in c.df.collect()) == [(x, x) for x in (0.0, 2.0, 4.0, 6.0, 8.0)]

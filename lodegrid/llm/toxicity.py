@@ -92,7 +92,7 @@ def features(text: str | None, lexicon: Lexicon, own: int = -1) -> list[float]:
     crowd = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max()) if len(at) else 0
     kinds = len({chunks[i] for i in at})
     size = max(1, len(text))
-    letters = max(1, sum(map(str.isalpha, text)) if len(text) < 2000 else size)
+    letters = max(1, sum(map(str.isalpha, text)))
     upper = len(_UPPER.findall(text))
     return [
         float(len(at)),

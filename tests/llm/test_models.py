@@ -62,3 +62,8 @@ def test_prior_and_positives():
     assert 0.6 < prior < 0.82
     net = learners.Positives().fit(pos[700:], unlabelled, prior)
     assert (net.margin(pos) > 0).mean() > 0.9 and (net.margin(neg) > 0).mean() < 0.1
+
+
+def test_capitals_are_a_share_of_letters_at_any_length():
+    lexicon = toxicity.Lexicon({}, 1, 1)
+    assert [toxicity.features("ABC def 12 -- " * n, lexicon)[15] for n in (5, 500)] == [0.5, 0.5]

@@ -8,6 +8,7 @@ microseconds since the epoch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,18 @@ from pyspark.sql import types as T
 
 from lodegrid.functions import calendar, crs
 from lodegrid.operators import algebra, composite, convolve, interpolate, reduce, rewrite
-from lodegrid.plans.coordinates import Axis, Coordinates, UniformAxis, concat, union
+from lodegrid.operators.caches import HashCache, PartialCache
+from lodegrid.operators.managers import ParallelOutput
+from lodegrid.operators.nodes import Arithmetic, Mean, OrderedCompositor, Reproject, TileCompositor
+from lodegrid.plans.coordinates import DIMENSIONS, Axis, Coordinates, UniformAxis, add_valid_dimension, concat, union
 from lodegrid.plans.coverage import Coverage
+from lodegrid.plans.node import Node
+from lodegrid.sources.nodes import Array, Table
 from lodegrid.sources.tables import read_parquet
 
+for _d in {"size", "station"} - set(DIMENSIONS):
+    add_valid_dimension(_d)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -314,10 +323,26 @@ _DOY = f"(SELECT least(dayofyear(time), 365) AS day, value FROM {L})"
 _DOY_JOIN = f"FROM (SELECT DISTINCT dayofyear(time) AS time FROM {L}) w JOIN {_DOY} x ON least((x.day - least(w.time, 365) + 365) % 365, (least(w.time, 365) - x.day + 365) % 365) <= {{half}} GROUP BY 1"
 _query("doy_window3_mean", f"SELECT w.time::BIGINT AS time, round(avg(value), 7) AS value {_DOY_JOIN.format(half=1)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 3, "mean"), 7))
 _query("doy_window5_count", f"SELECT w.time::BIGINT AS time, count(value)::DOUBLE AS value {_DOY_JOIN.format(half=2)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 5, "count")))
-_query("doy_window_scaled", f"SELECT w.time::BIGINT AS time, round(avg(CASE WHEN value BETWEEN 1000 AND 90000 THEN (value - 1000) / 89000 END) * 89000 + 1000, 4) AS value {_DOY_JOIN.format(half=3)}")(
-    lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 7, "mean", scale_float=(1000, 90000), rescale=True))
+# (times pi, so that no mean ends in a five)
+_query("doy_window_scaled", f"SELECT w.time::BIGINT AS time, round((avg(CASE WHEN value BETWEEN 1000 AND 90000 THEN (value - 1000) / 89000 END) * 89000 + 1000) * pi(), 5) AS value {_DOY_JOIN.format(half=3)}")(
+    lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 7, "mean", scale_float=(1000, 90000), rescale=True).mapped(lambda v: v * F.pi()), 5)
 )
 
+_query("doy_window9_max", f"SELECT w.time::BIGINT AS time, round(max(value), 4) AS value {_DOY_JOIN.format(half=4)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 9, "max")))
+_query("doy_window3_median", f"SELECT w.time::BIGINT AS time, round(median(value), 4) AS value {_DOY_JOIN.format(half=1)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 3, "median")))
+_STATION_ENDS = f"(SELECT station, min(value) AS lo, max(value) + 1 AS hi FROM {L} GROUP BY 1)"
+_query(
+    "doy_window_scaled_by_station",
+    f"WITH x AS (SELECT l.station, least(dayofyear(time), 365) AS day, (value - lo) / (hi - lo) AS v FROM {L} l JOIN {_STATION_ENDS} e ON e.station = l.station) SELECT w.time::BIGINT AS time, x.station, round((avg(v) * (hi - lo) + lo) * pi(), 5) AS value FROM (SELECT DISTINCT dayofyear(time) AS time FROM {L}) w JOIN x ON least((x.day - least(w.time, 365) + 365) % 365, (least(w.time, 365) - x.day + 365) % 365) <= 1 JOIN {_STATION_ENDS} e ON e.station = x.station GROUP BY 1, 2, hi, lo",
+)(lambda s, d: _scaled_by_station(s, d))
+
+
+def _scaled_by_station(s: SparkSession, d: str) -> DataFrame:
+    c = lines(s, d).select("value")
+    low, high = reduce.reduce(c, "min", ["time"]), reduce.reduce(c, "max", ["time"]).mapped(lambda v: v + 1)
+    return shown(reduce.day_of_year_window(c, 3, "mean", scale_float=(low, high), rescale=True).mapped(lambda v: v * F.pi()), 5)
+
+
 # -- time transforms (M4, C21) and rewrites (M1-M3) --------------------------------------------------
 _PARTS = {
     "day": "day(time)", "dayofweek": "isodow(time) - 1", "dayofyear": "dayofyear(time)", "daysinmonth": "day(last_day(time))", "month": "month(time)", "quarter": "quarter(time)", "year": "year(time)",
@@ -477,16 +502,149 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     within six hours."""
     c = events(spark, sf_dir)
     hourly = reduce.resample(c, "1,h", "mean", spine=False)
-    ends = c.df.agg(F.date_trunc("day", F.min("time")).alias("lo"), F.max("time").alias("hi")).head()
-    if ends.lo is None:
-        return shown(c)
-    axis = UniformAxis(ends.lo, ends.hi, "1,h", name="time")
-    request = c.df.select("station").distinct().crossJoin(F.broadcast(axis.frame(spark).select("time")))
-    before = interpolate.as_of(hourly, request, "time", "previous", tolerance=6 * 3600)
-    after = interpolate.as_of(hourly, request, "time", "next", tolerance=6 * 3600)
-    filled = composite.tile([before, after])
+    ends = c.df.agg(F.date_trunc("day", F.min("time")).alias("lo"), F.max("time").alias("hi"))
+    hours = ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("time"))
+    # the product of stations and hours is the dense result itself
+    dense = hourly.df.select("station").distinct().crossJoin(hours).join(hourly.df, ["station", "time"], "left")
+    filled = interpolate.fill_carried(hourly.with_df(dense), "time", reach=6 * 3600)
     daily = filled.df.groupBy("station", F.date_trunc("day", "time").alias("time"))
-    return shown(Coverage(daily.agg(F.avg("value").alias("value"), F.count("value").cast("double").alias("hours")), ("station", "time"), ("value", "hours")))
+    return shown(Coverage(daily.agg(F.avg("value").alias("value"), F.count("value").cast("double").alias("hours")), ("station", "time"), ("value", "hours")), 7)
+
+
+_query(
+    "hourly_fill_daily_mean",
+    f"""WITH h AS (SELECT station, date_trunc('hour', time)::TIMESTAMP AS time, avg(value) AS v FROM {E_} GROUP BY ALL),
+  hours AS (SELECT unnest(generate_series(date_trunc('day', min(time))::TIMESTAMP, max(time), INTERVAL 1 HOUR)) AS time FROM {E_}),
+  g AS (SELECT s.station, o.time, v, CASE WHEN v IS NOT NULL THEN o.time END AS known FROM (SELECT DISTINCT station FROM h) s CROSS JOIN hours o LEFT JOIN h ON h.station = s.station AND h.time = o.time),
+  f AS (SELECT station, time, last_value(v IGNORE NULLS) OVER p AS a, last_value(known IGNORE NULLS) OVER p AS seen, first_value(v IGNORE NULLS) OVER n AS b, first_value(known IGNORE NULLS) OVER n AS bt FROM g
+    WINDOW p AS (PARTITION BY station ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY station ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  x AS (SELECT station, time, CASE WHEN time - seen <= INTERVAL 6 HOUR THEN a WHEN bt - time <= INTERVAL 6 HOUR THEN b END AS v FROM f)
+SELECT station, epoch_us(date_trunc('day', time)::TIMESTAMP) AS time, round(avg(v), 7) AS value, count(v)::DOUBLE AS hours FROM x GROUP BY 1, 2""",
+)(flagship)
+
+
+# -- nodes (I0-I14, M5, O1, O2, H1, H2, G3, S3, S4): what users call, over tables whose coordinates nobody declares ------
+def _table(s: SparkSession, d: str, name: str) -> Node:
+    """A view as a source node."""
+    c = {"sizes": sizes, "grid": grid, "gaps": lambda s, d: grid(s, d, gaps=True), "events": lambda s, d: _event_means(s, d)}[name](s, d)
+    return Table(table=c.df, dims=list(c.dims), data="value")
+
+
+def _event_means(s: SparkSession, d: str) -> Coverage:
+    c = events(s, d)
+    return c.with_df(c.df.groupBy("time", "station").agg(F.avg("value").alias("value")))
+
+
+def _some(s: SparkSession, d: str) -> Node:
+    """Part sizes that are squares or twice squares: an irregular axis that nobody declares."""
+    c = sizes(s, d)
+    square = lambda v: F.sqrt(v) == F.floor(F.sqrt(v))
+    return Table(table=c.df.where(square(F.col("size")) | square(F.col("size") / 2)), dims=["size"], data="value")
+
+
+_SOME = f"(SELECT * FROM {P} WHERE sqrt(size) = floor(sqrt(size)) OR sqrt(size / 2) = floor(sqrt(size / 2)))"
+_ASKED = Coordinates([UniformAxis(0.25, 55, 0.75, name="size")])
+_ASKED_SQL = "(SELECT 0.25 + i * 0.75 AS size FROM range(74) r(i))"
+_LOW, _HIGH = f"(SELECT max(p.size) FROM {_SOME} p WHERE p.size <= q.size)", f"(SELECT min(p.size) FROM {_SOME} p WHERE p.size >= q.size)"
+_NEAR = f"(SELECT q.size, {_LOW} AS lo, {_HIGH} AS hi FROM {_ASKED_SQL} q)"
+_AT = lambda k: f"(SELECT value FROM {_SOME} p WHERE p.size = {k})"
+for _name, _method, _sql in (
+    ("nearest", "nearest", f"CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN n.size - lo <= hi - n.size THEN {_AT('n.lo')} ELSE {_AT('n.hi')} END END"),
+    ("linear", "linear", f"CASE WHEN lo = hi THEN {_AT('n.lo')} ELSE {_AT('n.lo')} * (1 - (n.size - lo) / (hi - lo)) + {_AT('n.hi')} * (n.size - lo) / (hi - lo) END"),
+    ("previous", "previous", _AT("n.lo")),
+    ("next", "next", _AT("n.hi")),
+):
+    _query(f"node_{_name}_table", f"SELECT n.size, round({_sql}, 7) AS value FROM {_NEAR} n")(lambda s, d, m=_method: shown(_some(s, d).interpolate(m).eval(_ASKED, s), 7))
+for _name, _at in (("inside", 5.6), ("on_a_cell", 8.0), ("outside", 60.0)):
+    _query(f"node_point_{_name}", f"SELECT q.size::DOUBLE AS size, round((SELECT arg_min(value, [abs(p.size - q.size), p.size]) FROM {P} p WHERE q.size <= 50.5), 4) AS value FROM (VALUES ({_at})) q(size)")(
+        lambda s, d, at=_at: shown(_table(s, d, "sizes").interpolate("nearest").eval(Coordinates([[at]], dims=["size"]), s))
+    )
+_MANY = Coordinates([UniformAxis(1, 43, size=1_050_001, name="size")])
+_query("node_million_values", f"SELECT count(*) AS n, count(value) AS known, round(sum(value)) AS total, min(size) AS least, max(size) AS most FROM (SELECT size, value FROM (SELECT 1 + i * 0.00004 AS size FROM range(1050001) r(i)) q ASOF LEFT JOIN (SELECT size AS at, value FROM {P}) p ON q.size >= p.at)")(
+    lambda s, d: _totals(_table(s, d, "sizes").interpolate("previous").eval(_MANY, s).df)
+)
+
+
+def _totals(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.count("value").alias("known"), F.round(F.sum("value")).alias("total"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+
+_query("node_every_second_cell", f"SELECT size, round(value, 4) AS value FROM {P} WHERE size % 2 = 1")(
+    lambda s, d: shown(_table(s, d, "sizes").interpolate("nearest").eval(Coordinates([UniformAxis(1, 49, 2.0, name="size")]), s))
+)
+for _dir, _asof in (("previous", "time <= t ORDER BY time DESC"), ("next", "time >= t ORDER BY time")):
+    _query(f"node_{_dir}_by_station", f"SELECT station::DOUBLE AS station, epoch_us(t) AS time, round((SELECT value FROM (SELECT station AS s2, time, avg(value) AS value FROM {E_} GROUP BY ALL) WHERE s2 = q.station AND {_asof} LIMIT 1), 4) AS value FROM (SELECT DISTINCT station FROM {E_} WHERE station BETWEEN 3 AND 9) q, {_REQ_DAYS_SQL}")(
+        lambda s, d, m=_dir: shown(_by_station(s, d, m))
+    )
+
+
+def _by_station(s: SparkSession, d: str, method: str) -> Coverage:
+    c = _event_means(s, d)
+    c = c.with_df(c.df.withColumn("station", F.col("station").cast("double")).where("station between 3 and 9"))
+    ask = Coordinates([UniformAxis("2024-01-03", "2024-01-28", "5,D", name="time"), Axis([3.0, 9.0], "station")])
+    node = Table(table=c.df, dims=["time", "station"], data="value")
+    out = node.interpolate([{"method": method, "dims": ["time"]}, {"method": "none", "dims": ["station"]}]).eval(ask, s)
+    return out
+
+
+_query("node_bilinear_table", ORACLE["bilinear_2d"])(lambda s, d: shown(_table(s, d, "gaps").interpolate("bilinear").eval(_TARGET, s)))
+_query("node_reproject", ORACLE["reproject_grid"])(
+    lambda s, d: shown(Reproject(source=_table(s, d, "grid"), coordinates=Coordinates.grid(lat=(0, 16, 5), lon=(0, 24, 7)), interpolation="bilinear").eval(Coordinates.grid(lat=(0, 16, 17), lon=(0, 24, 25)), s), 7)
+)
+_WHOLE = Coordinates.grid(lat=(0, 21, 22), lon=(0, 26, 27))
+
+
+def _part_nodes(s: SparkSession, d: str) -> list[Node]:
+    return [Table(table=c.df, dims=["lat", "lon"], data="value") for c in _parts(s, d)]
+
+
+_query("node_ordered_compositor", f"SELECT r.lat, r.lon, round(arg_min(value, CASE WHEN value IS NOT NULL THEN p END), 3) AS value FROM {_REQ_ALL_SQL} r LEFT JOIN {_PARTS_SQL} x ON x.lat = r.lat AND x.lon = r.lon GROUP BY 1, 2")(
+    lambda s, d: shown(OrderedCompositor(sources=_part_nodes(s, d)).eval(_WHOLE, s), 3)
+)
+_query("node_tile_compositor", ORACLE["composite_tile"])(lambda s, d: shown(TileCompositor(sources=_part_nodes(s, d)).eval(_WHOLE, s), 3))
+_query("node_arithmetic", f"SELECT lat, lon, round(value * 2 + lat, 3) AS value FROM {GAPS} WHERE lat BETWEEN 2 AND 9")(
+    lambda s, d: shown(Arithmetic(eqn="a * 2 + b", a=_table(s, d, "gaps"), b=_lat_table(s, d)).eval(Coordinates.grid(lat=(2, 9, 8), lon=(0, 24, 25)), s), 3)
+)
+
+
+def _lat_table(s: SparkSession, d: str) -> Node:
+    c = grid(s, d).mapped(lambda v: F.col("lat"))
+    return Table(table=c.df, dims=["lat", "lon"], data="value")
+
+
+_query("node_mean", f"SELECT lat, round(avg(value), 7) AS value FROM {GAPS} GROUP BY 1")(lambda s, d: shown(Mean(source=_table(s, d, "gaps"), dims=["lon"]).eval(Coordinates.grid(lat=(0, 19, 20), lon=(0, 24, 25)), s), 7))
+_query("node_array", "SELECT a.i::DOUBLE AS lat, (b.i * 2)::DOUBLE AS lon, (a.i * 3 + b.i)::DOUBLE AS value FROM range(4) a(i), range(3) b(i)")(
+    lambda s, d: shown(Array(source=[[3 * i + j for j in range(3)] for i in range(4)], coordinates=Coordinates.grid(lat=(0, 3, 4), lon=(0, 4, 3))).eval(Coordinates.grid(lat=(0, 3, 4), lon=(0, 4, 3)), s))
+)
+_query("node_preview", f"SELECT q.size::DOUBLE AS size, round(p.value, 4) AS value FROM (SELECT 1 + i * 7 AS size FROM range(8) r(i)) q LEFT JOIN {P} p ON p.size = q.size")(
+    lambda s, d: shown(_table(s, d, "sizes").interpolate("nearest_preview").eval(Coordinates([UniformAxis(1, 50, size=8, name="size")]), s))
+)
+_query("gauss", f"SELECT t.i * 5.0 + 3 AS size, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), 4) AS value FROM (SELECT t.i, value, exp(-2 * pow((size - 3) / 5 - t.i, 2)) AS w FROM {P}, range(10) t(i) WHERE abs(round_even((size - 3) / 5, 0) - t.i) <= 1) t GROUP BY 1")(
+    lambda s, d: shown(interpolate.area_resample(sizes(s, d), "gauss", {"size": (SIZE, UniformAxis(3, 48, size=10, name="size"))}))
+)
+_query("lanczos", f"SELECT size, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), 4) AS value FROM (SELECT q.size, p.value, CASE WHEN abs(q.size - p.size) < 1e-9 THEN 1.0 ELSE sin(pi() * (q.size - p.size)) / (pi() * (q.size - p.size)) * sin(pi() * (q.size - p.size) / 3) / (pi() * (q.size - p.size) / 3) END AS w FROM (SELECT 1.25 + i * 0.75 AS size FROM range(65) r(i)) q LEFT JOIN {P} p ON abs(p.size - q.size) < 3) GROUP BY 1")(
+    lambda s, d: shown(interpolate.lanczos(sizes(s, d), UniformAxis(1.25, 49.25, 0.75, name="size").frame(s), "size", SIZE))
+)
+_query("hash_cache", f"SELECT lat, lon, round(value, 3) AS value FROM {GAPS}")(lambda s, d: shown(_twice(HashCache(source=_table(s, d, "gaps"), path=_scratch(s)), s, Coordinates.grid(lat=(0, 19, 20), lon=(0, 24, 25))), 3))
+_query("partial_cache", f"SELECT r.lat, r.lon, round(value, 3) AS value FROM {_REQ_ALL_SQL} r LEFT JOIN {GAPS} g ON g.lat = r.lat AND g.lon = r.lon")(
+    lambda s, d: shown(_grown(PartialCache(source=_table(s, d, "gaps"), path=_scratch(s)), s), 3)
+)
+_query("parallel_output", f"SELECT r.lat, r.lon, round(value, 3) AS value FROM {_REQ_ALL_SQL} r LEFT JOIN {G} g ON g.lat = r.lat AND g.lon = r.lon WHERE r.lat < 20 AND r.lon < 25")(lambda s, d: shown(_twice(ParallelOutput(source=_table(s, d, "grid"), path=_scratch(s), chunks={"lat": 7, "lon": 10}), s, Coordinates.grid(lat=(0, 19, 20), lon=(0, 24, 25))), 3))
+
+
+def _twice(node: Node, s: SparkSession, ask: Coordinates) -> Coverage:
+    """The second evaluation, which finds what the first one stored."""
+    node.eval(ask, s)
+    return node.eval(ask, s)
+
+
+def _grown(node: Node, s: SparkSession) -> Coverage:
+    """A part first, then all."""
+    node.eval(Coordinates.grid(lat=(0, 9, 10), lon=(0, 26, 27)), s)
+    return node.eval(_WHOLE, s)
 
 
-_query("hourly_fill_daily_mean")(flagship)
+def _scratch(s: SparkSession) -> str:
+    """A fresh folder under the shared one that the session names, or under its warehouse."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lodegrid-{uuid.uuid4().hex}"

@@ -114,6 +114,131 @@ def _rank(v: Column, points: np.ndarray) -> Column:
     return tree(0, len(middles))
 
 
+def position(v: Column, asked: Axis) -> Column:
+    """How many of a request's distinct values lie below v (a number, times in microseconds). Uniform axes do it by
+    arithmetic; lists are cut into cells of equal width, so a value is compared with the points of one cell only."""
+    if asked.uniform and asked.size > 1 and not (asked.is_time and tu.nominal(asked.step)):
+        n = asked.size
+        start, step = (tu.micros(asked.values[0]), tu.micros(asked.step)) if asked.is_time else (float(asked.values[0]), float(asked.step))
+        point = lambda k: F.lit(float(start)) + (k if step > 0 else n - 1 - k) * F.lit(float(step))
+        low = start if step > 0 else start + (n - 1) * step
+        k = F.least(F.greatest(F.ceil((v - F.lit(float(low))) / F.lit(float(abs(step)))), F.lit(0)), F.lit(n)).cast("long")
+        k = F.when((k > 0) & (point(k - 1) >= v), k - 1).otherwise(k)
+        return F.when((k < n) & (point(k) < v), k + 1).otherwise(k)
+    points = np.unique(np.array([tu.micros(x) if asked.is_time else float(x) for x in asked.coordinates], float))
+    if len(points) <= 64:
+        return F.aggregate(F.lit(points.tolist()), F.lit(0).cast("long"), lambda n, p: n + (p < v).cast("long"))
+    width = (points[-1] - points[0]) / len(points)
+    cell = lambda x: F.least(F.greatest(F.floor((x - F.lit(float(points[0]))) / F.lit(float(width))), F.lit(0)), F.lit(len(points) - 1)).cast("int")
+    at = np.clip(np.floor((points - points[0]) / width), 0, len(points) - 1).astype(int)
+    before = np.searchsorted(at, np.arange(len(points))).tolist()
+    ends = np.searchsorted(at, np.arange(len(points)), side="right").tolist()
+    listed = F.lit(points.tolist())
+    here = F.slice(listed, F.get(F.lit(before), cell(v)) + 1, F.get(F.lit(ends), cell(v)) - F.get(F.lit(before), cell(v)))
+    return F.get(F.lit(before), cell(v)).cast("long") + F.aggregate(here, F.lit(0).cast("long"), lambda n, p: n + (p < v).cast("long"))
+
+
+def brackets(source: DataFrame, dim: str, asked: Axis, request: DataFrame) -> DataFrame:
+    """``request`` (rows of the plan-time axis ``asked``) with __i_x, its value as a number, and __i_below and __i_above,
+    the nearest values of ``dim`` in the source on either side (itself where the source has it, null beyond the ends).
+
+    One aggregate over the source, partial in each task, to the least and greatest value between two neighbours of the
+    request; the running values after that go over rows of the request only."""
+    v = number(F.col(dim), source, dim)
+    groups = source.select(v.alias("v")).groupBy(position(F.col("v"), asked).alias("__i_j")).agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    x = number(F.col(dim), request, dim)
+    own = request.withColumns({"__i_x": x, "__i_j": position(x, asked)})
+    both = own.select("__i_j", "__i_x").distinct().join(groups, "__i_j", "full_outer")
+    order = Window.orderBy("__i_j")
+    below = F.max("most").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.when(F.col("most") == F.col("__i_x"), F.col("__i_x")).otherwise(F.min("least").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    found = both.select("__i_j", "__i_x", below.alias("__i_below"), above.alias("__i_above")).where("__i_x is not null").drop("__i_x")
+    return own.join(found, "__i_j").drop("__i_j")
+
+
+def inferred_axis(c: Coverage, dim: str) -> UniformAxis | Axis | None:
+    """The axis of a source that declares none: uniform, or of one value, or None. Two aggregates of one row each, so
+    no list of values comes to the driver."""
+    stamped = isinstance(c.df.schema[dim].dataType, T.TimestampType)
+    v = F.unix_micros(dim) if stamped else F.col(dim).cast("double")
+    lo, hi, n = c.df.agg(F.min(v), F.max(v), F.count_distinct(v)).head()
+    value = (lambda x: np.datetime64(int(x), "us")) if stamped else float
+    if n < 2:
+        return Axis([value(lo)], dim) if n else None
+    step = (hi - lo) / (n - 1)
+    place = (v - F.lit(lo)) / F.lit(float(step))
+    off = c.df.agg(F.max(F.abs(place - F.rint(place)))).head()[0]
+    return UniformAxis(value(lo), value(hi), size=int(n), name=dim) if off <= 1e-9 and (not stamped or (hi - lo) % (n - 1) == 0) else None
+
+
+def nearest_sorted(source: Coverage, request: DataFrame, dim: str, asked: Axis, tolerance: float | None = None, respect_bounds: bool = True, remove_nan: bool = False) -> Coverage:
+    """The source cell nearest to each requested value of a dimension without a known axis: the rules of
+    ``nearest_irregular``, for sources of any size."""
+    src = source.df
+    for o in source.outputs if remove_nan else ():
+        src = src.where(F.col(o).isNotNull())
+    near = brackets(src, dim, asked, request)
+    x, lo, hi = F.col("__i_x"), F.col("__i_below"), F.col("__i_above")
+    pick = F.when(lo.isNull(), hi).when(hi.isNull(), lo).when(x - lo <= hi - x, lo).otherwise(hi)
+    good = lo.isNotNull() & hi.isNotNull() if respect_bounds else F.lit(True)
+    if tolerance is not None:
+        good = good & (F.abs(x - pick) <= tolerance * (1e6 if asked.is_time else 1.0))
+    return _lookup(source, near.withColumn("__i_pick", F.when(good, pick)), dim, F.col("__i_pick"), number(F.col(dim), source.df, dim), remove_nan)
+
+
+def linear_sorted(source: Coverage, request: DataFrame, dim: str, asked: Axis) -> Coverage:
+    """Linear between the neighbours of each requested value of a dimension without a known axis. An exact hit stands
+    for itself; outside the source, or beside a missing cell, the result is missing."""
+    keep = [c for c in request.columns if not c.startswith("__i_")]
+    shared = [d for d in source.dims if d != dim and d in keep]
+    free = [d for d in source.dims if d != dim and d not in keep]
+    near = brackets(source.df, dim, asked, request)
+    x, lo, hi = F.col("__i_x"), F.col("__i_below"), F.col("__i_above")
+    w = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
+    ends = F.when(lo == hi, F.array(F.struct(lo.alias("k"), F.lit(1.0).alias("w")))).otherwise(F.array(F.struct(lo.alias("k"), (1 - w).alias("w")), F.struct(hi.alias("k"), w.alias("w"))))
+    ends = F.when(lo.isNotNull() & hi.isNotNull(), ends).otherwise(F.array(F.struct(F.lit(None).cast("double").alias("k"), F.lit(0.0).alias("w"))))
+    asks = near.select(*keep, F.size(ends).alias("__n"), F.explode(ends).alias("__e")).select(*keep, "__n", F.col("__e.k").alias("__k"), F.col("__e.w").alias("__w"))
+    src = source.df.select(*shared, *free, number(F.col(dim), source.df, dim).alias("__k"), *source.outputs)
+    joined = asks.join(src, ["__k", *shared], "left")
+    outs = [F.when(F.count(o) == F.max("__n"), F.sum(F.col(o) * F.col("__w"))).alias(o) for o in source.outputs]
+    out = joined.groupBy(*keep, *free).agg(*outs)
+    for d in free:
+        out = out.where(F.col(d).isNotNull())
+    return source.with_df(out, dims=[*keep, *free])
+
+
+def carried(source: Coverage, keys: DataFrame | None, dim: str, asked: Axis, request: DataFrame, direction: str = "previous", tolerance: float | None = None) -> Coverage:
+    """The last known cell at or before each value of the plan-time axis ``asked`` (``next``: the first at or after), for
+    each combination of the other dimensions (``keys``).
+
+    Source cells shrink to one for each key and gap of the request before anything is shuffled; what is carried along
+    the request is that, so a hot key is as long as the request and no longer."""
+    others, outs = [d for d in source.dims if d != dim], list(source.outputs)
+    src = source.df
+    for o in outs:
+        src = src.where(F.col(o).isNotNull())
+    x = number(F.col(dim), src, dim)
+    src = src.withColumns({"__x": x, "__j": position(x, asked)})
+    if direction == "next":  # a cell serves the values up to the last one that is not above it
+        hits = request.select(number(F.col(dim), request, dim).alias("__at")).distinct()
+        hits = hits.select(position(F.col("__at"), asked).alias("__j"), "__at")
+        src = src.join(F.broadcast(hits) if asked.size <= 1_000_000 else hits, "__j", "left")
+        src = src.withColumn("__j", F.when(F.col("__x") == F.col("__at"), F.col("__j")).otherwise(F.col("__j") - 1)).where("__j >= 0")
+    best = (F.max if direction == "previous" else F.min)(F.struct("__x", *outs))
+    cells = src.groupBy(*others, "__j").agg(best.alias("__hit")).withColumns({"__side": F.lit(0), dim: F.lit(None).cast(request.schema[dim].dataType)})
+    asks = request.select(dim).withColumn("__j", position(number(F.col(dim), request, dim), asked))
+    asks = keys.select(*others).distinct().crossJoin(asks) if others else asks
+    asks = asks.withColumns({"__side": F.lit(1), "__hit": F.lit(None).cast(cells.schema["__hit"].dataType)})
+    order = Window.partitionBy(*others).orderBy(F.col("__j") if direction == "previous" else F.desc("__j"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = cells.unionByName(asks).withColumn("__hit", F.last("__hit", True).over(order)).where("__side = 1")
+    hit = F.col("__hit")
+    if tolerance is not None:
+        gap = F.abs(number(F.col(dim), met, dim) - F.col("__hit.__x"))
+        hit = F.when(gap <= tolerance * (1e6 if asked.is_time else 1.0), hit)
+    out = met.withColumn("__hit", hit).select(*others, dim, *(F.col(f"__hit.{o}").alias(o) for o in outs))
+    return source.with_df(out, dims=[*others, dim])
+
+
 def as_of(source: Coverage, request: DataFrame, dim: str, direction: str = "previous", tolerance: float | None = None) -> Coverage:
     """The last source value at or before each requested one (``next``: the first at or after) for sources
     of any size: both are merged in order within the shared dimensions and the value is carried along.
@@ -161,7 +286,7 @@ def nearest_points(source: Coverage, request: DataFrame, dims: list[str], cell:
     return source.with_df(out, dims=keep)
 
 
-#: Points that ``nearest_listed`` keeps in the plan.
+#: Points that a plan may hold as literals; more are a table and go through ``nearest_scattered``.
 LISTED = 20_000
 
 
@@ -172,8 +297,6 @@ def nearest_listed(source: Coverage, request: DataFrame, stack: Stack, scales: d
     dims = [a.name for a in stack.axes if a.name in request.columns]
     if not dims:
         raise ValueError("the request has none of the source's stacked dimensions")
-    if stack.size > LISTED:
-        raise ValueError(f"more than {LISTED} points: use nearest_points, which deals them into cells")
     unit = {a.name: 1e6 if a.is_time else 1.0 for a in stack.axes}
     values = lambda a: [tu.micros(v) / 1e6 if a.is_time else float(v) for v in a.coordinates]
     lists = {a.name: F.lit(values(a)) for a in stack.axes if a.name in dims}
@@ -196,6 +319,41 @@ def nearest_listed(source: Coverage, request: DataFrame, stack: Stack, scales: d
     return source.with_df(joined.select(*keep, *free, *source.outputs), dims=[*keep, *free])
 
 
+def nearest_scattered(source: Coverage, request: DataFrame, stacked: list[str], scales: dict[str, float] | None = None, tolerance: float | None = None) -> Coverage:
+    """The same for any number of points: they are dealt into cells, and requests without a point within reach look again
+    with twice the reach until all have one (or nothing lies within ``tolerance``). Equal distances go to the point that
+    sorts first."""
+    keep = [c for c in request.columns if not c.startswith("__i_")]
+    dims = [d for d in stacked if d in keep]
+    if not dims:
+        raise ValueError("the request has none of the source's stacked dimensions")
+    unit = {d: (scales or {}).get(d, 1.0) * (1e-6 if isinstance(source.df.schema[d].dataType, T.TimestampType) else 1.0) for d in dims}
+    rest = [d for d in stacked if d not in dims]
+    points = source.df.select(*stacked, *(F.col(d).alias(f"__k_{d}") for d in stacked)).distinct().drop(*rest)
+    cover = Coverage(points, tuple(dims), tuple(f"__k_{d}" for d in stacked))
+    x = lambda df, d: number(F.col(d), df, d) * unit[d]
+    ends = lambda df: df.agg(F.count("*").alias("n"), *(f(x(df, d)).alias(f"{i}{d}") for d in dims for i, f in (("lo", F.min), ("hi", F.max)))).head()
+    own, asked = ends(points), ends(request)
+    found, left = None, request.select(*keep).distinct()
+    span = {d: max(own[f"hi{d}"], asked[f"hi{d}"]) - min(own[f"lo{d}"], asked[f"lo{d}"]) for d in dims} if own.n and asked.n else dict.fromkeys(dims, 0.0)
+    whole = math.sqrt(sum(v * v for v in span.values())) or 1.0
+    reach = max(max(span.values()) / max(1.0, own.n ** (1 / len(dims))), whole * 1e-6)
+    while True:
+        at = reach if tolerance is None else min(reach, tolerance)
+        near = nearest_points(cover, left, dims, max(at, whole * 1e-9), at, unit)
+        known = F.col(f"__k_{stacked[0]}").isNotNull()
+        if at > whole or tolerance is not None and at >= tolerance or (left := near.df.where(~known).select(*keep)).isEmpty():
+            found = near.df if found is None else found.unionByName(near.df)
+            break
+        found = near.df.where(known) if found is None else found.unionByName(near.df.where(known))
+        reach *= 2
+    free = [d for d in source.dims if d not in stacked and d not in keep]
+    shared = [d for d in source.dims if d not in stacked and d in keep]
+    src = source.df.select(*(F.col(d).alias(f"__k_{d}") for d in stacked), *shared, *free, *source.outputs)
+    joined = request.select(*keep).join(found.distinct(), keep).join(src, [*(f"__k_{d}" for d in stacked), *shared], "left")
+    return source.with_df(joined.select(*keep, *free, *source.outputs), dims=[*keep, *free])
+
+
 def nearest_at_points(source: Coverage, request: DataFrame, axes: dict[str, UniformAxis], ties: str = "-infinity") -> Coverage:
     """Points over a gridded source: an index for each dimension, and one equi-join on all of them."""
     df, src = request, source.df
@@ -289,6 +447,23 @@ def fill_missing(c: Coverage, dim: str) -> Coverage:
     return c.mapped(filled)
 
 
+def fill_carried(c: Coverage, dim: str, reach: float) -> Coverage:
+    """Fill missing cells along a dimension from the last known cell within ``reach`` (seconds for time), or else from
+    the next one within it: one sort for both."""
+    others = [d for d in c.dims if d != dim]
+    order = Window.partitionBy(*others).orderBy(dim)
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    x = number(F.col(dim), c.df, dim)
+    far = reach * (1e6 if isinstance(c.df.schema[dim].dataType, T.TimestampType) else 1.0)
+
+    def filled(v: Column) -> Column:
+        known = F.when(v.isNotNull(), F.struct(x.alias("x"), v.alias("v")))
+        a, b = F.last(known, True).over(before), F.first(known, True).over(after)
+        return F.coalesce(F.when(x - a["x"] <= far, a["v"]), F.when(b["x"] - x <= far, b["v"]))
+
+    return c.mapped(filled)
+
+
 def area_resample(source: Coverage, method: str, axes: dict[str, tuple[UniformAxis, UniformAxis]]) -> Coverage:
     """Resample to coarser uniform axes: each source cell goes to the target cell that holds its centre.
     ``axes`` is {dim: (source axis, target axis)}. Modes that tie take the smallest value."""
@@ -353,8 +528,9 @@ def spline_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a, b)
 
 
-def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
-    """Cubic (not-a-knot) or quadratic (through the three nearest points) interpolation; NaN outside."""
+def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int, even: str = "parabola") -> np.ndarray:
+    """Interpolation of a degree; NaN outside. Cubic splines are not-a-knot; degree 2 takes the parabola through the
+    three nearest points, or with ``even="spline"``, as every other degree, the interpolating spline."""
     good = ~np.isnan(y)
     x, y = x[good], y[good]
     if len(x) <= degree:
@@ -366,14 +542,38 @@ def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np.
         h = x[i + 1] - x[i]
         a, b = (x[i + 1] - at) / h, (at - x[i]) / h
         out = a * y[i] + b * y[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h**2 / 6
-    else:
+    elif degree == 2 and even == "parabola":
         j = np.clip(np.where(at - x[i] > x[i + 1] - at, i, i - 1), 0, len(x) - 3)
         p, q, r = x[j], x[j + 1], x[j + 2]
         out = y[j] * (at - q) * (at - r) / ((p - q) * (p - r)) + y[j + 1] * (at - p) * (at - r) / ((q - p) * (q - r)) + y[j + 2] * (at - p) * (at - q) / ((r - p) * (r - q))
+    else:
+        knots = spline_knots(x, degree)
+        out = basis(np.clip(at, x[0], x[-1]), knots, degree) @ np.linalg.solve(basis(x, knots, degree), y)
     return np.where(inside, out, np.nan)
 
 
-def spline(source: Coverage, request: Axis, dim: str, degree: int = 3) -> Coverage:
+def spline_knots(x: np.ndarray, degree: int) -> np.ndarray:
+    """Knots of the interpolating spline: the points for odd degrees, their middles for even ones, without those next
+    to the ends, so that there are as many coefficients as points."""
+    half = degree // 2
+    inner = x[half + 1 : len(x) - half - 1] if degree % 2 else ((x[1:] + x[:-1]) / 2)[half : len(x) - 1 - half]
+    return np.concatenate([[x[0]] * (degree + 1), inner, [x[-1]] * (degree + 1)])
+
+
+def basis(at: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
+    """The values of all B-splines of a degree at each point (rows), by their recurrence."""
+    n = len(knots) - degree - 1
+    cell = np.clip(np.searchsorted(knots, at, side="right") - 1, degree, n - 1)
+    out = (cell[:, None] == np.arange(len(knots) - 1)[None]).astype(float)
+    for k in range(1, degree + 1):
+        left, right = knots[:-k], knots[k:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ramp = np.where(right > left, (at[:, None] - left[None]) / (right - left)[None], 0.0)
+        out = ramp[:, :-1] * out[:, : len(knots) - 1 - k] + np.where(right > left, 1 - ramp, 0.0)[:, 1:] * out[:, 1 : len(knots) - k]
+    return out
+
+
+def spline(source: Coverage, request: Axis, dim: str, degree: int = 3, even: str = "parabola") -> Coverage:
     """Polynomial interpolation along one dimension to a plan-time axis, a line at a time in pandas
     workers; a line is one combination of the other dimensions."""
     others = [d for d in source.dims if d != dim]
@@ -387,12 +587,35 @@ def spline(source: Coverage, request: Axis, dim: str, degree: int = 3) -> Covera
         line = line.sort_values(dim)
         x = line[dim].astype("datetime64[us]").astype("int64").to_numpy(float) if request.is_time else line[dim].to_numpy(float)
         data = {d: [line[d].iloc[0]] * len(at) for d in others} | {dim: stamps}
-        return pd.DataFrame(data | {o: polynomial(x, line[o].to_numpy(float), at, degree) for o in outs})[[*others, dim, *outs]]
+        return pd.DataFrame(data | {o: polynomial(x, line[o].to_numpy(float), at, degree, even) for o in outs})[[*others, dim, *outs]]
 
     made = source.with_df(source.df.groupBy(*others).applyInPandas(run, schema), dims=[*others, dim])
     return made.mapped(lambda v: F.when(F.isnan(v), None).otherwise(v))
 
 
+def lanczos(source: Coverage, request: DataFrame, dim: str, axis: UniformAxis, lobes: int = 3) -> Coverage:
+    """Windowed sinc along one uniform dimension: the ``lobes`` cells on either side of each requested value, weighted
+    and normalised over the known ones. Outside the axis, or where its nearest cell is missing, the result is missing."""
+    keep = [c for c in request.columns if not c.startswith("__i_")]
+    shared = [d for d in source.dims if d != dim and d in keep]
+    free = [d for d in source.dims if d != dim and d not in keep]
+    place = axis_index(F.col(dim), axis)
+    inside = (place >= -1e-9) & (place <= axis.size - 1 + 1e-9)
+    first = F.floor(place + 1e-9).cast("long") - (lobes - 1)
+    asks = request.select(*keep, place.alias("__p"), F.when(inside, first).alias("__f"))
+    asks = asks.withColumn("__k", F.explode(F.when(F.col("__f").isNotNull(), F.sequence(F.col("__f"), F.col("__f") + (2 * lobes - 1))).otherwise(F.array(F.lit(-1).cast("long")))))
+    d = F.col("__p") - F.col("__k")
+    sinc = lambda t: F.when(F.abs(t) < 1e-9, 1.0).otherwise(F.sin(F.pi() * t) / (F.pi() * t))
+    asks = asks.withColumn("__w", F.when(F.abs(d) < lobes, sinc(d) * sinc(d / lobes)).otherwise(0.0)).withColumn("__near", F.abs(d) <= 0.5 + 1e-9)
+    src = source.df.select(*shared, *free, whole_index(F.col(dim), axis).alias("__k"), *source.outputs)
+    joined = asks.join(src, ["__k", *shared], "left")
+    value = lambda o: F.when(F.bool_or(F.col("__near") & F.col(o).isNotNull()), F.try_divide(F.sum(F.col(o) * F.col("__w")), F.sum(F.when(F.col(o).isNotNull(), F.col("__w")))))
+    out = joined.groupBy(*keep, *free).agg(*(value(o).alias(o) for o in source.outputs))
+    for f in free:
+        out = out.where(F.col(f).isNotNull())
+    return source.with_df(out, dims=[*keep, *free])
+
+
 def strided(source: Coverage, dim: str, axis: UniformAxis, wanted_step: float) -> Coverage:
     """A preview: every n-th cell, n the ratio of the steps."""
     width = abs(tu.micros(axis.step)) / 1e6 if axis.is_time else abs(float(axis.step))

@@ -148,15 +148,20 @@ class ResampleReduce(UnaryAlgorithm):
 
 
 class DayOfYearWindow(UnaryAlgorithm):
-    """Reduce within a circular window of days of the year; a subclass may define ``function(series)``."""
+    """Reduce within a circular window of days of the year; a subclass may define ``function(series)``. Values are scaled
+    by the inputs ``scale_min`` and ``scale_max``, where given, and else by ``scale_float``."""
 
     attributes = {"window": 0, "scale_float": None, "rescale": False, "reduce_fn": "mean"}
+    input_names = ("source", "scale_min", "scale_max")
     function: Callable | None = None
 
     def algorithm(self, inputs, coordinates):
         a = self.attrs
         fn = self.function if self.function is not None else a["reduce_fn"]
-        return reduce.day_of_year_window(inputs["source"], a["window"], fn, scale_float=a["scale_float"], rescale=a["rescale"])
+        given = a["scale_float"] or (None, None)
+        ends = [inputs.get(n, given[k]) for k, n in enumerate(("scale_min", "scale_max"))]
+        scale = ends if all(e is not None for e in ends) else None
+        return reduce.day_of_year_window(inputs["source"], a["window"], fn, scale_float=scale, rescale=a["rescale"])
 
 
 class BetaFitDayOfYear(UnaryAlgorithm):
@@ -273,7 +278,9 @@ class TileCompositor(BaseCompositor):
 
 
 # -- interpolation -------------------------------------------------------------------------------
-METHODS = {"nearest", "nearest_preview", "linear", "bilinear", "quadratic", "cubic", "zero", "slinear", "next", "previous", "average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum", "none"}
+METHODS = {"nearest", "nearest_preview", "linear", "bilinear", "quadratic", "cubic", "cubic_spline", "lanczos", "spline_2", "spline_3", "spline_4", "splinef2d", "zero", "slinear", "next", "previous", "average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum", "none"}
+#: Degrees of the splines; "quadratic" takes parabolas.
+SPLINES = {"quadratic": 2, "cubic": 3, "cubic_spline": 3, "splinef2d": 3, "spline_2": 2, "spline_3": 3, "spline_4": 4}
 #: Requested axes of more values than this are not broadcast.
 BROADCAST_CELLS = 1_000_000
 AREA = {"average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum"}
@@ -310,27 +317,36 @@ class Interpolate(Node):
             asked = asked.transform(found[0].crs)
         inner = request.at(asked)
         inner.neighbours = True
+        inner.open = {d: method for method, dims, _ in self.steps(asked.udims) for d in dims if method in ("previous", "zero", "next")}
         c = source.compile(inner)
         stacked = [p for f in found for p in f.parts if isinstance(p, Stack) and set(p.dims) <= set(c.dims)]
         if stacked:
             wanted = [d for d in asked.udims if d in stacked[0].dims]
             scales = {d: self._params().get(k) for d, k in (("lat", "spatial_scale"), ("lon", "spatial_scale"), ("time", "time_scale"), ("alt", "alt_scale")) if self._params().get(k)}
-            return interpolate.nearest_listed(c, request.at(asked).frame(wanted).select(*wanted), stacked[0], scales, self._params().get("spatial_tolerance"))
+            frame, tolerance = request.at(asked).frame(wanted).select(*wanted), self._params().get("spatial_tolerance")
+            if stacked[0].size > interpolate.LISTED:
+                return interpolate.nearest_scattered(c, frame, [d for d in stacked[0].dims if d in c.dims], scales, tolerance)
+            return interpolate.nearest_listed(c, frame, stacked[0], scales, tolerance)
         for part in asked.parts:
             if isinstance(part, Stack) and len(set(part.dims) & set(c.dims)) > 1:
                 return self._points(c, asked, part, found, request)
         own = {d: self._axis(c, d, found) for d in c.dims if d in asked.udims}
-        for method, dims, params in self.steps(list(own)):
+        steps = self.steps(list(own))
+        for method, dims, params in steps:
             c = self._step(c, method, dims, params, asked, own, request)
+        in_turn = sum(1 if method == "bilinear" and len(dims) == 2 else len(dims) for method, dims, _ in steps)
+        if in_turn > 1 and not any(method in AREA or method == "none" for method, _, _ in steps):
+            # one dimension after the other leaves out cells that the source lacks: they are missing, not absent
+            cells = Coordinates([asked.axis(d) for d in own], crs=asked.crs).frame(request.spark).select(*own)
+            c = c.with_df(cells.join(c.df, list(own), "left"))
         return c
 
     def _axis(self, c: Coverage, d: str, found: list[Coordinates]) -> Axis | None:
-        """The source's axis: known at plan time, or its distinct values."""
+        """The source's axis: known at plan time, or inferred if it is uniform, else None."""
         for f in found:
             if any(isinstance(p, Axis) and p.name == d for p in f.parts):
                 return f.axis(d).simplify()
-        values = [r[0] for r in c.df.select(d).distinct().orderBy(d).collect()]
-        return Axis([np.datetime64(v) if hasattr(v, "year") else v for v in values], d).simplify()
+        return interpolate.inferred_axis(c, d)
 
     def _step(self, c, method, dims, params, asked, own, request) -> Coverage:
         frame = lambda d: Coordinates([asked.axis(d)], crs=asked.crs).frame(request.spark)
@@ -339,49 +355,43 @@ class Interpolate(Node):
         if method in AREA:
             pairs = {d: (own[d], asked.axis(d).simplify()) for d in dims}
             return interpolate.area_resample(c, method, pairs)
-        if method in ("bilinear", "linear", "slinear") and len(dims) == 2 and all(own[d].uniform and own[d].size > 1 for d in dims):
+        straight = method in ("bilinear", "linear", "slinear")
+        regular = lambda d: own[d] is not None and own[d].uniform and own[d].size > 1
+        if straight and len(dims) == 2 and all(regular(d) for d in dims):
             both = Coordinates([asked.axis(d) for d in dims], crs=asked.crs)
             first = tuple(_first(own[d], asked.axis(d)) for d in dims)
             return interpolate.bilinear(c, both.frame(request.spark), *dims, *(own[d] for d in dims), first=first)
         for d in dims:
             axis = own[d]
-            if asked.axis(d) == axis or asked.axis(d).issubset(axis) and method != "nearest_preview":
+            if axis is not None and (asked.axis(d) == axis or asked.axis(d).issubset(axis) and method != "nearest_preview"):
                 cells = frame(d).select(d)
                 c = c.with_df(c.df.join(F.broadcast(cells) if asked.axis(d).size <= BROADCAST_CELLS else cells, d, "left_semi"))
-            elif method in ("bilinear", "linear", "slinear") and axis.uniform and axis.size > 1:
+            elif straight and regular(d):
                 c = interpolate.linear(c, frame(d), d, axis, extrapolate=params.get("fill_value") == "extrapolate", first_pruned=_first(axis, asked.axis(d)))
             elif method in ("next", "previous", "zero"):
-                c = self._carried(c, d, "next" if method == "next" else "previous", asked, request)
-            elif method in ("quadratic", "cubic"):
-                c = interpolate.spline(c, asked.axis(d), d, 2 if method == "quadratic" else 3)
-            elif method in ("bilinear", "linear", "slinear") and axis.size > 1:
-                c = self._irregular_linear(c, d, asked, request)
+                c = interpolate.carried(c, c.df, d, asked.axis(d), frame(d), "next" if method == "next" else "previous")
+            elif method in SPLINES:
+                c = interpolate.spline(c, asked.axis(d), d, SPLINES[method], "parabola" if method == "quadratic" else "spline")
+            elif method == "lanczos" and regular(d):
+                c = interpolate.lanczos(c, frame(d), d, axis)
+            elif method == "lanczos":
+                raise ValueError(f"lanczos needs a uniform axis {d!r}")
+            elif straight and (axis is None or axis.size > 1):
+                c = interpolate.linear_sorted(c, frame(d), d, asked.axis(d))
             else:
-                if method == "nearest_preview" and axis.uniform and asked.axis(d).size > 1:
+                if method == "nearest_preview" and axis is not None and axis.uniform and asked.axis(d).size > 1:
                     want = abs((asked.axis(d).coordinates[-1] - asked.axis(d).coordinates[0]) / (asked.axis(d).size - 1))
                     c = interpolate.strided(c, d, axis, want if not isinstance(want, np.timedelta64) else tu.micros(want) / 1e6)
                 tolerance = params.get("time_tolerance" if d == "time" else "alt_tolerance" if d == "alt" else "spatial_tolerance")
                 options = {"tolerance": tolerance, "respect_bounds": params.get("respect_bounds", True), "remove_nan": params.get("remove_nan", False)}
-                if axis.uniform:
+                if axis is None:
+                    c = interpolate.nearest_sorted(c, frame(d), d, asked.axis(d), **options)
+                elif axis.uniform:
                     c = interpolate.nearest_uniform(c, frame(d), d, axis, ties=params.get("ambiguous_rounding", "-infinity"), **options)
                 else:
                     c = interpolate.nearest_irregular(c, frame(d), d, axis, **options)
         return c
 
-    def _carried(self, c, d, direction, asked, request) -> Coverage:
-        others = [x for x in c.dims if x != d]
-        frame = Coordinates([asked.axis(d)], crs=asked.crs).frame(request.spark).select(d)
-        keys = c.df.select(*others).distinct().crossJoin(F.broadcast(frame)) if others else frame
-        return interpolate.as_of(c, keys, d, direction)
-
-    def _irregular_linear(self, c, d, asked, request) -> Coverage:
-        a, b = (self._carried(c.with_df(c.df.withColumn("__x", interpolate.number(F.col(d), c.df, d)), outputs=[*c.outputs, "__x"]), d, way, asked, request) for way in ("previous", "next"))
-        right = b.df.withColumnsRenamed({o: f"__n_{o}" for o in b.outputs})
-        df = a.df.join(right, list(a.dims))
-        w = F.try_divide(interpolate.number(F.col(d), df, d) - F.col("__x"), F.col("__n___x") - F.col("__x"))
-        outs = [F.when(F.col("__x") == F.col("__n___x"), F.col(o)).otherwise(F.col(o) * (1 - w) + F.col(f"__n_{o}") * w).alias(o) for o in c.outputs]
-        return c.with_df(df.select(*a.dims, *outs), dims=a.dims)
-
     def _params(self) -> dict:
         given = self.attrs["interpolation"]
         items = given if isinstance(given, list) else [given]
@@ -390,7 +400,7 @@ class Interpolate(Node):
     def _points(self, c: Coverage, asked: Coordinates, stack: Stack, found: list[Coordinates], request: Request) -> Coverage:
         """A stack of requested points over a gridded source."""
         axes = {d: self._axis(c, d, found) for d in stack.dims if d in c.dims}
-        if not all(a.uniform for a in axes.values()):
+        if not all(a is not None and a.uniform for a in axes.values()):
             raise ValueError("points over a gridded source need uniform axes")
         method = self.steps(list(axes))[0][0]
         frame = request.at(asked).frame([stack.name])
@@ -428,7 +438,7 @@ class Reproject(Node):
         whole = merge_dims([kept, Coordinates(rest, crs=kept.crs)]) if rest else kept
         inner = Interpolate(source=self.inputs["source"], interpolation=self.attrs["interpolation"]) if not isinstance(self.inputs["source"], Interpolate) else self.inputs["source"]
         c = inner.compile(request.at(whole))
-        frozen = Frozen(coverage=c, coordinates=whole)
+        frozen = Frozen(coverage=c, coordinates=whole, origin=inner.hash)
         return Interpolate(source=frozen, interpolation=self.attrs["interpolation"]).compile(request)
 
 
@@ -439,7 +449,7 @@ class ReprojectedSource(Reproject):
 class Frozen(Node):
     """A compiled coverage as a source on known coordinates."""
 
-    attributes = {"coverage": None, "coordinates": None}
+    attributes = {"coverage": None, "coordinates": None, "origin": None}
     input_names = ()
 
     def find_coordinates(self):
@@ -447,7 +457,8 @@ class Frozen(Node):
 
     @property
     def hash(self) -> str:
-        return f"frozen-{id(self.attrs['coverage']):x}"
+        """Of what the coverage was made from: the node, and the coordinates it was asked for."""
+        return f"frozen-{self.attrs['origin']}-{self.attrs['coordinates'].hash}"
 
     def build(self, request: Request) -> Coverage:
         return self.attrs["coverage"]

@@ -144,41 +144,96 @@ def scaled(v: Column, low: Column | float, high: Column | float) -> Column:
     return F.when((s >= 0) & (s <= 1), s)
 
 
+#: Reductions that days can be reduced by first: (state of a day, result from the states).
+MERGEABLE: dict[str, tuple[dict[str, Callable[[Column], Column]], Callable[[Callable[[str], Column]], Column]]] = {
+    "min": ({"a": F.min}, lambda s: F.min(s("a"))),
+    "max": ({"a": F.max}, lambda s: F.max(s("a"))),
+    "sum": ({"a": F.sum}, lambda s: F.coalesce(F.sum(s("a")), F.lit(0.0))),
+    "count": ({"n": lambda v: F.count(F.when(finite(v), 1))}, lambda s: F.coalesce(F.sum(s("n")), F.lit(0)).cast("double")),
+    "mean": ({"a": F.sum, "n": F.count}, lambda s: F.try_divide(F.sum(s("a")), F.sum(s("n")))),
+    "all": ({"a": lambda v: F.bool_and(_truth(v))}, lambda s: F.bool_and(s("a")).cast("double")),
+    "any": ({"a": lambda v: F.bool_or(_truth(v))}, lambda s: F.bool_or(s("a")).cast("double")),
+    "prod": ({"a": F.product}, lambda s: F.coalesce(F.product(s("a")), F.lit(1.0))),
+}
+
+
 def day_of_year_window(
     c: Coverage,
     window: int,
     fn: str | Callable[[pd.Series], float],
     time: str = "time",
-    scale_float: tuple[float, float] | None = None,
+    scale_float: tuple[float | Coverage, float | Coverage] | None = None,
     rescale: bool = False,
 ) -> Coverage:
     """For each day of year in the data, reduce all samples whose day lies within window // 2 of it on a
-    circle of 365 days (day 366 counts as 365). ``scale_float`` is (low, high): values are scaled to
-    [0, 1] first, and back afterwards with ``rescale``. The samples' days are spread over the days they
-    count for, a fixed number, and meet by an equi-join."""
+    circle of 365 days (day 366 counts as 365). ``scale_float`` is (low, high), numbers or coverages over dimensions
+    of the source: values are scaled to [0, 1] first, and back afterwards with ``rescale``.
+
+    Where the reduction can be merged, samples are reduced by key and day first, so at most 366 rows a key are
+    spread over the days that they count for; other reductions spread the samples themselves."""
     others = [d for d in c.dims if d != time]
-    met = day_of_year_samples(c, window, time, scale_float)
-    if callable(fn):
-        out = _custom_groups(c.with_df(met), fn, [*others, time])
+    if scale_float and any(isinstance(x, Coverage) for x in scale_float):
+        c, scale_float, ends = _with_ends(c, scale_float)
     else:
-        f = aggregate(fn)
-        out = c.with_df(met.groupBy(*others, time).agg(*(f(F.col(o)).alias(o) for o in c.outputs)), dims=[*others, time])
-    if rescale and scale_float:
-        low, high = scale_float
-        out = out.mapped(lambda v: v * (high - low) + low)
-    return out
+        ends = None
+    if not callable(fn) and fn in MERGEABLE:
+        out = _merged_days(c, window, fn, time, scale_float)
+    else:
+        met = day_of_year_samples(c, window, time, scale_float)
+        out = _custom_groups(c.with_df(met), fn, [*others, time]) if callable(fn) else c.with_df(met.groupBy(*others, time).agg(*(aggregate(fn)(F.col(o)).alias(o) for o in c.outputs)), dims=[*others, time])
+    if not rescale or not scale_float:
+        return out
+    if ends is None:
+        low, high = (F.lit(float(x)) for x in scale_float)
+        return out.mapped(lambda v: v * (high - low) + low)
+    df = out.df.join(ends, [d for d in ends.columns if d in others], "left") if set(ends.columns) & set(others) else out.df.crossJoin(ends)
+    return out.with_df(df.select(*out.dims, *((F.col(o) * (F.col("__high") - F.col("__low")) + F.col("__low")).alias(o) for o in out.outputs)))
+
+
+def _with_ends(c: Coverage, scale: tuple[float | Coverage, float | Coverage]) -> tuple[Coverage, tuple[Column, Column], DataFrame]:
+    """``c`` with the columns __low and __high beside its outputs, and the table of them by the dimensions they have."""
+    table = None
+    for name, x in zip(("__low", "__high"), scale, strict=True):
+        if not isinstance(x, Coverage):
+            table = table.withColumn(name, F.lit(float(x))) if table is not None else None
+            continue
+        own = x.df.select(*x.dims, F.col(x.outputs[0]).alias(name))
+        shared = [d for d in x.dims if table is not None and d in table.columns]
+        table = own if table is None else table.join(own, shared, "full_outer") if shared else table.crossJoin(own)
+    if "__low" not in table.columns:
+        table = table.withColumn("__low", F.lit(float(scale[0])))
+    keys = [d for d in table.columns if d in c.dims]
+    df = c.df.join(table, keys, "left") if keys else c.df.crossJoin(table)
+    return c.with_df(df.select(*c.dims, *c.outputs, "__low", "__high")), (F.col("__low"), F.col("__high")), table
+
+
+def _scaled(c: Coverage, scale: tuple | None) -> DataFrame:
+    return c.df.select(*c.dims, *(scaled(F.col(o), *scale).alias(o) for o in c.outputs)) if scale else c.df.select(*c.dims, *c.outputs)
+
+
+def _wanted_days(c: Coverage, time: str) -> DataFrame:
+    """The days of year in the data (``time``, 366 rows at most) and as days of a circle (__day)."""
+    return c.df.select(F.dayofyear(time).cast("long").alias(time)).distinct().withColumn("__day", F.least(time, F.lit(365)).cast("long"))
+
+
+def _spread(df: DataFrame, window: int) -> DataFrame:
+    """Rows once for every day (__day) whose window they lie in."""
+    half = window // 2
+    return df.withColumn("__to", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("__day", F.pmod(F.col("__day") - 1 + F.col("__to"), F.lit(365)) + 1).drop("__to")
+
 
+def _merged_days(c: Coverage, window: int, fn: str, time: str, scale: tuple | None) -> Coverage:
+    others, (state, result) = [d for d in c.dims if d != time], MERGEABLE[fn]
+    day = F.least(F.dayofyear(time), F.lit(365)).cast("long").alias("__day")
+    days = _scaled(c, scale).groupBy(*others, day).agg(*(f(F.col(o)).alias(f"__{o}_{k}") for o in c.outputs for k, f in state.items()))
+    met = _spread(days, window).join(F.broadcast(_wanted_days(c, time)), "__day")  # 366 rows at most
+    return c.with_df(met.groupBy(*others, time).agg(*(result(lambda k, o=o: F.col(f"__{o}_{k}")).alias(o) for o in c.outputs)), dims=[*others, time])
 
-def day_of_year_samples(c: Coverage, window: int, time: str, scale_float: tuple[float, float] | None) -> DataFrame:
+
+def day_of_year_samples(c: Coverage, window: int, time: str, scale: tuple | None) -> DataFrame:
     """Each sample once for every day of year (``time``) whose window it lies in."""
-    day = F.least(F.dayofyear(time), F.lit(365)).cast("long")
-    half = window // 2
-    df = c.df
-    if scale_float:
-        df = df.select(*c.dims, *(scaled(F.col(o), *scale_float).alias(o) for o in c.outputs))
-    wanted = c.df.select(F.dayofyear(time).cast("long").alias(time)).distinct().withColumn("__day", F.least(time, F.lit(365)).cast("long"))
-    spread = df.withColumn("__to", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("__day", F.pmod(day - 1 + F.col("__to"), F.lit(365)) + 1)
-    return spread.drop(time, "__to").join(F.broadcast(wanted), "__day").drop("__day")  # 366 rows at most
+    df = _scaled(c, scale).withColumn("__day", F.least(F.dayofyear(time), F.lit(365)).cast("long")).drop(time)
+    return _spread(df, window).join(F.broadcast(_wanted_days(c, time)), "__day").drop("__day")  # 366 rows at most
 
 
 def group_frame(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Coverage:

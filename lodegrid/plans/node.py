@@ -35,6 +35,8 @@ class Request:
         self.coords, self.spark, self.memo = coords, spark, {}
         #: Whether the cells are neighbours for an interpolation, so that a source may not narrow points to the box.
         self.neighbours = False
+        #: Dimensions along which an interpolation carries values on ("previous", "zero" or "next"), however far.
+        self.open: dict[str, str] = {}
 
     def frame(self, dims: list[str] | None = None) -> DataFrame:
         """The request's cells, over the given dimensions only (whole stacks if one member is wanted)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.operators import algebra
-from lodegrid.plans.coordinates import Axis, Coordinates, Stack, index_column
+from lodegrid.plans.coordinates import Axis, Coordinates, Stack, index_column, literal
 from lodegrid.plans.coverage import Coverage
 from lodegrid.plans.node import Node, Request, coordinates_of
 from lodegrid.sources import tables
@@ -57,7 +57,7 @@ class DataSource(Node):
         asked = request.coords
         if own is not None and own.crs != asked.crs:
             asked = asked.transform(own.crs)
-        bounds = {}
+        bounds, loose = {}, {}
         for d, b in asked.bounds.items():
             if d not in data.dims:
                 continue
@@ -71,8 +71,32 @@ class DataSource(Node):
                     continue
                 kept = own.axis(d).select(b, outer=True)
                 b = kept.bounds if kept.size else b
+            elif request.neighbours:
+                loose[d] = b
+                continue
             bounds[d] = b
-        return data.within(bounds)
+        return _with_neighbours(data.within(bounds), loose, request.open)
+
+
+def _with_neighbours(data: Coverage, bounds: dict[str, list], open_: dict[str, str]) -> Coverage:
+    """The cells within bounds and the next ones beyond them, of dimensions whose coordinates nobody declared: one
+    aggregate of one row finds those values. Along dimensions that carry values on, that side stays open."""
+    if not bounds:
+        return data
+    stamped = {d: isinstance(data.df.schema[d].dataType, T.TimestampType) for d in bounds}
+    x = lambda d: F.unix_micros(d) if stamped[d] else F.col(d).cast("double")
+    ends = data.df.agg(
+        *(F.max(F.when(F.col(d) <= literal(lo), x(d))).alias(f"lo_{d}") for d, (lo, _) in bounds.items()),
+        *(F.min(F.when(F.col(d) >= literal(hi), x(d))).alias(f"hi_{d}") for d, (_, hi) in bounds.items()),
+    ).head()
+    df = data.df
+    for d, (lo, hi) in bounds.items():
+        at = lambda v, given: literal(given) if v is None else F.timestamp_micros(F.lit(v)) if stamped[d] else F.lit(v)  # noqa: B023, E731
+        if open_.get(d) not in ("previous", "zero"):
+            df = df.where(F.col(d) >= at(ends[f"lo_{d}"], lo))
+        if open_.get(d) != "next":
+            df = df.where(F.col(d) <= at(ends[f"hi_{d}"], hi))
+    return data.with_df(df)
 
 
 class Table(DataSource):

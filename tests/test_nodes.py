@@ -8,9 +8,10 @@ from lodegrid import Coordinates, Node, crange
 from lodegrid.algorithm import Arange, Arithmetic, Combine, Convolution, CoordData, Count, DayOfYearWindow, ExpandCoordinates, GroupReduce, Kurtosis, Mask, Max, Mean, Median, Min, Percentile, Reproject, ResampleReduce, SelectCoordinates, SinCoords, Skew, StandardDeviation, Sum, TransformTimeUnits, Variance, YearSubstituteCoordinates
 from lodegrid.caches import HashCache, PartialCache
 from lodegrid.compositor import OrderedCompositor, TileCompositor
-from lodegrid.data import CSV, Array, Dataset, Overviews
+from lodegrid.data import CSV, Array, Dataset, Overviews, Table
 from lodegrid.interpolators import Interpolate
 from lodegrid.managers import Parallel
+from lodegrid.operators import interpolate
 from lodegrid.plans.coordinates import concat
 from lodegrid.plans.node import NodeException, describe_operators
 from lodegrid.sources import sinks
@@ -125,9 +126,10 @@ def test_day_of_year_window(spark):
     ask = concat([Coordinates([crange("1999-12-29", "2000-01-02", "1,D", "time")]), Coordinates([crange("2001-12-30", "2002-01-03", "1,D", "time")])])
     assert dense(DayOfYearWindow(source=Arange(), window=1, reduce_fn="count").eval(ask, spark)).tolist() == [2, 2, 1, 1, 2, 2]
     ask = concat([Coordinates([crange("1999-12-29", "2000-01-03", "1,D", "time")]), Coordinates([crange("2001-12-30", "2002-01-02", "1,D", "time")])])
-    # days 1, 2, 3 and 363, 364, 365 by their samples within one day on either side
-    got = dense(DayOfYearWindow(source=Arange(), window=2, reduce_fn="count").eval(ask, spark))
-    assert sorted(got.tolist()) == sorted([6, 5, 3, 3, 5, 6])
+    got = DayOfYearWindow(source=Arange(), window=2, reduce_fn="count").eval(ask, spark)
+    assert {r.time: r.value for r in got.df.collect()} == {1: 6, 2: 5, 3: 3, 363: 3, 364: 5, 365: 6}
+    by_node = DayOfYearWindow(source=Arange(), window=2, scale_min=SinCoords(), scale_float=[None, 9.0], rescale=True)
+    assert set(by_node.inputs) == {"source", "scale_min"}
 
 
 def test_convolution(spark):
@@ -202,6 +204,86 @@ def test_splines(spark):
     assert np.allclose(got, np.array([0.5, 2.25, 5.9]) ** 3)
 
 
+@pytest.mark.parametrize(("method", "degree"), [("spline_2", 2), ("spline_3", 3), ("spline_4", 4), ("cubic_spline", 3), ("splinef2d", 3)])
+def test_splines_keep_polynomials(spark, method, degree):
+    x, at = np.array([0, 1, 2.5, 3, 4.5, 6, 7, 9]), [0.0, 0.5, 2.25, 5.9, 8.7, 9.0, 9.5]
+    node = Array(source=np.outer(x**degree, [1, 2.0]), coordinates=Coordinates([x, [0, 1]], dims=["lat", "lon"]))
+    got = dense(node.interpolate([{"method": method, "dims": ["lat"]}, {"method": "nearest", "dims": ["lon"]}]).eval(Coordinates([at, [0, 1]], dims=["lat", "lon"]), spark))
+    assert np.allclose(got[:6], np.outer(np.array(at[:6]) ** degree, [1, 2])) and np.isnan(got[6]).all()
+
+
+def test_even_splines_solve_their_conditions():
+    rng = np.random.default_rng(3)
+    x, y = np.cumsum(rng.random(12) + 0.1), rng.random(12)
+    for degree in (2, 4):
+        knots = interpolate.spline_knots(x, degree)
+        assert len(knots) == len(x) + degree + 1
+        assert np.allclose(interpolate.basis(x, knots, degree).sum(axis=1), 1)
+        assert np.allclose(interpolate.polynomial(x, y, x, degree, "spline"), y)
+
+
+def test_lanczos(spark):
+    node = Array(source=np.full((9, 2), 5.0), coordinates=Coordinates.grid(lat=(0, 8, 9), lon=[0, 1]))
+    got = dense(node.interpolate([{"method": "lanczos", "dims": ["lat"]}, {"method": "nearest", "dims": ["lon"]}]).eval(Coordinates([[0.3, 4.5, 7.9, 8.5], [0, 1]], dims=["lat", "lon"]), spark))
+    assert np.allclose(got[:3], 5) and np.isnan(got[3]).all()
+
+
+def table_node(spark, rows, dims=("lat",)):
+    return Table(table=spark.createDataFrame(rows, f"{', '.join(f'{d} double' for d in dims)}, value double"), dims=list(dims), data="value")
+
+
+def test_tables_without_declared_coordinates(spark):
+    node = table_node(spark, [(float(i), 10.0 * i) for i in range(13)])
+    ask = Coordinates([[2.4, 5.6]], dims=["lat"])
+    want = {"nearest": [20, 60], "linear": [24, 56], "previous": [20, 50], "next": [30, 60], "zero": [20, 50]}
+    assert {m: dense(node.interpolate(m).eval(ask, spark)).tolist() for m in want} == want
+    assert dense(node.interpolate("nearest").eval(Coordinates([[5.6]], dims=["lat"]), spark)).tolist() == [60]
+    odd = table_node(spark, [(0.0, 0.0), (1.0, 10.0), (5.0, 50.0), (7.0, None), (20.0, 200.0)])
+    ask = Coordinates([[-1, 0.5, 3, 4, 6.5, 7, 19, 30]], dims=["lat"])
+    got = {m: dense(odd.interpolate(m).eval(ask, spark)) for m in ("nearest", "linear", "previous", "next")}
+    assert np.array_equal(got["nearest"], [NAN, 0, 10, 50, NAN, NAN, 200, NAN], equal_nan=True)
+    assert np.array_equal(got["linear"], [NAN, 5, 30, 40, NAN, NAN, NAN, NAN], equal_nan=True)
+    assert np.array_equal(got["previous"], [NAN, 0, 10, 10, 50, 50, 50, 200], equal_nan=True)
+    assert np.array_equal(got["next"], [0, 10, 50, 50, 200, 200, 200, NAN], equal_nan=True)
+    empty = table_node(spark, [(0.0, 0.0)])
+    none = Table(table=empty.attrs["table"].limit(0), dims=["lat"], data="value")
+    assert np.isnan(dense(none.interpolate("nearest").eval(Coordinates([[1, 2]], dims=["lat"]), spark))).all()
+
+
+def test_positions_among_requested_values(spark):
+    from lodegrid.plans.coordinates import Axis, UniformAxis
+
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.random(300) * 12 - 1, np.arange(0, 11, 0.1), [1e18, -1e18]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for axis in (UniformAxis(0, 10, 0.1, name="lat"), UniformAxis(10, 0, size=101, name="lat"), Axis(rng.random(200) * 10, "lat"), Axis([3, 1, 1, 2], "lat"), Axis([4.0], "lat")):
+        points = np.unique([r.lat for r in axis.frame(spark).collect()])
+        got = {r.v: r.p for r in df.select("v", interpolate.position(df.v, axis).alias("p")).collect()}
+        assert all(got[v] == np.searchsorted(points, v) for v in values), axis
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.7])
+def test_many_scattered_points(spark, monkeypatch, tolerance):
+    monkeypatch.setattr(interpolate, "LISTED", 10)
+    rng = np.random.default_rng(8)
+    lat, lon = rng.random(60) * 10, rng.random(60) ** 3 * 50
+    node = Array(source=np.arange(60.0), coordinates=Coordinates([[lat, lon]], dims=["lat_lon"]))
+    ask = Coordinates([[-3, 1.5, 5, 9.9], [0.1, 3, 49, 80]], dims=["lat", "lon"])
+    params = {"method": "nearest", "params": {"spatial_tolerance": tolerance} if tolerance else {}}
+    got = dense(node.interpolate(params).eval(ask, spark))
+    for i, a in enumerate([-3, 1.5, 5, 9.9]):
+        for j, b in enumerate([0.1, 3, 49, 80]):
+            d = np.hypot(lat - a, lon - b)
+            assert got[i, j] == d.argmin() if tolerance is None or d.min() <= tolerance else np.isnan(got[i, j])
+
+
+def test_plans_over_tables_keep_their_parallelism(spark):
+    node = table_node(spark, [(float(i), 1.0 * i) for i in range(50)])
+    plan = node.interpolate("previous").eval(Coordinates([[2.4, 5.6]], dims=["lat"]), spark).df._jdf.queryExecution().executedPlan().toString()
+    source = plan[plan.index("SinglePartition") :] if "SinglePartition" in plan else ""
+    assert "HashAggregate" in source or "SortAggregate" in source, "cells are reduced to the request's gaps before they meet in one task"
+
+
 def test_definition_round_trip():
     a = Arange()
     node = Mean(source=Arithmetic(eqn="A + B", A=a, B=Mask(source=a, mask=a, bool_val=2)), dims=["time"])

@@ -18,17 +18,18 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid.llm.common import free_name, table, with_text
 
-#: Chunks that a worker remembers.
-CACHE = 200_000
+#: Chunks, and pairs of tokens, that a worker remembers.
+CACHE, PAIRS = 100_000, 300_000
 #: Texts of these characters only are cut by the patterns below; the others go through the library's
 #: own normaliser and pre-tokeniser. Ranges in which both agree by the Unicode tables.
 _SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞]*")
@@ -165,8 +166,10 @@ class TrieEncoder:
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         """Each word's ids as little-endian 32-bit integers."""
-        if len(self.compatible) > 600_000:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
+            self.ends.clear()
+            self.starts.clear()
         out, path, before = {}, [-1], b""
         text = self.v.text
         for body, word in sorted((w.encode("utf-8"), w) for w in words):
@@ -297,18 +300,31 @@ class TextEncoder:
         return [np.frombuffer(c if isinstance(c, bytes) else b"".join(map(get, c)), "<u4") for c in cut]
 
 
-_ENCODERS: dict[tuple[int, str], TextEncoder] = {}
+class Shipped:
+    """A tokenizer file, to be broadcast. A worker builds the encoder when it first needs it and keeps it between
+    tasks of the same operator; a worker that goes on with another operator drops it with the broadcast."""
 
+    def __init__(self, source: str, kind: type):
+        self.source, self.kind, self.made = source, kind, None
 
-def encoder(source: str, kind: type) -> TextEncoder:
-    """One encoder per worker and tokenizer file; its tables outlive a task."""
-    key = (hash(source), kind.__name__)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        gc.set_threshold(200_000, 20, 100)  # the tables hold no cycles, so collecting often only costs
-        vocabulary = Vocabulary(source)
-        _ENCODERS[key] = TextEncoder(vocabulary, kind(vocabulary))
-    return _ENCODERS[key]
+    def __getstate__(self) -> tuple[str, type]:
+        return self.source, self.kind
+
+    def __setstate__(self, state: tuple[str, type]) -> None:
+        self.__init__(*state)
+
+    def encoder(self) -> TextEncoder:
+        if self.made is None:
+            gc.set_threshold(200_000, 20, 100)  # the tables hold no cycles, so collecting often only costs
+            vocabulary = Vocabulary(self.source)
+            self.made = TextEncoder(vocabulary, self.kind(vocabulary))
+        return self.made
+
+
+def ship(df: DataFrame, tokenizer: str, kind: type) -> Broadcast[Shipped]:
+    """The tokenizer file (under 2 MB, a fixed size), read by the driver, for all tasks."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(Shipped(f.read(), kind))
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -318,43 +334,37 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _source(tokenizer: str) -> str:
-    with open(tokenizer, encoding="utf-8") as f:
-        return f.read()
-
-
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` and the ids of each whole text (array<int>, empty for null and empty texts).
 
     ``tokenizer`` is a path that the driver reads; executors get its content (under 2 MB, a fixed
     size). Repeated rows repeat; other columns pass through. ``ids_col`` replaces a column of that name.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(_source(tokenizer))
+    if ids_col.lower() == text_col.lower():
+        raise ValueError(f"output column {ids_col} is the text column")
+    shipped = ship(df, tokenizer, TrieEncoder)
     name = free_name(df, "_ids")
-    made = with_text(df, text_col, lambda texts: [lists(encoder(shipped.value, TrieEncoder).encode(texts))], f"{name} array<int>")
-    return made.drop(ids_col).withColumnRenamed(name, ids_col) if ids_col.lower() != text_col.lower() else _clash(ids_col)
-
-
-def _clash(name: str) -> DataFrame:
-    raise ValueError(f"output column {name} is the text column")
-
+    made = with_text(df, text_col, lambda texts: [lists(shipped.value.encoder().encode(texts))], f"{name} array<int>")
+    return made.drop(ids_col).withColumnRenamed(name, ids_col)
 
-def _decoder(source: str) -> Callable[[list[np.ndarray]], list[str]]:
-    names = encoder(source, TrieEncoder).v.names
 
-    def decode(ids: list[np.ndarray | None]) -> list[str | None]:
-        return [None if i is None else " ".join([t for t in map(names.__getitem__, i.tolist()) if t is not None]) for i in ids]
-
-    return decode
+def decoded(names: list[str | None], ids: Iterable[int | None]) -> str:
+    """The tokens of ``ids`` joined by spaces; ids that the vocabulary lacks, negative ones and nulls give nothing."""
+    return " ".join([t for i in ids if i is not None and 0 <= i < len(names) and (t := names[i]) is not None])
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` and the text of each array of ids, as the library's decode gives it for a file that names
-    no decoder: the tokens joined by spaces, special ones included. Null ids give null."""
-    shipped = df.sparkSession.sparkContext.broadcast(_source(tokenizer))
+    no decoder: the tokens joined by spaces, special ones included. Null arrays give null; ids that are
+    null or outside the vocabulary give nothing, as in the library."""
+    shipped = ship(df, tokenizer, TrieEncoder)
     name = free_name(df, "_decoded")
-    to_arrays = lambda rows: [None if r is None else np.array(r, np.int64) for r in rows]
-    made = with_text(df, ids_col, lambda rows: [pa.array(_decoder(shipped.value)(to_arrays(rows)), pa.string())], f"{name} string")
+
+    def run(rows: list[list[int] | None]) -> list[pa.Array]:
+        names = shipped.value.encoder().v.names
+        return [pa.array([None if r is None else decoded(names, r) for r in rows], pa.string())]
+
+    made = with_text(df, ids_col, run, f"{name} string")
     return made.drop(out_col).withColumnRenamed(name, out_col)
 
 
@@ -363,12 +373,13 @@ def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFra
 
     Columns of those names are replaced.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(_source(tokenizer))
+    shipped = ship(df, tokenizer, TrieEncoder)
     names = free_name(df, "_ids"), free_name(df, "_decoded")
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        ids = encoder(shipped.value, TrieEncoder).encode(texts)
-        return [lists(ids), pa.array(_decoder(shipped.value)(ids), pa.string())]
+        encoder = shipped.value.encoder()
+        ids, token = encoder.encode(texts), encoder.v.names.__getitem__
+        return [lists(ids), pa.array([" ".join(map(token, i.tolist())) for i in ids], pa.string())]
 
     made = with_text(df, text_col, run, f"{names[0]} array<int>", f"{names[1]} string")
     return made.drop("ids", "decoded").withColumnsRenamed({names[0]: "ids", names[1]: "decoded"})

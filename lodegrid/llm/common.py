@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,16 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of documents in an Arrow batch are cut again so that one batch of texts stays near this size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Rows are whole texts, so batches are bounded by bytes and Parquet's column vectors are short.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 4 << 20), "spark.sql.parquet.columnarReaderBatchSize": (4096, 512)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of texts at once, where the session has Spark's own settings: (theirs, ours)."""
+    for key, (theirs, ours) in BATCHES.items():
+        if (spark.conf.get(key) or "").rstrip("b") == str(theirs):
+            spark.conf.set(key, str(ours))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that all executors see: ``spark.checkpoint.dir``. Where that is unset, one of our own if driver and
+    executors are one process, as in tests; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodegrid-checkpoint-"))
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodegrid-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -30,6 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the planner the true size (so that broadcasts are decided on it). The files
     go when the driver's JVM ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,6 +59,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,12 +88,30 @@ def cut(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterato
     yield from cut(batch.slice(half), column, limit)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving free memory back to the system before it starts and when it ends: workers
+    live on between tasks, and what one stage held would otherwise count in all later ones."""
+
+    def tidy() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def with_text(df: DataFrame, text: str, f: Callable[[list], list[pa.Array]], *new: str | T.StructField) -> DataFrame:
     """Add the columns ``new`` ("name type", or fields), which ``f`` makes from a list of texts (str or None).
 
     All input columns are kept in place. New names must differ from the input's (callers pick
     private names), so clashing user columns never mix with them.
     """
+    small_batches(df.sparkSession)
     add = T.StructType([n if isinstance(n, T.StructField) else fields(n)[0] for n in new])
     schema = T.StructType([*df.schema.fields, *add.fields])
     at = df.columns.index(text)
@@ -89,7 +122,7 @@ def with_text(df: DataFrame, text: str, f: Callable[[list], list[pa.Array]], *ne
                 made = f(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *add.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -101,7 +134,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def crc32_of_id(column: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+    """crc32 of an id's decimal text; a null id counts as the empty text (0)."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
@@ -135,7 +169,7 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBa
                 held.append(batch.slice(start))
         yield from flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), schema)
 
 
 #: Edges that one task contracts; about 100 MB in a Python worker.
@@ -163,7 +197,7 @@ def _contracted(edges: DataFrame, parts: int) -> DataFrame:
         if up:
             yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["a", "b"])
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").coalesce(parts).mapInArrow(run, fields("a long", "b long"))
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").coalesce(parts).mapInArrow(tidied(run), fields("a long", "b long"))
 
 
 def components(edges: DataFrame, rows: int = EDGES) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm.bpe import LibraryEncoder, _source, encoder, word_bpe
-from lodegrid.llm.common import cut, fields, shared_path, table
+from lodegrid.llm.bpe import LibraryEncoder, ship, word_bpe
+from lodegrid.llm.common import cut, fields, shared_path, table, tidied
 
 #: The file format: columns in this order.
 LAYOUT = fields("doc_id long", "file int", "local_start long", "n_tokens int", "ids array<int>")
@@ -33,13 +33,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     Rows go in ascending id order, null ids first; rows that repeat an id follow each other in the
     order of their texts. Only the two named columns are read. An empty table gives a file without rows.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(_source(tokenizer))
+    shipped = ship(docs, tokenizer, LibraryEncoder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, start, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch in cut(whole, 1):
-                ids = encoder(shipped.value, LibraryEncoder).encode_bytes(batch.column(1).to_pylist())
+                ids = shipped.value.encoder().encode_bytes(batch.column(1).to_pylist())
                 sizes = np.array([len(b) // 4 + 1 for b in ids], np.int32)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 flat = np.frombuffer(end.join([*ids, b""]), "<i4")
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, LAYOUT).write.options(
+    ordered.mapInArrow(tidied(run), LAYOUT).write.options(
         **{
             "compression": "zstd",
             "orc.stripe.size": STRIPE,
@@ -96,7 +96,7 @@ def summary(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(memoryview(flat[a:b]).cast("B")) if b > a else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.int64())], names=schema.names)
 
-    return starts(tokens).select("doc_id", "start", "ids").mapInArrow(run, schema)
+    return starts(tokens).select("doc_id", "start", "ids").mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import crc32_of_id, cut, fields, free_name, table, with_text
+from lodegrid.llm.common import crc32_of_id, cut, fields, free_name, table, tidied, with_text
 from lodegrid.llm.learners import BoostedTrees, Isotonic, calibrated_trees
 
 #: Bound of the labelled sample that is fitted, and of the lexicon (the heaviest entries stay).
 LABELLED, LEXICON = 10_000, 20_000
+#: Pieces of text whose weight a worker remembers.
+WORDS = 60_000
 #: Least weight (a log ratio of document shares) of a lexicon entry, and of a strong one.
 WEAK, STRONG = math.log(3), math.log(20)
 #: Second-person words of the languages at hand, and characters that stand in for letters.
@@ -62,7 +64,7 @@ class Lexicon:
         look-alike characters are read as letters."""
         key = (chunk, own)
         if key not in self.words:
-            if len(self.words) > 150_000:
+            if len(self.words) > WORDS:
                 self.words.clear()
             plain = max((self.weight(e, own) for w in _WORD.findall(chunk) for e in entries(w)), default=0.0)
             out = plain
@@ -92,7 +94,7 @@ def features(text: str | None, lexicon: Lexicon, own: int = -1) -> list[float]:
     crowd = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max()) if len(at) else 0
     kinds = len({chunks[i] for i in at})
     size = max(1, len(text))
-    letters = max(1, sum(map(str.isalpha, text)))
+    letters = max(1, len(_OTHER.sub("", text)))
     upper = len(_UPPER.findall(text))
     return [
         float(len(at)),
@@ -119,7 +121,7 @@ def features(text: str | None, lexicon: Lexicon, own: int = -1) -> list[float]:
     ]
 
 
-_UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
+_UPPER, _OTHER = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile(r"[\W\d_]+")
 
 
 class Model:
@@ -156,7 +158,7 @@ def _counts(training: DataFrame, toxic: int, wanted: dict[str, int] | None) -> D
                         yield out()
         yield out()
 
-    return training.where(F.col("toxic") == toxic).select("text").mapInArrow(run, schema).groupBy("entry").agg(F.sum("n").alias("n"))
+    return training.where(F.col("toxic") == toxic).select("text").mapInArrow(tidied(run), schema).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LABELLED, size: int = LEXICON) -> Model:
@@ -187,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LAB
                 x = [features(t, lexicon, y) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=schema.names)
 
-    made = training.select("doc_id", "text", "toxic").mapInArrow(run, schema).orderBy("doc_id", "x").limit(2 * labelled).collect()
+    made = training.select("doc_id", "text", "toxic").mapInArrow(tidied(run), schema).orderBy("doc_id", "x").limit(2 * labelled).collect()
     x, y = np.array([r.x for r in made]), np.array([float(r.toxic) for r in made])
     lexicon.words.clear()
     return Model(lexicon, *calibrated_trees(x, y), toxic / len(rows)) if len(made) else Model(None, None, None, toxic / len(rows))

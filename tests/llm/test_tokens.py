@@ -27,7 +27,7 @@ def texts():
 
 @pytest.mark.parametrize("kind", [bpe.TrieEncoder, bpe.LibraryEncoder])
 def test_encoders(library, kind):
-    e = bpe.encoder(open(bpe.word_bpe()).read(), kind)
+    e = bpe.Shipped(open(bpe.word_bpe()).read(), kind).encoder()
     for t, ids in zip(texts(), e.encode(texts()), strict=True):
         assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
 

@@ -1,9 +1,9 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. Every text becomes its set of shingles (64-bit hashes of word n-grams, whole text). Equal sets
-   collapse to one representative before anything else, pre-aggregated, so thousands of copies cost
+   collapse to one numbered set before anything else, pre-aggregated, so thousands of copies cost
    one row.
-2. Representatives get a signature of 160 minima, cut into 32 bands of 5; a bucket is one band value.
+2. Sets get a signature of 160 minima, cut into 32 bands of 5; a bucket is one band value.
 3. Candidates of a bucket are never expanded into all pairs. Each member is first held against the
    bucket's smallest member only. The comparison reads the signatures in batches of 32 minima and
    drops a pair as soon as the posterior probability that its similarity reaches the threshold is
@@ -11,9 +11,13 @@
    members are not one plausible block after that are compared in square tiles of bounded size, and a
    tile passes on a spanning forest of what survives, not the pairs.
 4. Blocks of plausibly similar texts are verified exactly on full sets, again in tiles of bounded
-   size, skipping pairs that are already connected. Only what exact verification confirms links.
+   size, skipping pairs that are already connected: first each chunk of a block in itself, then one
+   text of each component found so far against those of other chunks, round by round, so that a large
+   group of copies shrinks to one component without any square of it. What stays outside a block's
+   main component is compared with the block by signatures alone, and texts move only to the tiles in
+   which a signature found them a partner. Only what exact verification confirms links.
 
-A true pair at the threshold shares a band with probability 1 - 7e-9.
+A true pair at the threshold shares a band with probability 1 - 7e-9 at 0.85 and 1 - 3e-6 at 0.80.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import by_group, components, cut, fields, free_name, table, written
+from lodegrid.llm.common import by_group, components, cut, fields, free_name, table, tidied, written
 
 MINIMA, BANDS, BATCH = 160, 32, 32
 ROWS = MINIMA // BANDS
-#: Documents in one side of a tile; bounds what a task holds.
-TILE = 512
+#: Sets in one side of a tile that holds texts, and of one that holds signatures; bounds what a task holds.
+TILE, WIDE = 256, 512
 #: Multipliers are drawn once from fixed seeds, so every run and every executor has the same.
 _A = np.random.default_rng(11).integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(12).integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -127,15 +131,16 @@ class _Union:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig, bands): k1, k2 name the set; sig has a byte for each minimum."""
-    schema = fields("doc_id long", "n_shingles long", "k1 long", "k2 long", "sig binary", "bands array<long>")
+    """(doc_id, digest, n_shingles, k1, k2, sig, bands): digest is a hash of the text, k1 and k2 name the set;
+    sig has a byte for each minimum."""
+    schema = fields("doc_id long", "digest long", "n_shingles long", "k1 long", "k2 long", "sig binary", "bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in cut(whole, 1):
+            for batch in cut(whole, 2):
                 words = _Words()
                 n, keys, sigs = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(2).to_pylist():
                     s = shingle_set(text, width, words)
                     n.append(len(s))
                     with np.errstate(over="ignore"):
@@ -150,6 +155,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
+                        batch.column(1),
                         pa.array(n, pa.int64()),
                         pa.array(key[:, 0], mask=none),
                         pa.array(key[:, 1], mask=none),
@@ -159,14 +165,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     names=schema.names,
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(tidied(run), schema)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, text): the digest tells texts of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA)
 
 
-def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
+def _plausible_pairs(pairs: DataFrame, sets: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
     """The pairs (a, b) that the sequential test leaves."""
     schema = fields("a long", "b long")
 
@@ -176,29 +187,37 @@ def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, tests: list[tuple[int, i
                 stay = _survive(_matrix(batch.column(2)), _matrix(batch.column(3)), tests)
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(stay)) for i in (0, 1)], names=schema.names)
 
-    side = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidied(run), schema)
+
+
+def _chunk(count: str, size: int, seed: int = 42) -> F.Column:
+    """One of so many chunks that each has about ``size`` of ``count`` sets."""
+    return F.pmod(F.xxhash64("sid", F.lit(seed)), F.ceil(F.col(count) / F.lit(size)).cast("int")).cast("int")
 
 
-def _tiles(members: DataFrame, group: str, size: str) -> DataFrame:
-    """Deal the members of each group into chunks of about TILE rows, and a row to each tile (i, j), i <= j,
-    of two chunks that holds its chunk; ``own`` is its chunk. Groups of up to TILE rows are one tile."""
-    n = F.ceil(F.col(size) / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
+def _tiles(members: DataFrame, size: str) -> DataFrame:
+    """Deal the members of each group into chunks of about WIDE rows, and a row to each tile (i, j), i <= j,
+    of two chunks that holds its chunk; ``own`` is its chunk. Groups of up to WIDE rows are one tile."""
+    n = F.ceil(F.col(size) / F.lit(WIDE)).cast("int")
     return (
-        members.withColumn("own", own)
+        members.withColumn("own", _chunk(size, WIDE))
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         .drop("other", size)
     )
 
 
+def _pairs(found: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(len(names))], names=names)
+
+
 def _tile_edges(members: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
-    """Members (bucket, doc_id, block, sig, own, i, j): a spanning forest of plausible pairs across blocks."""
+    """Members (bucket, sid, block, sig, own, i, j): a spanning forest of plausible pairs across blocks."""
     schema = fields("a long", "b long")
 
     def tile(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, own = rows["doc_id"].to_numpy(), rows["own"].to_numpy()
+        ids, own = rows["sid"].to_numpy(), rows["own"].to_numpy()
         blocks = np.unique(rows["block"].to_numpy(), return_inverse=True)[1]
         sig = _matrix(rows["sig"])
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
@@ -209,24 +228,48 @@ def _tile_edges(members: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
             apart = right[label[right] != label[x]]
             if i == j:
                 apart = apart[apart > x]
+            joined = False
             for y in apart[_survive(sig[x], sig[apart], tests)]:
                 if union.join(int(blocks[x]), int(blocks[y])):
                     out.append((ids[x], ids[y]))
-            if out:
+                    joined = True
+            if joined:
                 label = union.roots()[blocks]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=schema.names)
+        return _pairs(out, schema.names)
 
     return by_group(members, ["bucket", "i", "j"], tile, schema)
 
 
+def _partners(members: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
+    """Members (block, wi, wj, sid, label, left, chunk, sig) of signature tiles: (block, sid, left, other), the
+    chunks of the other side in which a set of another label is plausible beside it."""
+    schema = fields("block long", "sid long", "left boolean", "other int")
+
+    def tile(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, label, chunk = (rows[c].to_numpy() for c in ("sid", "label", "chunk"))
+        lefts = rows["left"].to_numpy(zero_copy_only=False)
+        sig, rights, out = _matrix(rows["sig"]), np.flatnonzero(~lefts), set()
+        for x in np.flatnonzero(lefts):
+            apart = rights[label[rights] != label[x]]
+            found = apart[_survive(sig[x], sig[apart], tests)]
+            out.update((int(ids[x]), True, int(c)) for c in np.unique(chunk[found]))
+            out.update((int(ids[y]), False, int(chunk[x])) for y in found)
+        got = list(out)
+        columns = [pa.array([rows["block"][0].as_py()] * len(got), pa.int64())]
+        columns += [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return by_group(members, ["block", "wi", "wj"], tile, schema)
+
+
 def _verified(members: DataFrame, keys: list[str], threshold: tuple[int, int], width: int, tests: list[tuple[int, int]]) -> DataFrame:
-    """Members (keys, doc_id, label, left, right, sig, text): exactly confirmed links between texts of
+    """Members (keys, sid, label, left, right, sig, text): exactly confirmed links between texts of
     different labels, one marked ``left`` and one ``right``, as a spanning forest over the labels."""
     schema = fields("a long", "b long")
     top, bottom = threshold
 
     def tile(rows: pa.Table) -> pa.RecordBatch | None:
-        ids = rows["doc_id"].to_numpy()
+        ids = rows["sid"].to_numpy()
         start = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
         if start.max() == 0:
             return None
@@ -257,11 +300,64 @@ def _verified(members: DataFrame, keys: list[str], threshold: tuple[int, int], w
             mark[sets[x]] = False
             if joined:
                 label = union.roots()[start]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=schema.names)
+        return _pairs(out, schema.names)
 
     return by_group(members, keys, tile, schema)
 
 
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the smallest set that links reach from each as its label."""
+    got = components(links).select(F.col("id").alias("sid"), F.col("component").alias("label"))
+    return members.join(got, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row on both sides of its tile."""
+    return rows.select(*keys, "sid", "label", F.lit(True).alias("left"), F.lit(True).alias("right"), "sig", "text")
+
+
+def _links(whole: DataFrame, threshold: tuple[int, int], width: int, tests: list[tuple[int, int]]) -> DataFrame:
+    """Members (block, size, sid, sig, text) of blocks: a spanning forest of their exact links, (a, b)."""
+    first = whole.withColumns({"i": _chunk("size", TILE), "label": F.col("sid")})
+    links = written(_verified(_sides(first, ["block", "i"]), ["block", "i"], threshold, width, tests), "links")
+
+    # blocks of several chunks: one text of each component, dealt anew each round, while that halves their number
+    large = whole.where(F.col("size") > TILE)
+    before = large.count()
+    for seed in range(1, 64 if before else 1):
+        labels = written(_labelled(large.select("block", "size", "sid"), links), "labels")
+        heads = labels.where("sid = label").select("block", "sid", "label")
+        counts = heads.groupBy("block").agg(F.count("*").alias("heads")).where("heads > 1")
+        heads = written(heads.join(counts, "block").withColumn("i", _chunk("heads", TILE, seed)), "heads")
+        now = heads.count()
+        if not now or 2 * now > before:
+            break
+        before = now
+        tile = heads.join(large.select("sid", "sig", "text"), "sid")
+        links = links.unionByName(written(_verified(_sides(tile, ["block", "i"]), ["block", "i"], threshold, width, tests), "links"))
+    if not before:
+        return links
+
+    # what is not in a block's main component, against all of the block
+    counts = labels.groupBy("block", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.count("*").alias("labels")).where("labels > 1")
+    main = written(main.select("block", "main", "rest"), "main")
+    open_ = labels.join(main, "block").join(large.select("sid", "sig"), "sid")
+    side = {}
+    for left, count, wide in ((True, "rest", ("wj", "wi", "size")), (False, "size", ("wi", "wj", "rest"))):
+        own, other, many = wide
+        rows = open_.where("label != main") if left else open_
+        seed = 7 if left else 8
+        rows = rows.withColumns({"chunk": _chunk(count, TILE, seed), own: _chunk(count, WIDE, seed + 2), other: F.explode(F.sequence(F.lit(0), F.ceil(F.col(many) / F.lit(WIDE)).cast("int") - 1))})
+        side[left] = rows.select("block", "wi", "wj", "sid", "label", F.lit(left).alias("left"), "chunk", "sig")
+    met = written(_partners(side[True].unionByName(side[False]), tests).distinct(), "partners")
+    placed = met.join(open_.select("sid", "label", "rest", "size"), "sid")
+    own = F.when(F.col("left"), _chunk("rest", TILE, 7)).otherwise(_chunk("size", TILE, 8))
+    placed = placed.withColumns({"i": F.when(F.col("left"), F.col("other")).otherwise(own), "j": F.when(F.col("left"), own).otherwise(F.col("other"))})
+    tile = placed.select("block", "i", "j", "sid", "label", "left", (~F.col("left")).alias("right")).join(large.select("sid", "sig", "text"), "sid")
+    return links.unionByName(written(_verified(tile, ["block", "i", "j"], threshold, width, tests), "links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), miss: float = 1e-7) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
@@ -270,59 +366,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     over links, kept whether it is the row's own.
 
     Null or wordless texts have no shingles and link with nothing. A null id is its own component
-    (null) and kept. Rows are documents: repeated ids with one text are copies; with different texts
-    they are separate rows, unless the number is the smallest of both their sets of copies. An empty
-    table gives no rows. Columns but the two named are not read, so their names cannot clash.
+    (null) and kept. Rows are documents: repeated ids with one text are copies, with different texts
+    they are separate documents that happen to share a number. An empty table gives no rows. Columns
+    but the two named are not read, so their names cannot clash.
     """
     tests = least_matches(threshold[0] / threshold[1], miss)
     sigs = written(signatures(docs, id_col, text_col, width), "signatures")
     real = sigs.where("doc_id is not null and n_shingles > 0")
-    keys = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "sets")
-    reps = written(real.join(keys, ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "sig", "bands"), "representatives")
+    sets = real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    sets = written(sets.select("k1", "k2", "least.doc_id", "least.digest", "sig", "bands", F.monotonically_increasing_id().alias("sid")), "sets")
 
-    placed = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1"), "buckets")
+    placed = sets.select("sid", F.explode("bands").alias("bucket"))
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("sid").alias("first")).where("size > 1"), "buckets")
     members = written(placed.join(shared, "bucket"), "members")
-    stars = members.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    plausible = written(_plausible_pairs(stars, reps, tests), "plausible")
-    block = components(plausible).select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    stars = members.where("sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
+    plausible = written(_plausible_pairs(stars, sets, tests), "plausible")
+    block = components(plausible).select(F.col("id").alias("sid"), F.col("component").alias("block"))
 
     # buckets of three and more that are not one block yet: compare across blocks, in tiles
-    known = members.where("size > 2").join(block, "doc_id", "left").withColumn("block", F.coalesce("block", "doc_id"))
-    known = written(known.select("bucket", "size", "doc_id", "block"), "known")
+    known = members.where("size > 2").join(block, "sid", "left").withColumn("block", F.coalesce("block", "sid"))
+    known = written(known.select("bucket", "size", "sid", "block"), "known")
     split = written(known.groupBy("bucket").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least != most").select("bucket"), "split")
-    apart = known.join(split, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
-    more = written(_tile_edges(_tiles(apart, "bucket", "size"), tests), "more")
-    block = components(plausible.unionByName(more)).select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    apart = known.join(split, "bucket").join(sets.select("sid", "sig"), "sid")
+    more = written(_tile_edges(_tiles(apart, "size"), tests), "more")
+    block = components(plausible.unionByName(more)).select(F.col("id").alias("sid"), F.col("component").alias("block"))
 
-    # exact verification within blocks: first each chunk in itself
+    # exact verification within blocks; the digest finds the very text that a set was made of
     sizes = written(block.groupBy("block").agg(F.count("*").alias("size")), "sizes")
-    chunks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    block = block.join(sizes, "block").withColumn("i", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    block = written(block.join(reps.select("doc_id", "sig"), "doc_id"), "block_members").dropDuplicates(["doc_id"])
-    whole = written(block.join(texts, "doc_id").dropDuplicates(["doc_id"]), "block_texts")
-    first = whole.select("block", "i", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("left"), F.lit(True).alias("right"), "sig", "text")
-    links = written(_verified(first, ["block", "i"], threshold, width, tests), "links")
-
-    # blocks of several chunks: what is not in the block's largest component, against all of it
-    large = whole.where(F.col("size") > TILE)
-    got = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    large = large.join(got, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    large = written(large.select("block", "size", "i", "doc_id", "label", "sig", "text"), "large")
-    counts = large.groupBy("block", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.count("*").alias("labels")).where("labels > 1").select("block", "main", "rest")
-    main = written(main, "main")
-    parts = F.ceil(F.col("rest") / F.lit(TILE)).cast("int")
-    large = large.join(main, "block")
-    j = F.pmod(F.xxhash64("doc_id", F.lit(7)), parts).cast("int")
-    left = large.where("label != main").withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = large.withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
-    sides = [s.select("block", "i", "j", "doc_id", "label", F.lit(k == 0).alias("left"), F.lit(k == 1).alias("right"), "sig", "text") for k, s in enumerate((left, right))]
-    links = links.unionByName(written(_verified(sides[0].unionByName(sides[1]), ["block", "i", "j"], threshold, width, tests), "links"))
-
-    found = components(links).select(F.col("id").alias("doc_id"), "component")
-    of_set = written(keys.join(found, "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id")), "set_components")
+    block = written(block.join(sizes, "block").join(sets.select("sid", "doc_id", "digest", "sig"), "sid"), "block_members")
+    whole = written(block.join(_texts(docs, id_col, text_col), ["doc_id", "digest"]).drop("doc_id", "digest").dropDuplicates(["sid"]), "block_texts")
+    links = _links(whole, threshold, width, tests)
+
+    found = written(components(links).select(F.col("id").alias("sid"), "component"), "found")
+    least = found.join(sets.select("sid", "doc_id"), "sid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = written(found.join(least, "component").select("sid", "component_id"), "least")
+    of_set = sets.select("sid", "k1", "k2", "doc_id").join(least, "sid", "left")
+    of_set = written(of_set.select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id")), "set_components")
     linked = real.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     alone = sigs.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -348,4 +427,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates of ``documents`` by three words and 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))

@@ -45,6 +45,7 @@ def family(rng, words, copies, edits):
 @pytest.mark.parametrize("tile", [512, 6])
 def test_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "WIDE", 4 * tile)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
     texts = [*family(rng, words, 60, 14), *family(rng, words, 20, 30), *(" ".join(rng.choice(words) for _ in range(80)) for _ in range(30))]
@@ -71,6 +72,29 @@ def test_edges(spark, edge_docs, no_docs):
     assert near_dedup.deduplicate(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_id_with_several_texts(spark, parts):
+    rng = random.Random(4)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    a, b = text(), text()
+    near = lambda t: " ".join([*t[:-2], "x", "y"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (1, " ".join(a)), (7, "other words"), (7, near(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, width=3, threshold=(85, 100)).collect())
+    assert got == sorted([*[(1, 98, 1)] * 3, (2, 98, 1), (3, 98, 1), (7, 1, 7), (7, 98, 1)])
+
+
+def test_large_group_shrinks_round_by_round(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 16)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-3], *(f"v{rng.randrange(10**6)}" for _ in range(3))])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*base[: 200 - 4 * i], *(f"u{i}.{k}" for k in range(4 * i))])) for i in range(14)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=(85, 100)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85, 100)
+
+
 def test_prune_bounds():
     for n, least in near_dedup.least_matches(0.85, 1e-7):
         assert 0 < least < 0.85 * n

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodegrid.llm.common import table, written
 
 K, NEAR, COVER, STRETCH = 3, 4, 0.85, 1.5
+#: Template windows that are sent to all tasks at most; larger tables of templates are joined by exchange.
+SENT = 50_000
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -132,7 +134,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spark.range(1).select(F.xxhash64(F.lit("\x00row"), none, none).alias("key"), F.lit(-1).alias("template"), none.alias("label"), F.lit(False).alias("base"), F.lit(0).alias("windows"), F.lit(0).alias("length"), F.lit(0).alias("t"), F.lit("\x00row").alias("ta"), none.alias("tb"), none.alias("tc"))
     )
     same = (F.col("a") == F.col("ta")) & (F.col("tb").isNull() | (F.col("b") == F.col("tb"))) & (F.col("tc").isNull() | (F.col("c") == F.col("tc")))
-    found = each.join(F.broadcast(grams.unionByName(self_row)), "key").where(same)
+    table_ = grams.unionByName(self_row)
+    if sum(len(t.split()) for t in [*phrases, *(t for _, t in texts)]) <= SENT:
+        table_ = F.broadcast(table_)
+    found = each.join(table_, "key").where(same)
     found = written(found.select("doc_id", "digest", "n", "p", "template", "label", "base", "windows", "length", "t"), "hits")
 
     hits = found.where("template >= 0")
@@ -177,4 +182,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results over ``documents``."""
     return license_scan(table(spark, sf_dir, "documents"))[0]

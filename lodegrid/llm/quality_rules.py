@@ -7,9 +7,11 @@ quantile within 1/16 of its value. A fence stands well beyond the upper quartile
 
     fence = q75 + reach * (q75 - q25) + slack,
 
-so a source with unusual but uniform texts keeps them; a source with fewer than ``least`` documents
-takes the merged sketch of its language, and a language with fewer the merged sketch of all. Documents
-beyond a fence are rejected by a join of their measures with the fences of their language and source.
+so a source with unusual but uniform texts keeps them. A source's fence is its own weighed by its number
+of documents, with the fence of its language (from the merged sketch) at the weight of ``PRIOR`` documents;
+a language's is blended with that of all in the same way, so thresholds move smoothly from the language's
+to the source's own as it grows. Documents beyond a fence are rejected by a join of their measures with the
+fences of their language and source.
 
 The measures are whole numbers, in thousandths of: symbols over word characters, repeated lines over
 lines with a word, words in repeated windows over words, and word characters over words.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm.common import free_name, table, with_text, written
 
-#: Quartile range multiplier, slack in thousandths for each measure, and documents that a sketch needs.
-REACH, LEAST = 3, 50
+#: Quartile range multiplier, documents that the wider sketch counts for, and slack in thousandths for each measure.
+REACH, PRIOR = 3, 50
 SLACK = {"symbols": 50, "lines": 400, "repeats": 250, "length": 1500}
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -108,9 +110,9 @@ def fences(cells: DataFrame) -> DataFrame:
         tables.append(fence.groupBy(*keys).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(m) for m in SLACK)))
     own, lang, every = tables
     rest = every.head()  # one row: the fences over all languages
-    joined = own.join(lang.withColumnsRenamed({c: f"l_{c}" for c in ("total", *SLACK)}), "lang")
-    pick = lambda m: F.when(F.col("total") >= LEAST, F.col(m)).when(F.col("l_total") >= LEAST, F.col(f"l_{m}")).otherwise(F.lit(rest[m]))
-    return joined.select("lang", "source", *(pick(m).alias(f"fence_{m}") for m in SLACK))
+    blend = lambda total, fence, wider: F.call_function("div", F.col(total) * F.col(fence) + PRIOR * wider, F.col(total) + PRIOR)
+    lang = lang.select("lang", *(blend("total", m, F.lit(rest[m])).alias(f"l_{m}") for m in SLACK))
+    return own.join(lang, "lang").select("lang", "source", *(blend("total", m, F.col(f"l_{m}")).alias(f"fence_{m}") for m in SLACK))
 
 
 def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -147,7 +149,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
-    The texts are read twice, once for the sketches and once to filter, and never shuffled.
+    Null texts go, as they have no words; null languages and sources count as the empty string; repeated
+    rows come and go together; an empty table stays empty. Columns may have any names. The texts are read twice, once for the sketches and once to filter, and never shuffled.
     """
     stats = _measured(docs, [], text_col, lang_col, source_col).where(~F.col("base_failed")).select("lang", "source", *SLACK)
     limits = written(fences(written(sketch(stats), "sketch")), "fences")
@@ -166,4 +169,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts on ``documents``."""
     return quality_verdicts(table(spark, sf_dir, "documents"))

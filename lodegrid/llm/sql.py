@@ -49,7 +49,7 @@ def _level(keys: str, prefix: str) -> str:
     GROUP BY {by}) {f'GROUP BY {keys}' if keys else ''}"""
 
 
-_FENCES = " AND ".join(f"{m} <= CASE WHEN total >= 50 THEN o.{m}_ WHEN l_total >= 50 THEN l_{m} ELSE a_{m} END" for m in ("symbols", "lines", "repeats", "length"))
+_FENCES = " AND ".join(f"{m} <= (total * o.{m}_ + 50 * ((l_total * l_{m} + 50 * a_{m}) // (l_total + 50))) // (total + 50)" for m in ("symbols", "lines", "repeats", "length"))
 
 QUALITY_RULES = rf"""
 WITH raw AS (
@@ -90,7 +90,8 @@ FROM measured m LEFT JOIN own o USING (lang, source) LEFT JOIN by_lang USING (la
 """
 
 
-def _license_scan() -> str:
+def license_scan() -> str:
+    """The rows of the license scan, over a table ``documents``."""
     from lodegrid.llm.license_scan import COVER, NEAR, PHRASES, STRETCH, TEMPLATES
 
     rows = [(label, text, True) for text, label in PHRASES.items()] + [(label, text, False) for label, text in TEMPLATES]
@@ -121,10 +122,26 @@ WITH templates AS (
   SELECT r, id, label, cluster, length, min(diagonal + list_min(ts)) AS s, max(last) + 3 AS e,
     round(len(list_distinct(flatten(list_transform(list_distinct(flatten(list(ts))), lambda x: [x, x + 1, x + 2])))) / CAST(length AS DOUBLE), 6) AS coverage
   FROM merged GROUP BY r, id, label, length, cluster
+), long_spans AS (
+  SELECT r, id, label, cluster, length FROM spans WHERE coverage >= {COVER} AND e - s > {STRETCH} * length
+), hit_at AS (
+  SELECT DISTINCT l.*, m.diagonal + t AS p, t FROM long_spans l JOIN (SELECT r, id, cluster, diagonal, unnest(ts) AS t FROM merged) m USING (r, id, cluster)
+), from_here AS (
+  SELECT a.r, a.id, a.label, a.cluster, a.length, a.p, b.t, min(b.p) AS q FROM (SELECT DISTINCT r, id, label, cluster, length, p FROM hit_at) a
+  JOIN hit_at b ON a.r = b.r AND a.id = b.id AND a.cluster = b.cluster AND b.p >= a.p AND b.p - a.p + 3 <= {STRETCH} * a.length GROUP BY ALL
+), parts AS (
+  SELECT r, id, label, cluster, length, p AS s, max(q) + 3 AS e,
+    round(len(list_distinct(flatten(list_transform(list(t), lambda x: [x, x + 1, x + 2])))) / CAST(length AS DOUBLE), 6) AS coverage FROM from_here GROUP BY r, id, label, cluster, length, p
+), picked AS (
+  SELECT r, id, label, cluster, unnest(list_reduce(list(struct_pack(s := s, e := e, c := coverage) ORDER BY coverage DESC, e - s, s), lambda held_, x: CASE WHEN len(list_filter(held_, lambda y: y.s < x.e AND x.s < y.e)) = 0
+    THEN list_append(held_, x) ELSE held_ END, []::STRUCT(s BIGINT, e BIGINT, c DOUBLE)[])) AS one FROM parts WHERE coverage >= {COVER} GROUP BY r, id, label, cluster
+), all_spans AS (
+  SELECT r, id, label, cluster, s, e, coverage FROM spans WHERE coverage >= {COVER} AND e - s <= {STRETCH} * length
+  UNION ALL SELECT r, id, label, cluster, one.s, one.e, one.c FROM picked
 ), held AS (
-  SELECT *, coverage = max(coverage) OVER (PARTITION BY r, word) AS own FROM (SELECT *, unnest(generate_series(s, e - 1)) AS word FROM spans WHERE coverage >= {COVER} AND e - s <= {STRETCH} * length)
+  SELECT *, coverage = max(coverage) OVER (PARTITION BY r, word) AS own FROM (SELECT *, unnest(generate_series(s, e - 1)) AS word FROM all_spans)
 ), standing AS (
-  SELECT r, label, coverage FROM held GROUP BY r, id, label, cluster, coverage HAVING avg(own::INT) >= 0.5
+  SELECT r, label, coverage FROM held GROUP BY r, id, label, cluster, s, e, coverage HAVING avg(own::INT) >= 0.5
 ), verified AS (
   SELECT r, list_sort(list_distinct(list(label))) AS labels, max(coverage) AS best FROM standing GROUP BY r
 )
@@ -136,4 +153,4 @@ FROM docs d LEFT JOIN places p USING (r) LEFT JOIN verified v USING (r)
 """
 
 
-LICENSES = _license_scan()
+LICENSES = license_scan()

@@ -1,7 +1,10 @@
 import re
 from collections import Counter
 
-from lodegrid.llm import license_scan, quality_rules
+import duckdb
+import pandas as pd
+
+from lodegrid.llm import license_scan, quality_rules, sql
 from tests.llm.conftest import SF
 
 
@@ -30,6 +33,26 @@ def test_verdicts(spark, edge_docs, no_docs):
     assert filtered.columns == docs.columns and {r.doc_id for r in filtered.collect()} == kept
 
 
+def test_keep_good_on_odd_rows(spark, edge_docs):
+    assert quality_rules.keep_good(edge_docs).count() == 0
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, None, None, 5, "a"), (1, text, None, None, 5, "a"), (None, text, "en", "s", None, None), (2, None, "en", "s", 1, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _n_words long, fence_symbols string")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.where("text is not null").collect())
+
+
+def test_fences_move_smoothly_with_the_number_of_documents(spark):
+    """A source of its own style: its fence leaves the language's step by step, not at once."""
+    def fence(n):
+        cells = [("en", "wide", m, 0, 1000) for m in quality_rules.SLACK] + [("en", "own", "symbols", 400, n)] + [("en", "own", m, 0, n) for m in ("lines", "repeats", "length")]
+        rows = quality_rules.fences(spark.createDataFrame(cells, "lang string, source string, measure string, cell long, n long")).collect()
+        return next(r.fence_symbols for r in rows if r.source == "own")
+
+    got = [fence(n) for n in (1, 49, 50, 51, 5000)]
+    assert got == sorted(got) and got[3] - got[1] < 10 and got[4] > 440 and got[0] < 70
+
+
 def test_thresholds_follow_the_source(spark):
     plain = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     text = lambda i, mark: " ".join(f"{w}{i}{j}{mark if j % 3 == 0 else ''}" for j in range(8) for w in plain.split())
@@ -83,3 +106,25 @@ def test_license_name_after_its_notice(spark):
     assert got == {i: (label, 1.0 if label else 0.0) for i, (label, _, _) in enumerate(texts)}
     found = sorted((s.doc_id, s.start, s.end) for s in spans.collect())
     assert found == [(i, a, b) for i, (_, _, where) in enumerate(texts) for a, b in where]
+
+
+def test_sql_of_stuttered_and_interrupted_notices(spark):
+    texts = [
+        "licensed under the licensed under the mit license",
+        "Released under the MIT License. See the MIT License for details.",
+        "Released under, well, the MIT License; released under the MIT License. Released under the MIT License the MIT License",
+        "CC0 1.0 Universal Public Domain Dedication. This Public Domain Dedication of CC0 1.0 Universal Public Domain Dedication",
+        "under the MIT License, the MIT License, under the MIT License",
+        "licensed under CC BY-NC 4.0 licensed under CC BY NC licensed under cc by sa 4 0",
+        "this is free and unencumbered free and unencumbered software software released into the public domain",
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in license_scan.license_scan(docs)[0].collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    columns = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score"
+    assert got == sorted(con.execute(f"SELECT {columns} FROM ({sql.license_scan()})").fetchall())
+    labels = {g[0]: g[6] for g in got}
+    assert [labels[i] for i in range(9)] == ["mit", "mit", "mit", "cc0", "", "cc-by,cc-by-nc,cc-by-sa", "unlicense", "", ""]

@@ -13,14 +13,16 @@ from __future__ import annotations
 import functools
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegrid.llm.common import cut, fields, table, written
+from lodegrid.llm.common import cut, fields, free_name, table, tidied, written
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -44,6 +46,7 @@ POSITIVE = set("article content entry main post story text body page blog prose"
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 #: Start tags that close an open element of their like: tag -> (closed tags, tags that shield them).
 _CLOSES = {
@@ -352,7 +355,7 @@ def _above(node: Node) -> Iterator[Node]:
 
 def host(url: str | None) -> str:
     m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+    return m[1].translate(_LOWER) if m else ""
 
 
 def _votes(pages: DataFrame) -> DataFrame:
@@ -364,7 +367,7 @@ def _votes(pages: DataFrame) -> DataFrame:
                 rows = [(host(u), best_path(h)) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=schema.names)
 
-    return pages.select("url", "html").mapInArrow(run, schema)
+    return pages.select("url", "html").mapInArrow(tidied(run), schema)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -381,36 +384,36 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ou
     """``pages`` and the main text of each whole page.
 
     Null or empty html, and pages without text, give the empty string; a null or odd url counts as the
-    host "". Repeated rows repeat. A column named ``out_col`` is replaced, all others pass through.
+    host "". Repeated rows repeat. A column named ``out_col`` is replaced (unless it is the html or url
+    column, which is an error), all others pass through, whatever their names.
     """
-    source = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    winners = written(host_paths(source), "host_paths")
-    hosts = _with_host(pages, url_col)
-    key, path = hosts.columns[-1], "_path_of_host"
-    joined = hosts.join(winners.select(F.col("host").alias("_host_of_path"), F.col("path").alias(path)), F.col(key) == F.col("_host_of_path"), "left").drop("_host_of_path", key)
-    schema_fields = [f for f in joined.schema.fields if f.name not in (path, out_col)]
-    names = [f.name for f in schema_fields]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*schema_fields, T.StructField(out_col, T.StringType())])
+    if out_col.lower() in (url_col.lower(), html_col.lower()):
+        raise ValueError(f"output column {out_col} is an input column")
+    winners = written(host_paths(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "host_paths")
+    key, path, other = (free_name(pages, n) for n in ("_host", "_path_of_host", "_host_of_path"))
+    hosts = pages.drop(out_col).withColumn(key, _host_column(F.col(url_col)))
+    joined = hosts.join(winners.select(F.col("host").alias(other), F.col("path").alias(path)), F.col(key) == F.col(other), "left").drop(other, key)
+    kept = [f for f in joined.schema.fields if f.name != path]
+    at = {f.name: i for i, f in enumerate(joined.schema.fields)}
+    schema = T.StructType([*kept, T.StructField(out_col, T.StringType())])
+    page = next(i for n, i in at.items() if n.lower() == html_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in cut(whole, whole.schema.get_field_index(html_col)):
-                get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                texts = [extract(h, p) for h, p in zip(get(html_col).to_pylist(), get(path).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(get(c) for c in names), pa.array(texts, pa.string())], names=schema.names)
+            for batch in cut(whole, page):
+                texts = [extract(h, p) for h, p in zip(batch.column(page).to_pylist(), batch.column(at[path]).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(at[f.name]) for f in kept), pa.array(texts, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)
 
 
-def _with_host(pages: DataFrame, url_col: str) -> DataFrame:
-    name = "_host"
-    while name in pages.columns:
-        name += "_"
-    return pages.withColumn(name, F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST.pattern, 1)))
+def _host_column(url: F.Column) -> F.Column:
+    """``host`` of a url column; lower case for A-Z only, as there."""
+    found = F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), _HOST.pattern, 1)
+    return F.translate(found, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -2,9 +2,9 @@
 
 ``inspect`` reads any MPEG 1, 2 or 2.5 audio stream of layers I to III: it skips and reads ID3v2 tags,
 finds frame headers again after damage or foreign bytes, reads Xing, Info and VBRI tables and the
-encoder's delay and padding, verifies the 16-bit checksums of layer III frames, and gives durations as
-whole samples and the byte offset of every frame. Free-format frames (no bitrate in the header) count
-as foreign bytes.
+encoder's delay and padding, verifies the 16-bit checksums of all layers, and gives durations as whole
+samples and the byte offset of every frame. Tags are ID3v2.2 to 2.4 (with extended headers and footers),
+APE and ID3v1. Free-format frames (no bitrate in the header) count as foreign bytes.
 
 ``store`` puts any bytes into a valid layer III stream without loss: silent frames of 672 bytes
 (224 kbit/s at 48 kHz, with checksum), each of which carries 576 bytes as ancillary data, an Info
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from lodegrid.llm.common import cut, fields, free_name, table, with_text
+from lodegrid.llm.common import cut, fields, free_name, table, tidied, with_text
 
 UNIT = 576
 #: Fixed values of ISO 11172-3 and 13818-3: kbit/s by (version 1?, layer) and index, and Hz by version and index.
@@ -43,7 +43,7 @@ _HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000,
 class Header:
     """What four header bytes say."""
 
-    __slots__ = ("layer", "rate", "kbits", "size", "samples", "side", "checked", "kind")
+    __slots__ = ("layer", "rate", "kbits", "size", "samples", "side", "checked", "kind", "channels", "bound", "first")
 
 
 @functools.lru_cache(4096)
@@ -63,6 +63,9 @@ def header(four: bytes) -> Header | None:
     h.side = (17 if mono else 32) if first else (9 if mono else 17)
     h.checked = not four[1] & 1
     h.kind = (version, layer, hertz)
+    h.first, h.channels = first, 1 if mono else 2
+    # from this subband on both channels share their allocation (joint stereo)
+    h.bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
     return h
 
 
@@ -78,14 +81,63 @@ def _crc_table() -> list[int]:
 
 
 @functools.lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, start 0xFFFF, high bit first."""
+def crc16(data: bytes, bits: int = 0) -> int:
+    """The frame checksum of ``data`` and of its first ``bits`` bits where given: polynomial 0x8005, start
+    0xFFFF, high bit first."""
     crc, steps = 0xFFFF, _crc_table()
-    for byte in data:
+    whole = bits // 8 if bits else len(data)
+    for byte in data[:whole]:
         crc = (crc << 8 & 0xFFFF) ^ steps[crc >> 8 ^ byte]
+    for i in range(bits % 8 if bits else 0):
+        one = crc >> 15 ^ data[whole] >> 7 - i & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if one else 0)
     return crc
 
 
+#: Fixed values of ISO 11172-3 and 13818-3: bits of a layer II allocation by table, as (subbands from 0 on, bits).
+_ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """The bits of each subband's allocation in a layer II frame."""
+    each = h.kbits // h.channels
+    if not h.first:
+        kind = "low"
+    elif each <= 48:
+        kind = "d" if h.rate == 32000 else "c"
+    else:
+        kind = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for n, bits in _ALLOCATION[kind] for _ in range(n)]
+
+
+def protected(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers (it begins with the header's last two bytes)."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        shared = min(h.bound, 32) if h.channels == 2 else 32
+        return 4 * (shared * h.channels + 32 - shared)
+    value, at, selected = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 512, 0
+    for band, bits in enumerate(_allocation(h)):
+        for _ in range(h.channels if band < h.bound else 1):
+            at -= bits
+            if value >> at & (1 << bits) - 1:
+                selected += 1 if band < h.bound else h.channels
+    return 512 - at + 2 * selected
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    bits = protected(frame, h)
+    covered = frame[2:4] + frame[6 : 6 + -(-bits // 8)]
+    return 16 + bits <= 8 * len(covered) and crc16(covered, 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -94,15 +146,43 @@ def id3v2(data: bytes, at: int) -> tuple[int, dict[str, bytes]]:
     """The end of an ID3v2 tag at ``at`` (``at`` itself without one) and its frames."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 127:
         return at, {}
-    version, end = data[at + 3], min(len(data), at + 10 + _synchsafe(data[at + 6 : at + 10]))
+    version, flags = data[at + 3], data[at + 5]
+    end = min(len(data), at + 10 + _synchsafe(data[at + 6 : at + 10]))
     found, pos = {}, at + 10
-    while pos + 10 <= end and data[pos : pos + 4].isalnum() and version >= 3:
-        size = _synchsafe(data[pos + 4 : pos + 8]) if version >= 4 else int.from_bytes(data[pos + 4 : pos + 8], "big")
-        if pos + 10 + size > end:
+    if flags & 0x40 and version >= 3 and pos + 4 <= end:  # an extended header; version 3 does not count its size field
+        pos += _synchsafe(data[pos : pos + 4]) if version >= 4 else 4 + int.from_bytes(data[pos : pos + 4], "big")
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while pos + head <= end and data[pos : pos + name].isalnum():
+        four = data[pos + name : pos + head][: 3 if version == 2 else 4]
+        size = _synchsafe(four) if version >= 4 else int.from_bytes(four, "big")
+        if pos + head + size > end:
+            break
+        found[data[pos : pos + name].decode("latin-1")] = data[pos + head : pos + head + size]
+        pos += head + size
+    footer = 10 if version >= 4 and flags & 0x10 and data[end : end + 3] == b"3DI" else 0
+    return end + footer, found
+
+
+def ape(data: bytes, end: int) -> tuple[int, dict[str, bytes]]:
+    """The start of an APE tag that ends at ``end`` (``end`` itself without one) and its items."""
+    foot = data[end - 32 : end] if end >= 32 else b""
+    if foot[:8] != b"APETAGEX":
+        return end, {}
+    _, size, count, flags = struct.unpack("<IIII", foot[8:24])
+    start = end - size - (32 if flags >> 31 else 0)
+    if size < 32 or start < 0:
+        return end, {}
+    found, pos, last = {}, end - size, end - 32
+    for _ in range(count):
+        stop = data.find(b"\0", pos + 8, last)
+        if stop < 0:
+            break
+        length = int.from_bytes(data[pos : pos + 4], "little")
+        if stop + 1 + length > last:
             break
-        found[data[pos : pos + 4].decode("latin-1")] = data[pos + 10 : pos + 10 + size]
-        pos += 10 + size
-    return end, found
+        found[data[pos + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + length]
+        pos = stop + 1 + length
+    return start, found
 
 
 def variable_table(frame: bytes, h: Header) -> dict | None:
@@ -133,6 +213,8 @@ def inspect(data: bytes) -> dict:
     """All that the module reads from a stream; empty or foreign bytes give zero frames."""
     size = len(data)
     end = size - 128 if data[-128:-125] == b"TAG" and size >= 128 else size
+    has_id3v1 = end < size
+    end, items = ape(data, end)
     at, tags = id3v2(data, 0)
     offsets: list[int] = []
     samples = checked = right = skipped = 0
@@ -157,9 +239,9 @@ def inspect(data: bytes) -> dict:
             at = found if found >= 0 else end
             continue
         synced = True
-        if h.layer == 3 and h.checked:
+        if h.checked:
             checked += 1
-            right += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            right += checksum_holds(data[at : at + min(h.size, 70)], h)
         if not offsets and table_ is None and h.layer == 3 and (table_ := variable_table(data[at : at + h.size], h)):
             table_["offset"] = at
         else:
@@ -173,7 +255,8 @@ def inspect(data: bytes) -> dict:
     cut_ = (table_["delay"] + table_["padding"]) if table_ else 0
     return {
         "tags": tags,
-        "id3v1": end < size,
+        "ape": items,
+        "id3v1": has_id3v1,
         "table": table_,
         "offsets": offsets,
         "samples": max(0, samples - cut_),
@@ -284,7 +367,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
     from (doc_id, media): everything is read from the stored bytes."""
-    return df.select(F.col("doc_id").cast("long"), "media").mapInArrow(_digests, _DIGEST)
+    return df.select(F.col("doc_id").cast("long"), "media").mapInArrow(tidied(_digests), _DIGEST)
 
 
 def text_digest(df: DataFrame) -> DataFrame:
@@ -297,8 +380,9 @@ def text_digest(df: DataFrame) -> DataFrame:
                 media = [store((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _digests(stored(batches)), _DIGEST)
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(lambda batches: _digests(stored(batches))), _DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every text of ``documents``."""
     return text_digest(table(spark, sf_dir, "documents"))

@@ -1,9 +1,15 @@
 import hashlib
+import html
 import os
 import random
+import re
 import zlib
+from collections import Counter
+
+import pytest
 
 from lodegrid.llm import html_text, mpeg_audio
+from tests.llm.conftest import SF
 
 
 def test_store_and_read_back():
@@ -54,6 +60,67 @@ def test_media_columns(edge_docs, no_docs):
     assert full.select("n_words.frames").where("frames >= 1").count() == 13
 
 
+def frames(head, bits, n=4, size=None):
+    """A stream of equal frames whose checksum covers the header's end and ``bits`` bits of ``body``, bit by bit."""
+    h = mpeg_audio.header(head)
+    body = bytes(random.Random(bits).randrange(256) for _ in range(h.size - 6))
+    covered = "".join(f"{b:08b}" for b in head[2:4] + body)[: 16 + bits]
+    crc = 0xFFFF
+    for bit in covered:
+        crc = (crc << 1 ^ (0x8005 if crc >> 15 != int(bit) else 0)) & 0xFFFF
+    return (head + crc.to_bytes(2, "big") + body) * n, h
+
+
+def test_checksums_of_all_layers():
+    # layer I: 4 bits for each of 32 subbands and channel, once from the bound on in joint stereo
+    for mode, bits in ((0x00, 256), (0xC0, 128), (0x40, 4 * (4 * 2 + 28)), (0x70, 4 * (16 * 2 + 16))):
+        data, h = frames(bytes([0xFF, 0xFE, 0xC0, mode]), bits)
+        seen = mpeg_audio.inspect(data)
+        assert h.layer == 1 and seen["checked"] == seen["right"] == len(seen["offsets"]) == 4, mode
+        data = bytearray(data)
+        data[8] ^= 1
+        assert mpeg_audio.inspect(bytes(data))["right"] == 3
+    # layer II at 64 kbit/s and 48 kHz, mono: table a, 27 subbands, two more bits for each that has an allocation
+    head = bytes([0xFF, 0xFC, 0x44, 0xC0])
+    h = mpeg_audio.header(head)
+    body = bytes(random.Random(9).randrange(256) for _ in range(h.size - 6))
+    flat, at, selected = "".join(f"{b:08b}" for b in body), 0, 0
+    for n, bits in ((11, 4), (12, 3), (4, 2)):
+        for _ in range(n):
+            selected += "1" in flat[at : at + bits]
+            at += bits
+    assert h.layer == 2 and mpeg_audio.protected(head + b"xx" + body, h) == at + 2 * selected == 88 + 2 * selected
+    crc = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in head[2:]) + flat[: at + 2 * selected]:
+        crc = (crc << 1 ^ (0x8005 if crc >> 15 != int(bit) else 0)) & 0xFFFF
+    seen = mpeg_audio.inspect((head + crc.to_bytes(2, "big") + body) * 3)
+    assert seen["checked"] == seen["right"] == 3
+
+
+def test_tags():
+    media = mpeg_audio.store(b"abc")
+    sound = media[media.index(b"\xff\xfa") : -128]
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    old = b"TT2\x00\x00\x03\x00hi"
+    frame3 = b"TIT2" + (3).to_bytes(4, "big") + b"\0\0\0hi"
+    frame4 = b"TIT2" + size(3) + b"\0\0\0hi"
+    more3 = (6).to_bytes(4, "big") + bytes(6)
+    more4 = size(6) + b"\1\0"
+    for tag, name in (
+        (b"ID3\x02\0\0" + size(len(old)) + old, "TT2"),
+        (b"ID3\x03\0\x40" + size(len(more3 + frame3)) + more3 + frame3, "TIT2"),
+        (b"ID3\x04\0\x50" + size(len(more4 + frame4)) + more4 + frame4 + b"3DI\x04\0\x50" + size(len(more4 + frame4)), "TIT2"),
+    ):
+        seen = mpeg_audio.inspect(tag + sound)
+        assert seen["tags"][name] == b"\0hi" and seen["skipped"] == 0 and len(seen["offsets"]) == 1, tag
+    item = (2).to_bytes(4, "little") + bytes(4) + b"Title\0hi"
+    count = lambda flags: b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    for tag in (item + count(0), count(0xA0000000) + item + count(0x80000000)):
+        for end in (b"", b"TAG".ljust(128, b"\0")):
+            seen = mpeg_audio.inspect(sound + tag + end)
+            assert seen["ape"] == {"Title": b"hi"} and seen["skipped"] == 0 and seen["id3v1"] == bool(end)
+
+
 PAGE = """<html><body><header class="site-header"><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">We use cookies</div>
 <div id="main"><div class="sidebar"><p>Side words here</p></div><article class="post post-{i}"><header><h1>Title &amp; more</h1></header>
 <p>First para &lt;b&gt; text. <a href=x>link</a> more  text that is long enough to count for something {i}.</p><ul><li>one<li>two</ul>
@@ -105,3 +172,59 @@ def test_whole_article_around_the_best_container():
     assert got(f'<div class="post"><h1>Title</h1><div class="wrap"><div class="a"><p>{long}</p></div></div><div class="b"><p>more</p></div></div>') == f"Title\n{long}\nmore"
     assert got(f'<h1>Title</h1><p>lede</p><div class="text"><p>{long}</p></div>') == f"Title\nlede\n{long}"
     assert got(f'<div class="related-links"><div><a href=x>other story</a></div></div><div class="text"><p>{long}</p></div>') == long
+
+
+def plain_text(page):
+    """The article of a page of the test tables by patterns alone: cut at block tags, other tags out."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+    if not inside:
+        return ""
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inside[1], flags=re.S)
+    inner = re.sub(r"<br[^>]*>", " ", inner)
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|pre|table|tr|td|th|section|figure|figcaption|dl|dt|dd|hr)\b[^>]*>", inner)
+    parts = [" ".join(html.unescape(re.sub(r"</?[a-zA-Z][^>]*>", "", x)).split()) for x in parts]
+    return "\n".join(x for x in parts if x)
+
+
+def test_whole_table_against_plain_loops(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.collect()
+    votes: dict[str, Counter] = {}
+    for r in rows:
+        if (path := html_text.best_path(r.html)) is not None:
+            votes.setdefault(html_text.host(r.url), Counter())[path] += 1
+    won = {h: min(c, key=lambda p: (-c[p], p)) for h, c in votes.items()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.query(spark, SF).collect()}
+    hits = words = found = 0
+    for r in rows:
+        text = html_text.extract(r.html, won.get(html_text.host(r.url)))
+        assert got[r.page_id] == (text, len(text))
+        want = Counter(plain_text(r.html).split())
+        hits, words, found = hits + (want & Counter(text.split())).total(), words + want.total(), found + len(text.split())
+    assert len(got) == len(rows) and 2 * hits / (words + found) > 0.999, "F1 of words"
+
+
+def test_two_containers_compete_for_a_host(spark):
+    body = "<p>" + "real words of the article " * 30 + "</p>"
+    old, new = '<body><div class="left">{}</div></body>', '<body><div class="wide"><div class="story">{}</div></div></body>'
+    rows = [(i, "http://h.example/", old.format(body)) for i in range(3)] + [(10 + i, "http://h.example/", new.format(body)) for i in range(2)]
+    rows += [(20, "http://h.example/", '<body><div class="promo">' + "<p>buy it now at once</p>" * 40 + '</div><div class="left"><p>short</p></div></body>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = {r.host: (r.path, r.votes) for r in html_text.host_paths(pages).collect()}
+    assert paths["h.example"] == ("#root/body/div.left", 3)
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got[20] == "short" and got[10] == got[11] == got[0] != "", "pages off the winning path keep their own best container"
+
+
+def test_column_names(spark):
+    page = PAGE.format(i=1)
+    rows = [(1, "http://a.example/", page, "u", 1, "x", "y"), (1, "http://a.example/", page, "u", 1, "x", "y"), (2, None, None, None, None, None, None), (3, "", "<p>" + "very long words " * 200_000, "", 0, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, Link string, Body string, _host string, _path_of_host long, _host_of_path string, text string")
+    out = html_text.main_text(pages, url_col="Link", html_col="Body")
+    assert out.columns == ["page_id", "Link", "Body", "_host", "_path_of_host", "_host_of_path", "text"]
+    got = sorted((r.page_id, r._host, len(r.text)) for r in out.where("page_id != 2").collect())
+    want = len(html_text.extract(page, html_text.best_path(page)))
+    assert got == [(1, "u", want), (1, "u", want), (3, "", 16 * 200_000 - 1)]
+    for name in ("link", "BODY"):
+        with pytest.raises(ValueError):
+            html_text.main_text(pages, url_col="Link", html_col="Body", out_col=name)

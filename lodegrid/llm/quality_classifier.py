@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from lodegrid.llm.common import crc32_of_id, free_name, table, with_text
 from lodegrid.llm.learners import Positives, class_prior, sigmoid
 
-#: Bounds of the samples that the driver fits on: rows with a trusted label, and unlabelled rows.
+#: Bounds of the samples that the driver fits on: rows with a trusted label, and rows of the training split taken
+#: as unlabelled (of rows that repeat an id, twice as many at most). Every document is scored by its whole text.
 POSITIVES, UNLABELLED = 4000, 8000
 _LETTERS = re.compile(r"[^\W\d_]")
 _KEEP = {name: bytes(b for b in range(256) if b not in set(chars)) for name, chars in {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&|<>{}[]=+@^~_\\", "stop": b".,;:?", "shout": b"!", "white": b" \t\n\r\x0b\x0c"}.items()}
@@ -117,6 +118,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is not held out (its checksum is 0)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc32_of_id() % 3 == 1
     model = fit(docs, table(spark, sf_dir, "labels"), ~held)

@@ -31,9 +31,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at temperature weights, in the order of the blocks. Every document comes once at least
-    (the budget is what the most repeated source's weight asks for); small sources repeat."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Sources at temperature weights, in the mixture's order. Every document comes once at least
+    (the budget is what the least repeated source's weight asks for); small sources repeat."""
+    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lodegrid.functions import expressions, units
 from lodegrid.plans.coverage import Coverage
+from lodegrid.plans.settings import settings
 
 COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "==": lambda a, b: a == b,
@@ -53,7 +54,10 @@ def arithmetic(eqn: str, inputs: dict[str, Coverage], params: dict[str, object]
 
 
 def binary(op: str, a: Coverage, b: Coverage | float) -> Coverage:
-    """Elementwise arithmetic and comparison with units; a number has none."""
+    """Elementwise arithmetic and comparison with units (unless the setting ENABLE_UNITS is off); a number has none."""
+    if not settings["ENABLE_UNITS"]:
+        a = a.with_attrs(units=None)
+        b = b.with_attrs(units=None) if isinstance(b, Coverage) else b
     unit, scale = units.result(op, a.units, b.units if isinstance(b, Coverage) else (a.units if op not in "*/" else None))
     if not isinstance(b, Coverage):
         other = {"b": F.lit(float(b))}

@@ -78,8 +78,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _note(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """Write a small text at a path that executors see too, or read it (None without one)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if text is not None:
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return text
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class HashCache(Node):
-    """Whole results as Parquet under <path>/<plan>/<request>; a hit reads the table and runs nothing else."""
+    """Whole results as Parquet under <path>/<plan>/<request>; a hit reads the table and runs nothing else. With
+    ``expires`` (a duration or a moment, from the time of writing) an entry is made anew once that is past."""
 
     attributes = {"path": None, "uid": None, "force_eval": False, "expires": None}
 
@@ -96,8 +116,12 @@ class HashCache(Node):
             return source.compile(request)
         path = self.place(request.coords)
         c = source.compile(request)
-        if self.attrs["force_eval"] or not _exists(request.spark, f"{path}/_SUCCESS"):
+        end = _note(request.spark, f"{path}/_expires")
+        stale = end is not None and float(end) <= time.time()
+        if self.attrs["force_eval"] or stale or not _exists(request.spark, f"{path}/_SUCCESS"):
             c.df.write.mode("overwrite").parquet(path)
+            if self.attrs["expires"] is not None:
+                _note(request.spark, f"{path}/_expires", str(expiry(self.attrs["expires"])))
         return c.with_df(request.spark.read.schema(c.df.schema).parquet(path))
 
 

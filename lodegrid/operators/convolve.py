@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegrid.plans.coordinates import UniformAxis
+from lodegrid.plans.coordinates import Axis, index_column
 from lodegrid.plans.coverage import Coverage
 from lodegrid.operators.interpolate import whole_index
 
@@ -53,8 +53,19 @@ def expansion(size: int) -> tuple[int, int]:
     return size // 2, max(size // 2 - (size + 1) % 2, 1)
 
 
-def convolve(c: Coverage, weights: np.ndarray, axes: dict[str, UniformAxis]) -> Coverage:
-    """Convolve over the uniform dimensions in ``axes`` (in the kernel's order); others are batch dimensions.
+def _indexed(c: Coverage, axes: dict[str, Axis]) -> DataFrame:
+    """The cells with their position on each axis: by arithmetic on uniform ones, by a join on listed ones."""
+    df = c.df
+    for d, a in axes.items():
+        if a.uniform:
+            df = df.withColumn(index_column(d), whole_index(F.col(d), a))
+        else:
+            df = df.join(F.broadcast(a.frame(df.sparkSession)), d)  # a list of the plan
+    return df
+
+
+def convolve(c: Coverage, weights: np.ndarray, axes: dict[str, Axis]) -> Coverage:
+    """Convolve over the dimensions in ``axes`` (in the kernel's order), by position; others are batch dimensions.
     The kernel is a literal array: each cell is exploded by its non-zero entries, and sums are combined
     partially, so the shuffle carries a row for each cell and offset at most."""
     weights = np.asarray(weights, float)
@@ -66,16 +77,30 @@ def convolve(c: Coverage, weights: np.ndarray, axes: dict[str, UniformAxis]) ->
     offsets = F.array(*(F.struct(*(F.lit(e[k]).alias(f"o{k}") for k in range(len(dims))), F.lit(e[-1]).alias("w")) for e in entries))
     others = [d for d in c.dims if d not in axes]
     outs = list(c.outputs)
-    src = c.df.select(*others, *(whole_index(F.col(d), a).alias(f"__i_{d}") for d, a in axes.items()), *outs, F.explode(offsets).alias("__o"))
+    indexed = _indexed(c, axes)
+    src = indexed.select(*others, *(f"__i_{d}" for d in dims), *outs, F.explode(offsets).alias("__o"))
     moved = src.select(*others, *((F.col(f"__i_{d}") + F.col(f"__o.o{k}")).alias(f"__i_{d}") for k, d in enumerate(dims)), *(F.when(F.col("__o.w") == 0, F.when(F.col(o).isNotNull(), 0.0)).otherwise(F.col(o) * F.col("__o.w")).alias(o) for o in outs))
     for d, a in axes.items():
         moved = moved.where((F.col(f"__i_{d}") >= 0) & (F.col(f"__i_{d}") < a.size))
     keys = [*others, *(f"__i_{d}" for d in dims)]
     summed = moved.groupBy(*keys).agg(*(F.when(F.count(o) == F.count("*"), F.sum(o)).alias(o) for o in outs))
-    cells = c.df.select(*c.dims, *(whole_index(F.col(d), a).alias(f"__i_{d}") for d, a in axes.items()))
+    cells = indexed.select(*c.dims, *(f"__i_{d}" for d in dims))
     return c.with_df(cells.join(summed, keys, "left").select(*c.dims, *outs))
 
 
+def separable(weights: np.ndarray) -> list[np.ndarray] | None:
+    """The lines whose outer product a kernel is, or None."""
+    lines, rest = [], np.asarray(weights, float)
+    while rest.ndim > 1:
+        flat = rest.reshape(rest.shape[0], -1)
+        u, s, v = np.linalg.svd(flat)
+        if s[0] == 0 or s[1:].max(initial=0) > 1e-12 * s[0]:
+            return None
+        lines.append(u[:, 0] * s[0])
+        rest = v[0].reshape(rest.shape[1:])
+    return [*lines, rest]
+
+
 def convolve_1d(c: Coverage, weights: list[float], dim: str) -> Coverage:
     """Along one dimension whose cells are complete, by lags and leads within the other dimensions: one
     sort, no explosion. The batch dimensions are the keys that split the work."""

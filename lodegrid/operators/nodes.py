@@ -201,30 +201,41 @@ class Convolution(UnaryAlgorithm):
             if names[k] not in request.coords.udims:
                 w = w.sum(axis=k)
                 del names[k]
-        axes = {}
-        for d in names:
-            axis = request.coords.axis(d).simplify()
-            if not axis.uniform:
-                raise ValueError(f"convolution needs a uniform axis {d!r}")
-            axes[d] = axis
         wide = []
         for p in request.coords.parts:
-            if p.name in axes and axes[p.name].size > 1:
-                before, after = convolve.expansion(w.shape[names.index(p.name)])
-                a = axes[p.name]
-                lo = a.start - a.step * before
-                wide.append(UniformAxis(lo, lo + a.step * (a.size + before + after - 1), step=a.step, name=p.name) if a.is_time else UniformAxis(lo, lo + a.step * (a.size + before + after - 1), size=a.size + before + after, name=p.name))
-            else:
-                wide.append(p)
+            size = w.shape[names.index(p.name)] if p.name in names else 1
+            wide.append(_widened(p.simplify(), size) if isinstance(p, Axis) and size > 1 and p.size > 1 else p)
         bigger = Coordinates(wide, crs=request.coords.crs)
         c = self.inputs["source"].compile(request.at(bigger))
-        out = convolve.convolve(c, w, {d: bigger.axis(d) for d in names})
+        lines = convolve.separable(w)
+        out = c
+        if lines is None:
+            out = convolve.convolve(out, w, {d: bigger.axis(d).simplify() for d in names})
+        else:  # a product of lines: one dimension after the other, so a cell is spread to as many as the lines are long
+            for d, line in zip(names, lines, strict=True):
+                out = convolve.convolve(out, line, {d: bigger.axis(d).simplify()})
         return out.within({d: request.coords.axis(d).bounds for d in names})
 
 
+def _widened(a: Axis, size: int) -> Axis:
+    """An axis with the cells before and after it that a kernel of ``size`` reaches; lists go on in the step of their
+    ends, and stay as they are if they are not in order."""
+    before, after = convolve.expansion(size)
+    if not a.uniform:
+        if not a.monotonic:
+            return a
+        v = a.coordinates
+        lead, tail = v[1] - v[0], v[-1] - v[-2]
+        return Axis(np.concatenate([[v[0] - lead * k for k in range(before, 0, -1)], v, [v[-1] + tail * k for k in range(1, after + 1)]]), a.name)
+    lo = a.start - a.step * before
+    last = lo + a.step * (a.size + before + after - 1)
+    return UniformAxis(lo, last, step=a.step, name=a.name) if a.is_time else UniformAxis(lo, last, size=a.size + before + after, name=a.name)
+
+
 # -- compositors ---------------------------------------------------------------------------------
 class BaseCompositor(Node):
-    """Several sources as one; subclasses define ``composite``."""
+    """Several sources as one; subclasses define ``composite``. Outputs are those of ``outputs`` where given (missing
+    where no source has one), else all that the sources have; ``auto_outputs`` wants sources that agree on having them."""
 
     attributes = {"source_coordinates": None, "interpolation": None, "dims": None, "auto_outputs": False}
     input_names = ("sources",)
@@ -256,7 +267,16 @@ class BaseCompositor(Node):
         if not parts:
             frame = request.frame().select(*request.coords.udims, F.lit(None).cast("double").alias("value"))
             return Coverage(frame, tuple(request.coords.udims))
-        return self.composite(parts, request)
+        if self.attrs["auto_outputs"] and len({c.outputs == ("value",) for c in parts}) > 1:
+            raise ValueError("auto_outputs needs sources that all have outputs, or none")
+        out, wanted = self.composite(parts, request), self.attrs.get("outputs")
+        if not wanted:
+            return out
+        return out.with_df(out.df.select(*out.dims, *(F.col(o) if o in out.outputs else F.lit(None).cast("double").alias(o) for o in wanted)), outputs=list(wanted))
+
+    def active(self, values: list[list[float | None]]) -> int | None:
+        """Which of the sources gives the result at a point, from their values there."""
+        return next((i for i, v in enumerate(values) if any(x is not None for x in v)), None)
 
     def composite(self, parts: list[Coverage], request: Request) -> Coverage:
         raise NotImplementedError
@@ -273,6 +293,13 @@ class OrderedCompositor(BaseCompositor):
 class TileCompositor(BaseCompositor):
     """The union of the sources' cells; earlier known values win."""
 
+    def get_source_data(self, spark, bounds: dict[str, list] | None = None) -> Coverage:
+        """The sources' own cells within bounds, composed, without interpolation."""
+        sources = self.inputs["sources"]
+        if any(not hasattr(s, "get_source_data") for s in sources):
+            raise ValueError("all sources need get_source_data")
+        return composite.tile([s.get_source_data(spark, bounds) for s in sources])
+
     def composite(self, parts, request):
         return composite.tile(parts)
 
@@ -286,6 +313,28 @@ BROADCAST_CELLS = 1_000_000
 AREA = {"average", "mode", "gauss", "max", "min", "med", "q1", "q3", "sum"}
 
 
+#: Methods that users have added.
+PLUGGED: dict[str, type[Interpolator]] = {}
+
+
+class Interpolator:
+    """A user's interpolation: ``methods`` names what it does; ``interpolate`` gets the source's cells, the dimensions
+    to do, the source's axes (None where unknown and irregular), the requested coordinates and the parameters, and
+    returns the cells at the request. Subclasses register by being defined."""
+
+    methods: tuple[str, ...] = ()
+
+    def __init_subclass__(cls, **kw: object) -> None:
+        super().__init_subclass__(**kw)
+        for name in cls.methods:
+            if name in METHODS:
+                raise ValueError(f"{name!r} is a method of the engine")
+            PLUGGED[name] = cls
+
+    def interpolate(self, c: Coverage, dims: list[str], axes: dict[str, Axis | None], asked: Coordinates, params: dict, spark) -> Coverage:
+        raise NotImplementedError
+
+
 class Interpolate(Node):
     """A source at the request's own coordinates. ``interpolation`` is a method, a dict with method, dims and
     params, or a list of such dicts in the order of execution; dimensions that are not named take "nearest"."""
@@ -298,7 +347,7 @@ class Interpolate(Node):
         out, named = [], []
         for item in items:
             item = {"method": item} if isinstance(item, str) else item
-            if item["method"] not in METHODS:
+            if item["method"] not in METHODS and item["method"] not in PLUGGED:
                 raise ValueError(f"unknown interpolation {item['method']!r}")
             own = [d for d in (item.get("dims") or dims) if d in dims and d not in named]
             named += own
@@ -352,6 +401,8 @@ class Interpolate(Node):
         frame = lambda d: Coordinates([asked.axis(d)], crs=asked.crs).frame(request.spark)
         if method == "none":
             return c
+        if method in PLUGGED:
+            return PLUGGED[method]().interpolate(c, dims, {d: own[d] for d in dims}, asked, params, request.spark)
         if method in AREA:
             pairs = {d: (own[d], asked.axis(d).simplify()) for d in dims}
             return interpolate.area_resample(c, method, pairs)

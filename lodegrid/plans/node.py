@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.plans.coordinates import Coordinates, GroupCoordinates
 from lodegrid.plans.coverage import Coverage
+from lodegrid.plans.settings import settings
 
 
 class NodeException(Exception):
@@ -98,7 +99,7 @@ class Node:
         key = (self.hash, request.coords.hash)
         if key not in request.memo:
             made = self.build(request)
-            if self.attrs.get("units"):
+            if self.attrs.get("units") and settings["ENABLE_UNITS"]:
                 made = made.with_attrs(units=self.attrs["units"])
             request.memo[key] = made
         return request.memo[key]
@@ -152,17 +153,34 @@ class Node:
         return out
 
     def probe(self, spark: SparkSession | None = None, **point: object) -> list[dict]:
-        """Evaluate every node of the plan at one point: name, inputs, hash and value."""
+        """Evaluate every node of the plan at one point: name (of the style, else the node's), value and its label,
+        whether the node is active (sources that a compositor passes over are not, nor what only they use), inputs, hash."""
         coords = Coordinates([[v] for v in point.values()], dims=list(point))
-        out = []
+        out, values = {}, {}
         for n in self.nodes():
+            style = n.attrs.get("style") or {}
+            style = style if isinstance(style, dict) else vars(style)
             try:
                 row = n.eval(coords, spark).df.head()
+                dims = set(row.asDict()) & set(coords.udims) if row is not None else set()
+                values[n.hash] = [] if row is None else [v for k, v in row.asDict().items() if k not in dims]
                 value = None if row is None else row[len(row) - 1]
             except (ValueError, KeyError) as bad:
-                value = f"{type(bad).__name__}: {bad}"
-            out.append({"name": type(n).__name__, "value": value, "inputs": [c.hash for c in n._children()], "node_hash": n.hash})
-        return out
+                value, values[n.hash] = f"{type(bad).__name__}: {bad}", []
+            legend = {int(k): v for k, v in (style.get("enumeration_legend") or {}).items()}
+            label = legend.get(int(value), style.get("default_enumeration_legend", "unknown")) if legend and isinstance(value, float) else None
+            out[n.hash] = {"name": style.get("name") or type(n).__name__, "value": value, "label": label, "active": False, "inputs": [c.hash for c in n._children()], "node_hash": n.hash}
+
+        def mark(n: Node) -> None:
+            out[n.hash]["active"] = True
+            sources = list(n.inputs.get("sources") or []) if hasattr(n, "active") else []
+            used = n.active([values[s.hash] for s in sources]) if sources else None
+            for c in n._children():
+                if not any(c is s for s in sources) or used is not None and c is sources[used]:
+                    mark(c)
+
+        mark(self)
+        return list(out.values())
 
     def interpolate(self, interpolation: object = "nearest") -> Node:
         return REGISTRY["Interpolate"](source=self, interpolation=interpolation)

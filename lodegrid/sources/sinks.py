@@ -68,8 +68,9 @@ def to_array(c: Coverage, output: str | None = None) -> np.ndarray:
 def to_png(c: Coverage, lat: str = "lat", lon: str = "lon", vmin: float | None = None, vmax: float | None = None) -> bytes:
     """A grey image, north up, missing cells transparent; the range is given, the style's, or the data's."""
     grid = to_array(c.transpose(lat, lon))
-    while grid.ndim > 2:
-        grid = grid[..., 0]
+    if grid.ndim > 2 and max(grid.shape[2:]) > 1:
+        raise ValueError("an image holds one time and altitude")
+    grid = grid.reshape(grid.shape[:2])
     clim = (c.attrs.get("style") or {}).get("clim", (None, None))
     known = grid[~np.isnan(grid)]
     lo = next((v for v in (vmin, clim[0]) if v is not None), known.min() if known.size else 0.0)

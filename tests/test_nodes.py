@@ -367,6 +367,77 @@ def test_probe(spark):
     node = Arithmetic(eqn="A * 2", A=CoordData(coord_name="lat"))
     rows = node.probe(spark, lat=3, lon=4)
     assert [r["value"] for r in rows] == [3, 6] and rows[1]["inputs"] == [rows[0]["node_hash"]]
+    assert all(r["active"] and r["label"] is None for r in rows) and rows[0]["name"] == "CoordData"
+    grid = Coordinates.grid(lat=[0, 1], lon=[0, 1])
+    a, b = (Array(source=np.full((2, 2), v), coordinates=grid, style={"name": n, "enumeration_legend": {"2": "two"}}) for v, n in ((NAN, "a"), (2.0, "b")))
+    rows = {r["name"]: r for r in OrderedCompositor(sources=[a, b]).probe(spark, lat=1, lon=0)}
+    assert (rows["a"]["active"], rows["b"]["active"], rows["b"]["label"]) == (False, True, "two")
+
+
+def test_units_can_be_switched_off(spark):
+    c = Arange().eval(Coordinates.grid(lat=[0, 1]), spark)
+    from lodegrid.operators import algebra
+
+    with lodegrid.settings.override(ENABLE_UNITS=False):
+        out = algebra.binary("+", c.with_attrs(units="m"), c.with_attrs(units="kg"))
+        assert out.units is None and sorted(r.value for r in out.df.collect()) == [0, 2]
+
+
+def test_listed_axes_convolve_by_position(spark):
+    at = [0.0, 1.0, 3.0, 4.0, 8.0]
+    got = dense(Convolution(source=CoordData(coord_name="lat"), kernel=[1, 2, 4], kernel_dims=["lat"]).eval(Coordinates([at], dims=["lat"]), spark))
+    wide = np.convolve([-1.0, *at, 12.0], [1, 2, 4], mode="same")[1:-1]
+    assert np.allclose(got, wide)
+    # a kernel that is no product of lines
+    kernel = [[0, 1, 0], [1, 4, 1], [0, 1, 3]]
+    ask = Coordinates.grid(lat=(0, 4, 5), lon=(0, 3, 4))
+    got = dense(Convolution(source=CoordData(coord_name="lat"), kernel=kernel, kernel_dims=["lat", "lon"]).eval(ask, spark))
+    x = np.repeat(np.arange(-1.0, 6)[:, None], 6, axis=1)
+    want = sum(kernel[i][j] * x[2 - i : 7 - i, 2 - j : 6 - j] for i in range(3) for j in range(3))
+    assert np.allclose(got, want)
+
+
+def test_own_interpolator(spark):
+    from lodegrid.interpolators import Interpolator
+    from lodegrid.operators.nodes import PLUGGED
+
+    class Floor(Interpolator):
+        methods = ("test_floor",)
+
+        def interpolate(self, c, dims, axes, asked, params, spark):
+            return interpolate.carried(c, c.df, dims[0], asked.axis(dims[0]), Coordinates([asked.axis(dims[0])]).frame(spark))
+
+    try:
+        node = Array(source=[1.0, 2.0, 3.0], coordinates=Coordinates.grid(lat=[0, 1, 2])).interpolate("test_floor")
+        assert dense(node.eval(Coordinates([[0.5, 1.0, 1.9]], dims=["lat"]), spark)).tolist() == [1, 2, 2]
+    finally:
+        PLUGGED.pop("test_floor")
+
+
+def test_outputs_of_compositors(spark):
+    grid = Coordinates.grid(lat=[0, 1])
+    one = Array(source=[[1.0, 2.0], [3.0, 4.0]], coordinates=grid, outputs=["x", "y"])
+    two = Array(source=[[5.0, 6.0], [7.0, 8.0]], coordinates=grid, outputs=["y", "z"])
+    both = TileCompositor(sources=[one, two], auto_outputs=True).eval(grid, spark)
+    assert both.outputs == ("x", "y", "z") and [tuple(r) for r in both.df.orderBy("lat").collect()] == [(0, 1, 2, 6), (1, 3, 4, 8)]
+    some = TileCompositor(sources=[one, two], outputs=["z", "w"]).eval(grid, spark)
+    assert some.outputs == ("z", "w") and {r.w for r in some.df.collect()} == {None}
+    plain = Array(source=[1.0, 2.0], coordinates=grid)
+    with pytest.raises(ValueError):
+        TileCompositor(sources=[one, plain], auto_outputs=True).eval(grid, spark)
+    assert TileCompositor(sources=[plain, plain]).get_source_data(spark, {"lat": [1, 2]}).df.count() == 1
+
+
+def test_entries_expire(spark, tmp_path, monkeypatch):
+    ask = Coordinates.grid(lat=(0, 1, 2))
+    table = lambda v: Table(table=spark.createDataFrame([(0.0, v), (1.0, v)], "lat double, value double"), dims=["lat"], data="value")
+    read = lambda v: dense(HashCache(source=table(v), path=str(tmp_path / "c"), uid="k", expires="1,h").eval(ask, spark)).tolist()
+    from lodegrid.operators import caches
+
+    assert read(1.0) == [1, 1] and read(2.0) == [1, 1]
+    now = caches.time.time()
+    monkeypatch.setattr(caches.time, "time", lambda: now + 7200)
+    assert read(3.0) == [3, 3]
 
 
 def test_beta_fit():

@@ -472,6 +472,12 @@ _query("convolve_by_lags", f"SELECT lat, lon, round(sum(CASE o WHEN 0 THEN 0.5 E
 )
 _query("cumsum", f"SELECT lat, lon, round(CASE WHEN value IS NOT NULL THEN sum(value) OVER (PARTITION BY lat ORDER BY lon) END, 4) AS value FROM {GAPS}")(lambda s, d: shown(algebra.cumulative(grid(s, d, gaps=True), "lon")))
 
+_query("cumsum_one_dimension", f"SELECT size, round(sum(value) OVER (ORDER BY size), 4) AS value FROM {P}")(lambda s, d: shown(algebra.cumulative(sizes(s, d), "size")))
+for _dir, _asof in (("previous", "p.size <= q.size ORDER BY p.size DESC"), ("next", "p.size >= q.size ORDER BY p.size")):
+    _query(f"asof_{_dir}_one_dimension", f"SELECT q.size, round((SELECT value FROM {P} p WHERE p.size % 7 < 3 AND {_asof} LIMIT 1), 4) AS value FROM {_FINE_SQL} q")(
+        lambda s, d, m=_dir: shown(interpolate.as_of(sizes(s, d).mapped(lambda v: F.when(F.col("size") % 7 < 3, v)), _FINE.frame(s), "size", m))
+    )
+
 # -- CRS and distance (C20, C22, C23), reprojection (M5), caches (J12) -------------------------------
 _query("mercator", f"SELECT round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 4) + 0.0 AS lat, round(6378137 * radians(lon), 4) AS lon, round(value, 4) AS value FROM {G}")(lambda s, d: _mercator(grid(s, d)))
 _query("haversine", f"SELECT lat, lon, round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(lat - 10) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * pow(sin(radians(lon - 5) / 2), 2)))), 4) AS value FROM {G}")(

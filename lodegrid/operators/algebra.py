@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.functions import expressions, units
+from lodegrid.operators.interpolate import range_column
 from lodegrid.plans.coverage import Coverage
 from lodegrid.plans.settings import settings
 
@@ -130,12 +131,23 @@ def custom(inputs: dict[str, Coverage], f: Callable[[pd.DataFrame], pd.Series])
 
 
 def cumulative(c: Coverage, dim: str) -> Coverage:
-    """Running sum along a dimension within the others; missing cells add nothing and stay missing."""
+    """Running sum along a dimension within the others; missing cells add nothing and stay missing.
+
+    A source of one dimension has no keys to split by: it is cut into ranges of the dimension, each is summed in
+    itself, and the sums of the ranges before it (one row a range) are added."""
     from pyspark.sql import Window
 
     others = [d for d in c.dims if d != dim]
-    order = Window.partitionBy(*others).orderBy(dim).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.mapped(lambda v: F.when(v.isNotNull(), F.sum(v).over(order)))
+    if others:
+        order = Window.partitionBy(*others).orderBy(dim).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return c.mapped(lambda v: F.when(v.isNotNull(), F.sum(v).over(order)))
+    ranges = c.df.withColumn("__range", range_column(c.df, dim))
+    within = Window.partitionBy("__range").orderBy(dim).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("__range").agg(*(F.sum(o).alias(f"__t_{o}") for o in c.outputs))
+    totals = totals.select("__range", *(F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0.0)).alias(f"__b_{o}") for o in c.outputs))
+    summed = ranges.select(dim, "__range", *(F.when(F.col(o).isNotNull(), F.sum(o).over(within)).alias(o) for o in c.outputs))
+    return c.with_df(summed.join(totals, "__range").select(dim, *((F.col(o) + F.col(f"__b_{o}")).alias(o) for o in c.outputs)))
 
 
 def index_grid(frame: DataFrame, dims: list[str], sizes: list[int]) -> Coverage:

@@ -138,6 +138,14 @@ def position(v: Column, asked: Axis) -> Column:
     return F.get(F.lit(before), cell(v)).cast("long") + F.aggregate(here, F.lit(0).cast("long"), lambda n, p: n + (p < v).cast("long"))
 
 
+def range_column(df: DataFrame, dim: str) -> Column:
+    """A number for each of as many ranges of ``dim`` as a shuffle has partitions, about equally filled: what splits the
+    work of a source without other dimensions. The bounds are a sketch's quantiles, one short list in the plan."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.select(number(F.col(dim), df, dim).alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    return position(number(F.col(dim), df, dim), Axis(sorted(set(cuts)) or [0.0], None))
+
+
 def brackets(source: DataFrame, dim: str, asked: Axis, request: DataFrame) -> DataFrame:
     """``request`` (rows of the plan-time axis ``asked``) with __i_x, its value as a number, and __i_below and __i_above,
     the nearest values of ``dim`` in the source on either side (itself where the source has it, null beyond the ends).
@@ -243,7 +251,7 @@ def as_of(source: Coverage, request: DataFrame, dim: str, direction: str = "prev
     """The last source value at or before each requested one (``next``: the first at or after) for sources
     of any size: both are merged in order within the shared dimensions and the value is carried along.
     Missing source cells are passed over. Requests that share no dimension with the source have no key
-    to split by; axes that fit the driver belong to ``nearest_irregular``."""
+    to split by: both are cut into ranges of ``dim``, and each range starts from the last value before it."""
     shared = [d for d in source.dims if d != dim and d in request.columns]
     keep = [c for c in request.columns if not c.startswith("__i_")]
     outs = list(source.outputs)
@@ -251,10 +259,16 @@ def as_of(source: Coverage, request: DataFrame, dim: str, direction: str = "prev
     for o in outs:
         left = left.where(F.col(f"__hit.{o}").isNotNull())
     right = request.select(*shared, dim, F.lit(None).cast(left.schema["__hit"].dataType).alias("__hit"), F.lit(1 if direction == "previous" else 0).alias("__side"), *(c for c in keep if c not in shared and c != dim))
-    order = Window.partitionBy(*shared).orderBy(dim, "__side")
+    keys, merged = shared, left.unionByName(right)
+    if not shared:
+        keys, cut = ["__range"], range_column(source.df, dim)
+        merged, left = merged.withColumn("__range", cut), left.withColumn("__range", cut)
+    order = Window.partitionBy(*keys).orderBy(dim, "__side")
     frame = order.rowsBetween(Window.unboundedPreceding, 0) if direction == "previous" else order.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last("__hit", True) if direction == "previous" else F.first("__hit", True)
-    merged = left.unionByName(right).withColumn("__found", pick.over(frame)).where(F.col("__side") == (1 if direction == "previous" else 0))
+    merged = merged.withColumn("__found", pick.over(frame)).where(F.col("__side") == (1 if direction == "previous" else 0))
+    if not shared:
+        merged = _from_other_ranges(merged, left.where("__hit is not null"), direction)
     hit = F.col("__found")
     if tolerance is not None:
         gap = F.abs(number(F.col(dim), source.df, dim) - number(F.col("__found.at"), source.df, dim))
@@ -263,6 +277,16 @@ def as_of(source: Coverage, request: DataFrame, dim: str, direction: str = "prev
     return source.with_df(out, dims=keep)
 
 
+def _from_other_ranges(rows: DataFrame, cells: DataFrame, direction: str) -> DataFrame:
+    """``rows`` (__range, __found), where nothing was found in a row's own range taking the last (``next``: the first)
+    __hit of ``cells`` in the ranges before (after) it. One row a range is carried along the ranges."""
+    ends = cells.groupBy("__range").agg((F.max if direction == "previous" else F.min)("__hit").alias("__end"))
+    ranges = rows.select("__range").distinct().join(ends, "__range", "full_outer")
+    order = Window.orderBy("__range")
+    far = F.last("__end", True).over(order.rowsBetween(Window.unboundedPreceding, -1)) if direction == "previous" else F.first("__end", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return rows.join(ranges.select("__range", far.alias("__far")), "__range", "left").withColumn("__found", F.coalesce("__found", "__far")).drop("__far", "__range")
+
+
 def nearest_points(source: Coverage, request: DataFrame, dims: list[str], cell: float, reach: float, scales: dict[str, float] | None = None) -> Coverage:
     """The nearest scattered source point to each requested one, within ``reach`` (scaled Euclidean).
 
@@ -432,36 +456,54 @@ def first_needed(request: DataFrame, dim: str, axis: UniformAxis) -> int:
     return max(0, min(axis.size - 1, int(low))) if low is not None else 0
 
 
+def _around(c: Coverage, dim: str) -> DataFrame:
+    """The cells with, for each output o, the last known one at or before (__a_o) and the first known one at or after
+    (__b_o), as structs of x (the dimension as a number) and v."""
+    others = [d for d in c.dims if d != dim]
+    df = c.df if others else c.df.withColumn("__range", range_column(c.df, dim))
+    keys = others or ["__range"]
+    order = Window.partitionBy(*keys).orderBy(dim)
+    x = number(F.col(dim), c.df, dim)
+    known = {o: F.when(F.col(o).isNotNull(), F.struct(x.alias("x"), F.col(o).alias("v"))) for o in c.outputs}
+    out = df
+    for o, k in known.items():
+        out = out.withColumn(f"__a_{o}", F.last(k, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn(f"__b_{o}", F.first(k, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    if others:
+        return out
+    for o, k in known.items():
+        cells = df.select("__range", k.alias("__hit")).where("__hit is not null")
+        for side, direction in (("a", "previous"), ("b", "next")):
+            held = out.withColumnRenamed(f"__{side}_{o}", "__found").withColumn("__keep", F.col("__range"))
+            out = _from_other_ranges(held, cells, direction).withColumnsRenamed({"__found": f"__{side}_{o}", "__keep": "__range"})
+    return out
+
+
 def fill_missing(c: Coverage, dim: str) -> Coverage:
     """Fill missing cells along a dimension from the nearest known ones on both sides, linearly; ends stay missing."""
-    others = [d for d in c.dims if d != dim]
-    order = Window.partitionBy(*others).orderBy(dim)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     x = number(F.col(dim), c.df, dim)
 
-    def filled(v: Column) -> Column:
-        known = F.when(v.isNotNull(), F.struct(x.alias("x"), v.alias("v")))
-        a, b = F.last(known, True).over(before), F.first(known, True).over(after)
+    def filled(o: str) -> Column:
+        v, a, b = F.col(o), F.col(f"__a_{o}"), F.col(f"__b_{o}")
         return F.when(v.isNotNull(), v).otherwise(a["v"] + (b["v"] - a["v"]) * F.try_divide(x - a["x"], b["x"] - a["x"]))
 
-    return c.mapped(filled)
+    return c.with_df(_around(c, dim).select(*c.dims, *(filled(o).alias(o) for o in c.outputs)))
 
 
 def fill_carried(c: Coverage, dim: str, reach: float) -> Coverage:
     """Fill missing cells along a dimension from the last known cell within ``reach`` (seconds for time), or else from
     the next one within it: one sort for both."""
-    others = [d for d in c.dims if d != dim]
-    order = Window.partitionBy(*others).orderBy(dim)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     x = number(F.col(dim), c.df, dim)
     far = reach * (1e6 if isinstance(c.df.schema[dim].dataType, T.TimestampType) else 1.0)
 
-    def filled(v: Column) -> Column:
-        known = F.when(v.isNotNull(), F.struct(x.alias("x"), v.alias("v")))
-        a, b = F.last(known, True).over(before), F.first(known, True).over(after)
+    def filled(o: str) -> Column:
+        a, b = F.col(f"__a_{o}"), F.col(f"__b_{o}")
         return F.coalesce(F.when(x - a["x"] <= far, a["v"]), F.when(b["x"] - x <= far, b["v"]))
 
-    return c.mapped(filled)
+    return c.with_df(_around(c, dim).select(*c.dims, *(filled(o).alias(o) for o in c.outputs)))
+
+
+QUANTILES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
 
 
 def area_resample(source: Coverage, method: str, axes: dict[str, tuple[UniformAxis, UniformAxis]]) -> Coverage:
@@ -472,20 +514,22 @@ def area_resample(source: Coverage, method: str, axes: dict[str, tuple[UniformAx
         "mode": lambda v: F.mode(v, deterministic=True),
         "max": F.max,
         "min": F.min,
-        "med": F.median,
-        "q1": lambda v: F.percentile(v, 0.25),
-        "q3": lambda v: F.percentile(v, 0.75),
         "sum": F.sum,
     }
     if method == "gauss":
         return _gauss(source, axes)
-    f = aggregates[method]
     df = source.df
     for d, (_, target) in axes.items():
         index = F.rint(axis_index(F.col(d), target)).cast("long")
         df = df.withColumn(f"__t_{d}", F.when((index >= 0) & (index < target.size), index)).where(F.col(f"__t_{d}").isNotNull())
     others = [d for d in source.dims if d not in axes]
-    out = df.groupBy(*others, *(f"__t_{d}" for d in axes)).agg(*(f(F.col(o)).alias(o) for o in source.outputs))
+    keys = [*others, *(f"__t_{d}" for d in axes)]
+    if method in QUANTILES:
+        from lodegrid.operators.reduce import exact_quantile
+
+        out = exact_quantile(df, keys, list(source.outputs), QUANTILES[method])
+    else:
+        out = df.groupBy(*keys).agg(*(aggregates[method](F.col(o)).alias(o) for o in source.outputs))
     values = [_value_at(F.col(f"__t_{d}"), t).alias(d) for d, (_, t) in axes.items()]
     return source.with_df(out.select(*others, *values, *source.outputs), dims=[*others, *axes])
 

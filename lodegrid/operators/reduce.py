@@ -1,8 +1,9 @@
 """Reductions: over dimensions, calendar groups, time buckets and circular day-of-year windows.
 
 All but the user's own functions are Spark aggregates, so they combine partially before the shuffle and
-keep their state in mergeable moments; exact medians and percentiles are sketch-free aggregates that
-spill. Missing cells are skipped.
+keep their state in mergeable moments. Exact medians and percentiles are selected in two passes: a
+histogram of each group tells the cell in which the rank lies, and only that cell's values are counted
+one by one. Missing cells are skipped.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +62,51 @@ def aggregate(name: str, percentile: float | None = None) -> Callable[[Column],
     return AGGREGATES[name]
 
 
+def histogram_cell(v: Column) -> Column:
+    """A whole number that grows with v, about a 64th of a power of two wide: the same for equal values, and of a
+    bounded number whatever the data."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    place = power * 64 + F.floor(size / F.pow(F.lit(2.0), power) * 64) - 64 + 1100 * 64
+    return F.when(v == 0, 0).when(size == INF, F.signum(v) * 1_000_000).otherwise(F.signum(v) * place).cast("long")
+
+
+def exact_quantile(df: DataFrame, keys: list[str], outputs: list[str], share: float) -> DataFrame:
+    """(keys, outputs): the exact quantile of each output within each group, linear between the two ranks.
+
+    Both aggregates combine partially, so a group of any size is at most its cells, and then the distinct values of one
+    or two of them, in the tasks that follow."""
+    found = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for o in outputs:
+        rows = df.select(*keys, F.col(o).alias("v")).where("v is not null").withColumn("cell", histogram_cell(F.col("v")))
+        by = Window.partitionBy(*keys)
+        upto = by.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+        cells = cells.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "rank": F.lit(float(share)) * (F.sum("n").over(by) - 1)})
+        holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))  # noqa: B023, E731
+        cells = cells.where(holds(F.floor("rank")) | holds(F.ceil("rank"))).select(*keys, "cell", "before", "rank")
+        values = rows.join(cells, [*keys, "cell"]).groupBy(*keys, "cell", "before", "rank", "v").agg(F.count("*").alias("n"))
+        within = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        values = values.withColumn("before", F.col("before") + F.sum("n").over(within) - F.col("n"))
+        low, high = (F.max(F.when(holds(r), F.col("v"))) for r in (F.floor("rank"), F.ceil("rank")))
+        part = F.max("rank") - F.floor(F.max("rank"))
+        one = values.groupBy(*keys).agg(F.when(low == high, low).otherwise(low + (high - low) * part).alias(o))
+        found = found.join(one, keys, "left") if keys else found.crossJoin(one)  # one row
+    return found
+
+
+def _aggregated(df: DataFrame, keys: list[str], fn: str, outputs: list[str], percentile: float | None = None) -> DataFrame:
+    if fn in ("median", "percentile"):
+        return exact_quantile(df, keys, list(outputs), 0.5 if fn == "median" or percentile is None else percentile / 100)
+    f = aggregate(fn, percentile)
+    return df.groupBy(*keys).agg(*(f(F.col(o)).alias(o) for o in outputs))
+
+
 def reduce(c: Coverage, fn: str, dims: list[str] | None = None, percentile: float | None = None) -> Coverage:
     """Reduce over ``dims`` (all if none are given; unknown ones are ignored)."""
     gone = [d for d in c.dims if dims is None or d in dims]
     left = [d for d in c.dims if d not in gone]
-    f = aggregate(fn, percentile)
-    return c.with_df(c.df.groupBy(*left).agg(*(f(F.col(o)).alias(o) for o in c.outputs)), dims=left)
+    return c.with_df(_aggregated(c.df, left, fn, c.outputs, percentile), dims=left)
 
 
 def _custom_groups(c: Coverage, f: Callable[[pd.Series], float], keys: list[str]) -> Coverage:
@@ -94,8 +134,7 @@ def group_reduce(c: Coverage, groupby: str, fn: str | Callable[[pd.Series], floa
     others = [d for d in c.dims if d != time]
     if callable(fn):
         return _custom_groups(grouped, fn, [*others, time])
-    f = aggregate(fn)
-    return c.with_df(grouped.df.groupBy(*others, time).agg(*(f(F.col(o)).alias(o) for o in c.outputs)), dims=[time if d == time else d for d in c.dims])
+    return c.with_df(_aggregated(grouped.df, [*others, time], fn, c.outputs), dims=[time if d == time else d for d in c.dims])
 
 
 def bucket(time: Column, step: str) -> Column:
@@ -121,8 +160,7 @@ def resample(c: Coverage, step: str, fn: str | Callable[[pd.Series], float], tim
     keyed = c.df.withColumn(time, bucket(F.col(time), step))
     if callable(fn):
         return _custom_groups(c.with_df(keyed), fn, [*others, time])
-    f = aggregate(fn)
-    out = keyed.groupBy(*others, time).agg(*(f(F.col(o)).alias(o) for o in c.outputs))
+    out = _aggregated(keyed, [*others, time], fn, c.outputs)
     if spine:
         delta = tu.step(step)
         unit, n = tu.unit(delta), int(delta.astype(int))
@@ -180,7 +218,7 @@ def day_of_year_window(
         out = _merged_days(c, window, fn, time, scale_float)
     else:
         met = day_of_year_samples(c, window, time, scale_float)
-        out = _custom_groups(c.with_df(met), fn, [*others, time]) if callable(fn) else c.with_df(met.groupBy(*others, time).agg(*(aggregate(fn)(F.col(o)).alias(o) for o in c.outputs)), dims=[*others, time])
+        out = _custom_groups(c.with_df(met), fn, [*others, time]) if callable(fn) else c.with_df(_aggregated(met, [*others, time], fn, c.outputs), dims=[*others, time])
     if not rescale or not scale_float:
         return out
     if ends is None:

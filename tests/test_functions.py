@@ -121,3 +121,22 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("select * from hourly").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    from lodegrid.operators import reduce
+
+    values = [*rng.normal(0, 1e6, 300), *rng.integers(-3, 3, 200).astype(float), 0.0, -0.0, 2.0**40, np.nextafter(2.0**40, 0), 1e-300, float("inf"), -float("inf"), None, None]
+    rows = [(float(i % 3), None if v is None else float(v)) for i, v in enumerate(values)] + [(9.0, None), (8.0, 7.0)]
+    df = spark.createDataFrame(rows, "k double, v double").repartition(3)
+    for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {r.k: r.v for r in reduce.exact_quantile(df, ["k"], ["v"], share).collect()}
+        want = {r.k: r.v for r in df.groupBy("k").agg(F.percentile("v", share).alias("v")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got if want[k] is not None)
+        assert {k for k in got if got[k] is None} == {9.0}
+    whole = reduce.exact_quantile(df, [], ["v"], 0.5).collect()
+    assert [r.v for r in whole] == [r.v for r in df.agg(F.percentile("v", 0.5).alias("v")).collect()]
+    assert [r.v for r in reduce.exact_quantile(df.limit(0), [], ["v"], 0.5).collect()] == [None]
+    ordered = df.where("v is not null").select("v", reduce.histogram_cell(F.col("v")).alias("c")).orderBy("v").collect()
+    assert all(a.c <= b.c for a, b in zip(ordered, ordered[1:], strict=False))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.functions import calendar, crs
-from lodegrid.operators import algebra, composite, convolve, interpolate, reduce, rewrite
+from lodegrid.operators import algebra, climatology, composite, convolve, interpolate, reduce, rewrite
 from lodegrid.operators.caches import HashCache, PartialCache
 from lodegrid.operators.managers import ParallelOutput
 from lodegrid.operators.nodes import Arithmetic, Mean, OrderedCompositor, Reproject, TileCompositor
@@ -328,6 +328,7 @@ _query("doy_window_scaled", f"SELECT w.time::BIGINT AS time, round((avg(CASE WHE
     lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 7, "mean", scale_float=(1000, 90000), rescale=True).mapped(lambda v: v * F.pi()), 5)
 )
 
+_query("beta_fit_by_day")(lambda s, d: shown(climatology.beta_fit(reduce_all_stations(lines(s, d).select("value")), 31, [0.1, 0.9], scale_float=(0.0, 110000.0))))
 _query("doy_window9_max", f"SELECT w.time::BIGINT AS time, round(max(value), 4) AS value {_DOY_JOIN.format(half=4)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 9, "max")))
 _query("doy_window3_median", f"SELECT w.time::BIGINT AS time, round(median(value), 4) AS value {_DOY_JOIN.format(half=1)}")(lambda s, d: shown(reduce.day_of_year_window(reduce_all_stations(lines(s, d).select("value")), 3, "median")))
 _STATION_ENDS = f"(SELECT station, min(value) AS lo, max(value) + 1 AS hi FROM {L} GROUP BY 1)"

@@ -1,9 +1,11 @@
 """Beta distributions by day of year: maximum likelihood by Newton's method, and quantiles by bisection
-of the regularised incomplete beta function (continued fraction). numpy only, a group at a time."""
+of the regularised incomplete beta function (continued fraction). A fit needs the sums of a group's values
+and of their logarithms only, which are aggregated by day before windows spread them."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +43,13 @@ def fit(values: np.ndarray) -> tuple[float, float]:
     x = np.clip(x[~np.isnan(x)], NUDGE, 1 - NUDGE)
     if len(x) < 2 or x.min() == x.max():
         return math.nan, math.nan
-    m, v = x.mean(), x.var()
+    return fit_means(x.mean(), x.var(), np.log(x).mean(), np.log1p(-x).mean())
+
+
+def fit_means(m: float, v: float, la: float, lb: float) -> tuple[float, float]:
+    """(a, b) from the mean, the variance (for the start), and the means of log x and log(1 - x)."""
     k = max(m * (1 - m) / v - 1, 0.1)
     a, b = m * k, (1 - m) * k
-    la, lb = np.log(x).mean(), np.log1p(-x).mean()
     for _ in range(100):
         s = _digamma(a + b)
         g1, g2 = la - _digamma(a) + s, lb - _digamma(b) + s
@@ -100,15 +105,25 @@ def beta_fit(c: Coverage, window: int, percentiles: list[float], scale_float: tu
     """Outputs a, b and d0, d1, ... (the percentiles' values in [0, 1]) by cell and day of year."""
     if c.outputs != ("value",):
         raise ValueError("a beta fit takes one output")
-    others = [d for d in c.dims if d != time]
-    spread = reduce.day_of_year_samples(c, window, time, scale_float)
+    others, keys = [d for d in c.dims if d != time], [*(d for d in c.dims if d != time), time]
+    x = F.greatest(F.least(F.col("value"), F.lit(1 - NUDGE)), F.lit(NUDGE))
+    parts = {"n": F.lit(1.0), "s": x, "q": x * x, "la": F.log(x), "lb": F.log1p(-x)}
+    day = F.least(F.dayofyear(time), F.lit(365)).cast("long").alias("__day")
+    known = reduce.scaled_cells(c, scale_float).where(F.col("value").isNotNull())
+    days = known.groupBy(*others, day).agg(*(F.sum(v).alias(k) for k, v in parts.items()), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    met = reduce.spread_days(days, window).join(F.broadcast(reduce.wanted_days(c, time)), "__day")  # 366 rows at most
+    sums = met.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in parts), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     outs = ["a", "b", *(f"d{i}" for i in range(len(percentiles)))]
-    schema = T.StructType([*(spread.schema[d] for d in [*others, time]), *(T.StructField(o, T.DoubleType()) for o in outs)])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = fit(frame["value"].to_numpy(float))
-        row = [a, b, *(quantile(a, b, p) for p in percentiles)]
-        return pd.DataFrame({d: [frame[d].iloc[0]] for d in [*others, time]} | dict(zip(outs, [[v] for v in row], strict=True)))
-
-    made = c.with_df(spread.groupBy(*others, time).applyInPandas(run, schema), dims=[*others, time], outputs=outs)
+    schema = T.StructType([*(sums.schema[d] for d in keys), *(T.StructField(o, T.DoubleType()) for o in outs)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                m = r.s / r.n
+                a, b = fit_means(m, max(r.q / r.n - m * m, 1e-12), r.la / r.n, r.lb / r.n) if r.n >= 2 and r.lo < r.hi else (math.nan, math.nan)
+                rows.append([a, b, *(quantile(a, b, p) for p in percentiles)])
+            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(rows, columns=outs, dtype=float)], axis=1)
+
+    made = c.with_df(sums.mapInPandas(run, schema), dims=keys, outputs=outs)
     return made.mapped(lambda v: F.when(F.isnan(v), None).otherwise(v))

@@ -245,16 +245,17 @@ def _with_ends(c: Coverage, scale: tuple[float | Coverage, float | Coverage]) ->
     return c.with_df(df.select(*c.dims, *c.outputs, "__low", "__high")), (F.col("__low"), F.col("__high")), table
 
 
-def _scaled(c: Coverage, scale: tuple | None) -> DataFrame:
+def scaled_cells(c: Coverage, scale: tuple | None) -> DataFrame:
+    """The cells, their outputs scaled where there is a scale."""
     return c.df.select(*c.dims, *(scaled(F.col(o), *scale).alias(o) for o in c.outputs)) if scale else c.df.select(*c.dims, *c.outputs)
 
 
-def _wanted_days(c: Coverage, time: str) -> DataFrame:
+def wanted_days(c: Coverage, time: str) -> DataFrame:
     """The days of year in the data (``time``, 366 rows at most) and as days of a circle (__day)."""
     return c.df.select(F.dayofyear(time).cast("long").alias(time)).distinct().withColumn("__day", F.least(time, F.lit(365)).cast("long"))
 
 
-def _spread(df: DataFrame, window: int) -> DataFrame:
+def spread_days(df: DataFrame, window: int) -> DataFrame:
     """Rows once for every day (__day) whose window they lie in."""
     half = window // 2
     return df.withColumn("__to", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("__day", F.pmod(F.col("__day") - 1 + F.col("__to"), F.lit(365)) + 1).drop("__to")
@@ -263,15 +264,15 @@ def _spread(df: DataFrame, window: int) -> DataFrame:
 def _merged_days(c: Coverage, window: int, fn: str, time: str, scale: tuple | None) -> Coverage:
     others, (state, result) = [d for d in c.dims if d != time], MERGEABLE[fn]
     day = F.least(F.dayofyear(time), F.lit(365)).cast("long").alias("__day")
-    days = _scaled(c, scale).groupBy(*others, day).agg(*(f(F.col(o)).alias(f"__{o}_{k}") for o in c.outputs for k, f in state.items()))
-    met = _spread(days, window).join(F.broadcast(_wanted_days(c, time)), "__day")  # 366 rows at most
+    days = scaled_cells(c, scale).groupBy(*others, day).agg(*(f(F.col(o)).alias(f"__{o}_{k}") for o in c.outputs for k, f in state.items()))
+    met = spread_days(days, window).join(F.broadcast(wanted_days(c, time)), "__day")  # 366 rows at most
     return c.with_df(met.groupBy(*others, time).agg(*(result(lambda k, o=o: F.col(f"__{o}_{k}")).alias(o) for o in c.outputs)), dims=[*others, time])
 
 
 def day_of_year_samples(c: Coverage, window: int, time: str, scale: tuple | None) -> DataFrame:
     """Each sample once for every day of year (``time``) whose window it lies in."""
-    df = _scaled(c, scale).withColumn("__day", F.least(F.dayofyear(time), F.lit(365)).cast("long")).drop(time)
-    return _spread(df, window).join(F.broadcast(_wanted_days(c, time)), "__day").drop("__day")  # 366 rows at most
+    df = scaled_cells(c, scale).withColumn("__day", F.least(F.dayofyear(time), F.lit(365)).cast("long")).drop(time)
+    return spread_days(df, window).join(F.broadcast(wanted_days(c, time)), "__day").drop("__day")  # 366 rows at most
 
 
 def group_frame(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Coverage:

@@ -5,7 +5,7 @@ import pytest
 
 import lodegrid
 from lodegrid import Coordinates, Node, crange
-from lodegrid.algorithm import Arange, Arithmetic, Combine, Convolution, CoordData, Count, DayOfYearWindow, ExpandCoordinates, GroupReduce, Kurtosis, Mask, Max, Mean, Median, Min, Percentile, Reproject, ResampleReduce, SelectCoordinates, SinCoords, Skew, StandardDeviation, Sum, TransformTimeUnits, Variance, YearSubstituteCoordinates
+from lodegrid.algorithm import Arange, Arithmetic, BetaFitDayOfYear, Combine, Convolution, CoordData, Count, DayOfYearWindow, ExpandCoordinates, GroupReduce, Kurtosis, Mask, Max, Mean, Median, Min, Percentile, Reproject, ResampleReduce, SelectCoordinates, SinCoords, Skew, StandardDeviation, Sum, TransformTimeUnits, Variance, YearSubstituteCoordinates
 from lodegrid.caches import HashCache, PartialCache
 from lodegrid.compositor import OrderedCompositor, TileCompositor
 from lodegrid.data import CSV, Array, Dataset, Overviews, Table
@@ -449,6 +449,23 @@ def test_beta_fit():
     assert abs(cl.cumulative(2, 3, cl.quantile(2, 3, 0.3)) - 0.3) < 1e-9 and abs(cl.quantile(1, 1, 0.25) - 0.25) < 1e-9
 
 
+def test_beta_fit_by_day(spark):
+    from lodegrid.operators import climatology as cl
+
+    rng = np.random.default_rng(1)
+    days = np.array([f"{y}-{m:02d}-{d:02d}" for y in (2001, 2004) for m in (1, 2, 12) for d in range(1, 29)], "datetime64[D]")
+    x = rng.beta(2, 3, len(days)) * 10
+    x[5] = NAN
+    ask = Coordinates([days], dims=["time"])
+    got = {r.time: r for r in BetaFitDayOfYear(source=Array(source=x, coordinates=ask), percentiles=[0.5], window=5, scale_float=[0.0, 10.0]).eval(ask, spark).df.collect()}
+    of_year = np.array([min(365, int(d.astype(int) - d.astype("datetime64[Y]").astype("datetime64[D]").astype(int)) + 1) for d in days])
+    for t, r in got.items():
+        gap = np.abs(of_year - min(t, 365))
+        near = x[np.minimum(gap, 365 - gap) <= 2] / 10
+        a, b = cl.fit(near)
+        assert np.isclose(r.a, a, rtol=1e-6) and np.isclose(r.b, b, rtol=1e-6) and np.isclose(r.d0, cl.quantile(a, b, 0.5), rtol=1e-6)
+
+
 def test_large_requests_filter_the_source(spark, monkeypatch):
     from lodegrid.operators import nodes
 

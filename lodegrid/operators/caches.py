@@ -6,10 +6,11 @@ import json
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid.functions import timeunits as tu
+from lodegrid.plans import files
 from lodegrid.plans.coordinates import Coordinates
 from lodegrid.plans.coverage import Coverage
 from lodegrid.plans.node import Node, Request
@@ -73,30 +74,6 @@ class Store:
         return len(gone)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def _note(spark: SparkSession, path: str, text: str | None = None) -> str | None:
-    """Write a small text at a path that executors see too, or read it (None without one)."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if text is not None:
-        out = fs.create(at, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        return text
-    if not fs.exists(at):
-        return None
-    stream = fs.open(at)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 class HashCache(Node):
     """Whole results as Parquet under <path>/<plan>/<request>; a hit reads the table and runs nothing else. With
     ``expires`` (a duration or a moment, from the time of writing) an entry is made anew once that is past."""
@@ -116,12 +93,12 @@ class HashCache(Node):
             return source.compile(request)
         path = self.place(request.coords)
         c = source.compile(request)
-        end = _note(request.spark, f"{path}/_expires")
+        end = files.read_text(request.spark, f"{path}/_expires")
         stale = end is not None and float(end) <= time.time()
-        if self.attrs["force_eval"] or stale or not _exists(request.spark, f"{path}/_SUCCESS"):
+        if self.attrs["force_eval"] or stale or not files.exists(request.spark, f"{path}/_SUCCESS"):
             c.df.write.mode("overwrite").parquet(path)
             if self.attrs["expires"] is not None:
-                _note(request.spark, f"{path}/_expires", str(expiry(self.attrs["expires"])))
+                files.write_text(request.spark, f"{path}/_expires", str(expiry(self.attrs["expires"])))
         return c.with_df(request.spark.read.schema(c.df.schema).parquet(path))
 
 
@@ -141,7 +118,7 @@ class PartialCache(Node):
     def missing(self, request: Request) -> DataFrame:
         """Requested cells without an entry (an anti-join)."""
         wanted = request.frame().select(*request.coords.udims)
-        if not _exists(request.spark, self.place()):
+        if not files.exists(request.spark, self.place()):
             return wanted
         return wanted.join(request.spark.read.parquet(self.place()).select(*request.coords.udims), list(request.coords.udims), "left_anti")
 

@@ -325,6 +325,8 @@ def _plain(v: object) -> object:
         return v.item()
     if isinstance(v, DataFrame):
         return {"__table": hashlib.md5(v._jdf.queryExecution().analyzed().toString().encode()).hexdigest()}
+    if isinstance(v, (bytes, bytearray)):
+        return {"__bytes": hashlib.md5(v).hexdigest()}
     if callable(v):
         return {"__callable": f"{getattr(v, '__module__', '')}.{getattr(v, '__qualname__', repr(v))}"}
     if isinstance(v, dict):

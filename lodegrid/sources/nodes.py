@@ -6,6 +6,7 @@ from __future__ import annotations
 import importlib.util
 
 import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +14,7 @@ from lodegrid.operators import algebra
 from lodegrid.plans.coordinates import Axis, Coordinates, Stack, index_column, literal
 from lodegrid.plans.coverage import Coverage
 from lodegrid.plans.node import Node, Request, coordinates_of
-from lodegrid.sources import tables
+from lodegrid.sources import tables, zarr
 
 
 class DataSource(Node):
@@ -258,14 +259,59 @@ class H5PY(_External):
             return Array(source=f[a["data_key"]][:], coordinates=Coordinates(axes)).get_data(spark)
 
 
-class Zarr(_External):
-    """A Zarr store; the engine's own chunked store is Parquet partitioned by chunk."""
+class Zarr(DataSource):
+    """A Zarr store: arrays of ``data_key`` (a name, or several as outputs; the only one with more than one dimension if
+    none is named) over the coordinate arrays that their dimensions name. Chunks are decoded by the executors."""
+
+    attributes = DataSource.attributes | {"source": None, "data_key": None, "lat_key": "lat", "lon_key": "lon", "time_key": "time", "alt_key": "alt", "dims": None}
+
+    def _store(self, spark) -> zarr.Store:
+        return zarr.Store(spark, self.attrs["source"])
+
+    def _layouts(self, store: zarr.Store) -> dict[str, zarr.Layout]:
+        given = self.attrs["data_key"]
+        if given is not None:
+            return {k: store.layout(k) for k in ([given] if isinstance(given, str) else given)}
+        keys = {self.attrs[f"{d}_key"] for d in ("lat", "lon", "time", "alt")}
+        found = {k: store.layout(k) for k in store.keys() if k not in keys}
+        if not found:
+            raise ValueError("No data keys found")
+        return found
+
+    def _axes(self, store: zarr.Store, layout: zarr.Layout) -> list[Axis]:
+        names = {self.attrs[f"{d}_key"]: d for d in ("lat", "lon", "time", "alt")}
+        axes = []
+        for key in layout.dims or [self.attrs.get(f"{d}_key", d) for d in self.attrs["dims"] or ()]:
+            values, own = store.axis(key)
+            units = own.attributes.get("units", "")
+            axes.append(Axis(zarr.decoded_times(values, units) if " since " in units else values, names.get(key, key)))
+        if len(axes) != len(layout.shape):
+            raise ValueError(f"an array of shape {layout.shape} needs the names of its dimensions; give dims")
+        return axes
+
+    def get_coordinates(self) -> Coordinates:
+        if self.attrs.get("coordinates") is not None:
+            return coordinates_of(self.attrs["coordinates"])
+        store = self._store(SparkSession.getActiveSession())
+        return Coordinates(self._axes(store, next(iter(self._layouts(store).values()))))
 
-    library = "zarr"
+    def get_data(self, spark) -> Coverage:
+        store = self._store(spark)
+        layouts, coords = self._layouts(store), self.get_coordinates()
+        df, index = None, [f"__i_{k}" for k in range(len(coords.parts))]
+        for key, layout in layouts.items():
+            if layout.shape != coords.shape:
+                raise ValueError(f"array {key!r} of shape {layout.shape} does not fit coordinates of shape {coords.shape}")
+            cells = store.cells(key, layout, "value" if len(layouts) == 1 else key)
+            df = cells if df is None else df.join(cells, index)
+        for k, axis in enumerate(coords.parts):
+            frame = axis.simplify().frame(spark)
+            df = df.join(F.broadcast(frame.withColumnRenamed(index_column(axis.name), index[k])), index[k])  # a list of the plan
+        return Coverage.of(df, coords.udims, ["value"] if len(layouts) == 1 else list(layouts))
 
 
 class ZarrMemory(Zarr):
-    """Zarr in memory; the engine's own form of it is a cached Table."""
+    """A Zarr store in memory: ``source`` is a dict of names and bytes."""
 
 
 class Rasterio(_External):

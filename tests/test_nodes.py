@@ -1,5 +1,9 @@
 """Golden values of the reference's own tests, on the node interface."""
 
+import gzip
+import json
+import zlib
+
 import numpy as np
 import pytest
 
@@ -8,13 +12,13 @@ from lodegrid import Coordinates, Node, crange
 from lodegrid.algorithm import Arange, Arithmetic, BetaFitDayOfYear, Combine, Convolution, CoordData, Count, DayOfYearWindow, ExpandCoordinates, GroupReduce, Kurtosis, Mask, Max, Mean, Median, Min, Percentile, Reproject, ResampleReduce, SelectCoordinates, SinCoords, Skew, StandardDeviation, Sum, TransformTimeUnits, Variance, YearSubstituteCoordinates
 from lodegrid.caches import HashCache, PartialCache
 from lodegrid.compositor import OrderedCompositor, TileCompositor
-from lodegrid.data import CSV, Array, Dataset, Overviews, Table
+from lodegrid.data import CSV, Array, Dataset, Overviews, Table, Zarr, ZarrMemory
 from lodegrid.interpolators import Interpolate
 from lodegrid.managers import Parallel
 from lodegrid.operators import interpolate
 from lodegrid.plans.coordinates import concat
 from lodegrid.plans.node import NodeException, describe_operators
-from lodegrid.sources import sinks
+from lodegrid.sources import sinks, zarr
 from lodegrid.sources.nodes import MissingLibrary
 
 NAN = np.nan
@@ -315,6 +319,55 @@ def test_csv(spark, tmp_path):
         Dataset(source="x.nc", data_key="v").get_source_data(spark)
 
 
+def zarr_store(version):
+    """A store of two arrays over time and lat in chunks of 2 x 3, with a chunk that is not stored."""
+    x = np.arange(20.0).reshape(4, 5)
+    x[0, 0] = NAN
+    files = {}
+
+    def put(key, values, chunks, dims, attributes, skip=()):
+        names = {"_ARRAY_DIMENSIONS": dims, **attributes}
+        if version == 2:
+            meta = {"zarr_format": 2, "shape": values.shape, "chunks": chunks, "dtype": values.dtype.str, "compressor": {"id": "zlib", "level": 1}, "fill_value": "NaN" if values.dtype.kind == "f" else 0, "order": "F" if values.ndim > 1 else "C", "filters": None}
+            files[f"{key}/.zarray"], files[f"{key}/.zattrs"] = json.dumps(meta).encode(), json.dumps(names).encode()
+        else:
+            meta = {"zarr_format": 3, "node_type": "array", "shape": values.shape, "data_type": str(values.dtype), "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "chunk_key_encoding": {"name": "default"}, "fill_value": "NaN" if values.dtype.kind == "f" else 0, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 1}}], "attributes": attributes, "dimension_names": dims}
+            files[f"{key}/zarr.json"] = json.dumps(meta).encode()
+        for at in np.ndindex(*(-(-n // c) for n, c in zip(values.shape, chunks, strict=True))):
+            if at in skip:
+                continue
+            part = np.zeros(chunks, values.dtype)
+            piece = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))]
+            part[tuple(slice(n) for n in piece.shape)] = piece
+            name = f"{key}/" + (".".join(map(str, at)) if version == 2 else "c/" + "/".join(map(str, at)))
+            files[name] = zlib.compress(part.tobytes(order="F" if values.ndim > 1 else "C")) if version == 2 else gzip.compress(part.tobytes())
+
+    put("rain", x, [2, 3], ["time", "lat"], {}, skip={(1, 1)})
+    put("time", np.array([0, 1, 2, 5], "int32"), [3], ["time"], {"units": "days since 2020-01-01"})
+    put("lat", np.linspace(10, 14, 5), [5], ["lat"], {})
+    want = x.copy()
+    want[2:, 3:] = NAN
+    return files, want
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_zarr(spark, tmp_path, version):
+    files, want = zarr_store(version)
+    for name, data in files.items():
+        (tmp_path / "s" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / name).write_bytes(data)
+    for node in (Zarr(source=str(tmp_path / "s")), ZarrMemory(source=files, data_key="rain")):
+        own = node.get_coordinates()
+        assert own.dims == ["time", "lat"] and str(own["time"].coordinates[3])[:10] == "2020-01-06"
+        assert np.array_equal(dense(node.eval(own, spark)), want, equal_nan=True)
+    at = Coordinates([["2020-01-02"], [10.2, 12.9]], dims=["time", "lat"])
+    assert dense(node.interpolate("nearest").eval(at, spark)).tolist() == [[5, 8]]
+    with pytest.raises(zarr.UnknownCodec):
+        zarr.parse_layout({"zarr_format": 2, "shape": [1], "chunks": [1], "dtype": "<f8", "compressor": {"id": "blosc"}, "fill_value": 0})
+    with pytest.raises(KeyError):
+        Zarr(source=str(tmp_path / "s"), data_key="snow").get_coordinates()
+
+
 def test_sources_check_dimensions(spark):
     node = cube()
     with pytest.raises(ValueError, match="lacks"):

@@ -1,3 +1,3 @@
 """Caches by name."""
 
-from lodegrid.operators.caches import HashCache, PartialCache, Store  # noqa: F401
+from lodegrid.operators.caches import CacheControl, HashCache, MemoryStore, PartialCache, Store, cached_property  # noqa: F401

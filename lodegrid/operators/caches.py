@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import time
+from collections.abc import Callable
+from fnmatch import fnmatchcase
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid.functions import timeunits as tu
@@ -33,47 +36,148 @@ def expiry(given: object, now: float | None = None) -> float | None:
 
 
 class Store:
-    """A manifest of entries in a folder: put, get, has, remove (with "*"), clear, cleanup."""
+    """A manifest of entries in a folder: put, get, has, remove (with "*"), clear, cleanup. With a session the folder may
+    lie on any file system that Spark knows (``s3a://`` too), without one on the driver's machine."""
 
-    def __init__(self, root: str):
-        self.root = Path(root)
+    def __init__(self, root: str, spark: SparkSession | None = None):
+        self.root, self.spark = str(root).rstrip("/"), spark
 
-    def _path(self, group: str, key: str) -> Path:
-        return self.root / group / f"{key}.json"
+    def _path(self, group: str, key: str) -> str:
+        return f"{self.root}/{group}/{key}.json"
 
-    def put(self, group: str, key: str, value: object, expires: object = None) -> None:
-        p = self._path(group, key)
+    def _write(self, group: str, key: str, text: str) -> None:
+        if self.spark is not None:
+            files.write_text(self.spark, self._path(group, key), text)
+            return
+        p = Path(self._path(group, key))
         p.parent.mkdir(parents=True, exist_ok=True)
-        p.write_text(json.dumps({"value": value, "expires": expiry(expires)}))
+        p.write_text(text)
+
+    def _read(self, group: str, key: str) -> str | None:
+        if self.spark is not None:
+            return files.read_text(self.spark, self._path(group, key))
+        p = Path(self._path(group, key))
+        return p.read_text() if p.exists() else None
+
+    def _entries(self) -> list[tuple[str, str]]:
+        if self.spark is not None:
+            return [(group, name.removesuffix(".json")) for group, name in files.below(self.spark, self.root) if name.endswith(".json")]
+        return [(p.parent.name, p.stem) for p in Path(self.root).glob("*/*.json")]
+
+    def _drop(self, group: str, key: str) -> None:
+        if self.spark is not None:
+            files.delete(self.spark, self._path(group, key))
+        else:
+            Path(self._path(group, key)).unlink()
+
+    def put(self, group: str, key: str, value: object, expires: object = None) -> None:
+        self._write(group, key, json.dumps({"value": value, "expires": expiry(expires)}))
 
     def get(self, group: str, key: str) -> object:
         if not self.has(group, key):
             raise KeyError((group, key))
-        return json.loads(self._path(group, key).read_text())["value"]
+        return json.loads(self._read(group, key))["value"]
 
     def has(self, group: str, key: str) -> bool:
-        p = self._path(group, key)
-        if not p.exists():
-            return False
-        end = json.loads(p.read_text())["expires"]
-        return end is None or end > time.time()
+        found = self._read(group, key)
+        end = None if found is None else json.loads(found)["expires"]
+        return found is not None and (end is None or end > time.time())
 
     def remove(self, group: str = "*", key: str = "*") -> int:
-        found = list(self.root.glob(f"{group}/{key}.json"))
-        for p in found:
-            p.unlink()
+        found = [(g, k) for g, k in self._entries() if fnmatchcase(g, group) and fnmatchcase(k, key)]
+        for g, k in found:
+            self._drop(g, k)
         return len(found)
 
     def clear(self) -> None:
         self.remove()
 
     def cleanup(self) -> int:
-        gone = [p for p in self.root.glob("*/*.json") if not self.has(p.parent.name, p.stem)]
-        for p in gone:
-            p.unlink()
+        """Drop what has expired."""
+        gone = [(g, k) for g, k in self._entries() if not self.has(g, k)]
+        for g, k in gone:
+            self._drop(g, k)
         return len(gone)
 
 
+class MemoryStore(Store):
+    """The same in the driver's memory, up to ``limit`` bytes of text: beyond it the oldest entries go."""
+
+    def __init__(self, limit: int = 1_000_000_000):
+        self.limit, self.texts, self.size = limit, {}, 0
+
+    def _write(self, group: str, key: str, text: str) -> None:
+        self._drop(group, key)
+        self.texts[group, key] = text
+        self.size += len(text)
+        while self.size > self.limit and len(self.texts) > 1:
+            self._drop(*next(iter(self.texts)))
+
+    def _read(self, group: str, key: str) -> str | None:
+        return self.texts.get((group, key))
+
+    def _entries(self) -> list[tuple[str, str]]:
+        return list(self.texts)
+
+    def _drop(self, group: str, key: str) -> None:
+        self.size -= len(self.texts.pop((group, key), ""))
+
+
+class CacheControl:
+    """Several stores by mode ("ram", "disk", "s3" ...), in order: an entry is put into all (or one), and found in the first."""
+
+    def __init__(self, stores: dict[str, Store]):
+        self.stores = stores
+
+    def _chosen(self, mode: str) -> list[Store]:
+        if mode != "all" and mode not in self.stores:
+            raise ValueError(f"no store {mode!r} among {sorted(self.stores)}")
+        return [s for m, s in self.stores.items() if mode in ("all", m)]
+
+    def put(self, group: str, key: str, value: object, mode: str = "all", expires: object = None) -> None:
+        for s in self._chosen(mode):
+            s.put(group, key, value, expires)
+
+    def get(self, group: str, key: str, mode: str = "all") -> object:
+        for s in self._chosen(mode):
+            if s.has(group, key):
+                return s.get(group, key)
+        raise KeyError((group, key))
+
+    def has(self, group: str, key: str, mode: str = "all") -> bool:
+        return any(s.has(group, key) for s in self._chosen(mode))
+
+    def remove(self, group: str = "*", key: str = "*", mode: str = "all") -> int:
+        return sum(s.remove(group, key) for s in self._chosen(mode))
+
+    def clear(self, mode: str = "all") -> None:
+        self.remove(mode=mode)
+
+    def cleanup(self, mode: str = "all") -> int:
+        return sum(s.cleanup() for s in self._chosen(mode))
+
+
+def cached_property(method: Callable | None = None, *, control: CacheControl | None = None, expires: object = None):
+    """A property that is computed once for each node. With ``control`` equal nodes share it, by their hash, and it lives
+    as long as the entry (its value must have a JSON form then)."""
+    if method is None:
+        return functools.partial(cached_property, control=control, expires=expires)
+
+    @functools.wraps(method)
+    def get(node: Node) -> object:
+        memo = node.__dict__.setdefault("_memo", {})
+        if method.__name__ not in memo:
+            if control is not None and control.has(node.hash, method.__name__):
+                memo[method.__name__] = control.get(node.hash, method.__name__)
+            else:
+                memo[method.__name__] = method(node)
+                if control is not None:
+                    control.put(node.hash, method.__name__, memo[method.__name__], expires=expires)
+        return memo[method.__name__]
+
+    return property(get)
+
+
 class HashCache(Node):
     """Whole results as Parquet under <path>/<plan>/<request>; a hit reads the table and runs nothing else. With
     ``expires`` (a duration or a moment, from the time of writing) an entry is made anew once that is past."""

@@ -406,6 +406,9 @@ class Interpolate(Node):
         if method in AREA:
             pairs = {d: (own[d], asked.axis(d).simplify()) for d in dims}
             return interpolate.area_resample(c, method, pairs)
+        if params.get("fill_nan"):  # gaps along each dimension first
+            for d in dims:
+                c = interpolate.fill_missing(c, d)
         straight = method in ("bilinear", "linear", "slinear")
         regular = lambda d: own[d] is not None and own[d].uniform and own[d].size > 1
         if straight and len(dims) == 2 and all(regular(d) for d in dims):
@@ -433,7 +436,7 @@ class Interpolate(Node):
                 if method == "nearest_preview" and axis is not None and axis.uniform and asked.axis(d).size > 1:
                     want = abs((asked.axis(d).coordinates[-1] - asked.axis(d).coordinates[0]) / (asked.axis(d).size - 1))
                     c = interpolate.strided(c, d, axis, want if not isinstance(want, np.timedelta64) else tu.micros(want) / 1e6)
-                tolerance = params.get("time_tolerance" if d == "time" else "alt_tolerance" if d == "alt" else "spatial_tolerance")
+                tolerance = params.get({"time": "time_tolerance", "alt": "alt_tolerance", "lat": "spatial_tolerance", "lon": "spatial_tolerance"}.get(d, "other_dim_tolerance"))
                 options = {"tolerance": tolerance, "respect_bounds": params.get("respect_bounds", True), "remove_nan": params.get("remove_nan", False)}
                 if axis is None:
                     c = interpolate.nearest_sorted(c, frame(d), d, asked.axis(d), **options)

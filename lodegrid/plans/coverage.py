@@ -51,6 +51,16 @@ class Coverage:
         """Each output through ``f`` (Column to Column)."""
         return self.with_df(self.df.select(*self.dims, *(f(F.col(o)).alias(o) for o in self.outputs)))
 
+    def __getitem__(self, key: Coverage | str) -> Coverage:
+        """An output by name, or the cells at the labels of one dimension where ``key``'s value is true (neither missing nor 0)."""
+        if isinstance(key, str):
+            return self.select(key)
+        shared = [d for d in key.dims if d in self.dims]
+        if len(key.dims) != 1 or not shared:
+            raise ValueError("a labelled key has one dimension, which the data share")
+        labels = key.df.where(F.col(key.outputs[0]) != 0).select(*shared)
+        return self.with_df(self.df.join(labels, shared, "left_semi").select(*self.dims, *self.outputs))
+
     def renamed(self, names: dict[str, str]) -> Coverage:
         return self.with_df(self.df.withColumnsRenamed(names), outputs=[names.get(o, o) for o in self.outputs])
 

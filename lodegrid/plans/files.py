@@ -38,3 +38,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(at, True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def below(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, file) of the files in the folders of a folder."""
+    at, fs = _at(spark, path)
+    if not fs.exists(at):
+        return []
+    return [(d.getPath().getName(), f.getPath().getName()) for d in fs.listStatus(at) if d.isDirectory() for f in fs.listStatus(d.getPath()) if f.isFile()]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, False)

@@ -66,7 +66,8 @@ def to_array(c: Coverage, output: str | None = None) -> np.ndarray:
 
 
 def to_png(c: Coverage, lat: str = "lat", lon: str = "lon", vmin: float | None = None, vmax: float | None = None) -> bytes:
-    """A grey image, north up, missing cells transparent; the range is given, the style's, or the data's."""
+    """A grey image, north up, missing cells transparent; the range is given, the style's, or the data's. A style with
+    colours of enumerated values ("#rrggbb") gives those, and grey for other values."""
     grid = to_array(c.transpose(lat, lon))
     if grid.ndim > 2 and max(grid.shape[2:]) > 1:
         raise ValueError("an image holds one time and altitude")
@@ -78,6 +79,8 @@ def to_png(c: Coverage, lat: str = "lat", lon: str = "lon", vmin: float | None =
     level = np.clip((np.nan_to_num(grid) - lo) / ((hi - lo) or 1.0), 0, 1)[::-1]
     shade = (level * 255).astype(np.uint8)
     pixels = np.stack([shade, shade, shade, np.where(np.isnan(grid[::-1]), 0, 255).astype(np.uint8)], axis=-1)
+    for value, colour in ((c.attrs.get("style") or {}).get("enumeration_colors") or {}).items():
+        pixels[grid[::-1] == float(value), :3] = list(bytes.fromhex(colour.lstrip("#")))
     raw = b"".join(b"\0" + row.tobytes() for row in pixels)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", grid.shape[1], grid.shape[0], 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")

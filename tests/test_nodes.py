@@ -526,3 +526,52 @@ def test_large_requests_filter_the_source(spark, monkeypatch):
     source = Array(source=np.arange(9.0), coordinates=Coordinates([crange(0, 8, 1)], dims=["lat"]))
     c = Interpolate(source=source, interpolation="nearest").eval(Coordinates([crange(0, 8, 2)], dims=["lat"]), spark)
     assert sorted((r.lat, r[c.outputs[0]]) for r in c.df.collect()) == [(x, x) for x in (0.0, 2.0, 4.0, 6.0, 8.0)]
+
+
+def test_stores_and_properties(spark, tmp_path):
+    from lodegrid.caches import CacheControl, MemoryStore, Store, cached_property
+
+    control = CacheControl({"ram": MemoryStore(limit=200), "disk": Store(str(tmp_path / "s"), spark)})
+    control.put("g", "k", [1, 2])
+    control.put("g", "only", 3, mode="ram")
+    assert control.get("g", "k", "disk") == [1, 2] and control.has("g", "only") and not control.has("g", "only", "disk")
+    control.put("h", "gone", 1, expires=-5)
+    assert not control.has("h", "gone") and control.cleanup() == 2 and control.remove("g", "k*") == 2
+    for i in range(50):
+        control.put("many", str(i), i, mode="ram")
+    assert control.has("many", "49", "ram") and not control.has("many", "0", "ram")
+    with pytest.raises(KeyError):
+        control.get("g", "none")
+    with pytest.raises(ValueError):
+        control.clear("tape")
+    calls = []
+
+    class Counted(Arange):
+        @cached_property(control=control)
+        def answer(self):
+            calls.append(1)
+            return 42
+
+    assert [Counted().answer, Counted().answer] == [42, 42] and len(calls) == 1
+
+
+def test_labelled_keys_and_gap_filling(spark):
+    c = Arange().eval(Coordinates.grid(lat=[0, 1, 2], lon=[5, 6]), spark)
+    key = Table(table=spark.createDataFrame([(0.0, 1.0), (1.0, 0.0), (2.0, None)], "lat double, value double"), dims=["lat"], data="value").eval(Coordinates.grid(lat=[0, 1, 2]), spark)
+    assert sorted(r.value for r in c[key].df.collect()) == [0, 1] and c["value"].outputs == ("value",)
+    with pytest.raises(ValueError):
+        key[c]
+    node = Array(source=[0.0, NAN, NAN, 30.0], coordinates=Coordinates.grid(lat=[0, 1, 2, 3]))
+    ask = Coordinates([[0.5, 2.5]], dims=["lat"])
+    assert np.isnan(dense(node.interpolate("linear").eval(ask, spark))).all()
+    assert dense(node.interpolate({"method": "linear", "params": {"fill_nan": True}}).eval(ask, spark)).tolist() == [5, 25]
+
+
+def test_colours_of_enumerated_values(spark):
+    c = Arange().eval(Coordinates.grid(lat=[0, 1], lon=[0, 1]), spark).with_attrs(style={"enumeration_colors": {"3": "#ff0000"}})
+    png = sinks.to_png(c)
+    raw = zlib.decompress(png[png.index(b"IDAT") + 4 : png.index(b"IEND") - 8])
+    assert raw[1 + 4 : 1 + 8] == b"\xff\0\0\xff"
+    cube_ = Arange().eval(Coordinates.grid(lat=[0, 1], lon=[0, 1], alt=[0, 1]), spark)
+    with pytest.raises(ValueError):
+        sinks.to_png(cube_)

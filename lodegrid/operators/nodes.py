@@ -368,10 +368,14 @@ class Interpolate(Node):
         inner.neighbours = True
         inner.open = {d: method for method, dims, _ in self.steps(asked.udims) for d in dims if method in ("previous", "zero", "next")}
         c = source.compile(inner)
+        if not found and c.attrs.get("stacked"):
+            points = c.attrs["stacked"].split("_")
+            wanted = [d for d in asked.udims if d in points]
+            return interpolate.nearest_scattered(c, request.at(asked).frame(wanted).select(*wanted), points, self._scales(), self._params().get("spatial_tolerance"))
         stacked = [p for f in found for p in f.parts if isinstance(p, Stack) and set(p.dims) <= set(c.dims)]
         if stacked:
             wanted = [d for d in asked.udims if d in stacked[0].dims]
-            scales = {d: self._params().get(k) for d, k in (("lat", "spatial_scale"), ("lon", "spatial_scale"), ("time", "time_scale"), ("alt", "alt_scale")) if self._params().get(k)}
+            scales = self._scales()
             frame, tolerance = request.at(asked).frame(wanted).select(*wanted), self._params().get("spatial_tolerance")
             if stacked[0].size > interpolate.LISTED:
                 return interpolate.nearest_scattered(c, frame, [d for d in stacked[0].dims if d in c.dims], scales, tolerance)
@@ -446,6 +450,10 @@ class Interpolate(Node):
                     c = interpolate.nearest_irregular(c, frame(d), d, axis, **options)
         return c
 
+    def _scales(self) -> dict[str, float]:
+        keys = {"lat": "spatial_scale", "lon": "spatial_scale", "time": "time_scale", "alt": "alt_scale"}
+        return {d: self._params()[k] for d, k in keys.items() if self._params().get(k)}
+
     def _params(self) -> dict:
         given = self.attrs["interpolation"]
         items = given if isinstance(given, list) else [given]

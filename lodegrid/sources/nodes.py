@@ -43,16 +43,17 @@ class DataSource(Node):
             c = c.mapped(lambda v: F.when(v.isin(bad), None).otherwise(v))
         return tables.with_boundary(c, self.attrs["boundary"]) if self.attrs.get("boundary") else c
 
-    def missing_dims(self, request: Request, dims: tuple[str, ...]) -> list[str]:
+    def missing_dims(self, request: Request, dims: tuple[str, ...], stacked: list[str]) -> list[str]:
         own = self.get_coordinates()
-        stacks = [p.dims for p in own.parts if isinstance(p, Stack)] if own is not None else []
+        stacks = [p.dims for p in own.parts if isinstance(p, Stack)] if own is not None else [stacked] if stacked else []
         have = set(request.coords.udims)
         single = [d for d in dims if not any(d in s for s in stacks)]
         return [d for d in single if d not in have] + ["_".join(s) for s in stacks if not set(s) & have]
 
     def build(self, request: Request) -> Coverage:
         data = self.get_source_data(request.spark)
-        if missing := self.missing_dims(request, data.dims):
+        points = (data.attrs.get("stacked") or "").split("_") if data.attrs.get("stacked") else []
+        if missing := self.missing_dims(request, data.dims, points):
             raise ValueError(f"the request lacks the source's dimensions {missing}")
         own = self.get_coordinates()
         asked = request.coords
@@ -73,7 +74,8 @@ class DataSource(Node):
                 kept = own.axis(d).select(b, outer=True)
                 b = kept.bounds if kept.size else b
             elif request.neighbours:
-                loose[d] = b
+                if d not in points:
+                    loose[d] = b
                 continue
             bounds[d] = b
         return _with_neighbours(data.within(bounds), loose, request.open)
@@ -101,9 +103,10 @@ def _with_neighbours(data: Coverage, bounds: dict[str, list], open_: dict[str, s
 
 
 class Table(DataSource):
-    """A DataFrame, or a path in a format that Spark reads, seen as a coverage."""
+    """A DataFrame, or a path in a format that Spark reads, seen as a coverage: a grid of its dimensions, or points where
+    ``stacked`` names the dimensions that belong together ("lat_lon")."""
 
-    attributes = DataSource.attributes | {"table": None, "path": None, "format": "parquet", "dims": (), "data": None, "rename": None}
+    attributes = DataSource.attributes | {"table": None, "path": None, "format": "parquet", "dims": (), "data": None, "rename": None, "stacked": None}
 
     def get_data(self, spark) -> Coverage:
         if self.attrs["table"] is not None:
@@ -116,7 +119,7 @@ class Table(DataSource):
             df = df.withColumnsRenamed(self.attrs["rename"])
         data = self.attrs["data"]
         outs = [data] if isinstance(data, str) else data
-        c = Coverage.of(df, list(self.attrs["dims"]), outs)
+        c = Coverage.of(df, list(self.attrs["dims"]), outs, stacked=self.attrs["stacked"])
         return c.renamed({c.outputs[0]: "value"}) if len(c.outputs) == 1 else c
 
 

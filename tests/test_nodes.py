@@ -266,6 +266,20 @@ def test_positions_among_requested_values(spark):
         assert all(got[v] == np.searchsorted(points, v) for v in values), axis
 
 
+def test_points_of_a_table(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    lat, lon = rng.random(30) * 4, rng.random(30) * 4
+    p = tmp_path / "points.csv"
+    p.write_text("lat,lon,data\n" + "".join(f"{a},{b},{i}\n" for i, (a, b) in enumerate(zip(lat, lon, strict=True))))
+    table = Table(table=spark.createDataFrame([(float(a), float(b), float(i)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))], "lat double, lon double, value double"), dims=["lat", "lon"], data="value", stacked="lat_lon")
+    for node in (CSV(source=str(p)), table):
+        ask = Coordinates([[0.5, 3.3], [1.0, 2.5, 3.9]], dims=["lat", "lon"])
+        got = dense(node.interpolate("nearest").eval(ask, spark))
+        assert got.tolist() == [[float(np.hypot(lat - a, lon - b).argmin()) for b in (1.0, 2.5, 3.9)] for a in (0.5, 3.3)]
+        pairs = node.interpolate("nearest").eval(Coordinates([[[0.5, 3.3], [1.0, 2.5]]], dims=["lat_lon"]), spark).df.collect()
+        assert {(r.lat, r.lon): r.value for r in pairs} == {(a, b): float(np.hypot(lat - a, lon - b).argmin()) for a, b in ((0.5, 1.0), (3.3, 2.5))}
+
+
 @pytest.mark.parametrize("tolerance", [None, 0.7])
 def test_many_scattered_points(spark, monkeypatch, tolerance):
     monkeypatch.setattr(interpolate, "LISTED", 10)

@@ -258,30 +258,15 @@ def _skew_of_three(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("reduce_multi_output", f"SELECT station, round(avg(value), 7) AS value, round(avg(quantity), 7) AS quantity, round(avg(flag), 7) AS flag FROM {L} GROUP BY 1")(lambda s, d: shown(reduce.reduce(lines(s, d), "mean", ["time"]), 7))
+# groups that are empty, as the data have none; factors near 1 keep products over all rows comparable
+_FACTOR = "1 + (quantity - 25) / 1000000"
 for _fn, _sql in (("sum", "coalesce(sum(v), 0.0)"), ("mean", "avg(v)"), ("prod", "coalesce(product(v), 1.0)")):
-    _query(f"reduce_{_fn}_empty", f"SELECT station, round({_sql}, 4)::DOUBLE AS value FROM (SELECT station, CASE WHEN station % 2 = 0 THEN quantity / 25 END AS v, row_number() OVER (PARTITION BY station ORDER BY time, quantity, value) AS r FROM {L}) WHERE r <= 8 GROUP BY 1")(
+    _query(f"reduce_{_fn}_empty", f"SELECT station, round({_sql}, {_whole_places(_fn)})::DOUBLE AS value FROM (SELECT station, CASE WHEN station % 2 = 0 THEN {_FACTOR if _fn == 'prod' else 'quantity / 25'} END AS v FROM {L}) GROUP BY 1")(
         lambda s, d, fn=_fn: _empty(s, d, fn)
     )
 
 
 def _empty(s: SparkSession, d: str, fn: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("station").orderBy("time", "quantity", "value")
-    df = lines(s, d).df.withColumn("r", F.row_number().over(order)).where("r <= 8")
-    c = Coverage.of(df.select("time", "station", F.when(F.col("station") % 2 == 0, F.col("quantity") / 25).alias("value")), ["time", "station"])
-    return shown(reduce.reduce(c, fn, ["time"]))
-
-
-# the same over all rows, with groups that are empty as the data have none; factors near 1 keep products comparable
-_FACTOR = "1 + (quantity - 25) / 1000000"
-for _fn, _sql in (("sum", "coalesce(sum(v), 0.0)"), ("mean", "avg(v)"), ("prod", "coalesce(product(v), 1.0)")):
-    _query(f"reduce_{_fn}_empty_whole", f"SELECT station, round({_sql}, {_whole_places(_fn)})::DOUBLE AS value FROM (SELECT station, CASE WHEN station % 2 = 0 THEN {_FACTOR if _fn == 'prod' else 'quantity / 25'} END AS v FROM {L}) GROUP BY 1")(
-        lambda s, d, fn=_fn: _empty_whole(s, d, fn)
-    )
-
-
-def _empty_whole(s: SparkSession, d: str, fn: str) -> DataFrame:
     v = F.expr(_FACTOR) if fn == "prod" else F.col("quantity") / 25
     c = Coverage.of(lines(s, d).df.select("time", "station", F.when(F.col("station") % 2 == 0, v).alias("value")), ["time", "station"])
     return shown(reduce.reduce(c, fn, ["time"]), _whole_places(fn))

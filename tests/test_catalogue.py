@@ -61,7 +61,7 @@ def test_no_products_in_joins(spark):
 def test_empty_groups_over_all_rows(spark, duck):
     n, kept = duck.execute("SELECT count(*), count(DISTINCT l_suppkey) * 8 FROM lineitem").fetchone()
     assert n > kept, "a cap of eight rows a station would show"
-    got = {r.station: r.value for r in QUERIES["reduce_sum_empty_whole"](spark, SF).collect()}
+    got = {r.station: r.value for r in QUERIES["reduce_sum_empty"](spark, SF).collect()}
     assert sum(got.values()) == pytest.approx(duck.execute("SELECT sum(l_quantity / 25) FROM lineitem WHERE l_suppkey % 2 = 0").fetchone()[0], abs=0.01)
-    products = [r.value for q in ("reduce_prod_empty_whole", "group_month_prod") for r in QUERIES[q](spark, SF).collect()]
+    products = [r.value for q in ("reduce_prod_empty", "group_month_prod") for r in QUERIES[q](spark, SF).collect()]
     assert all(0.5 < v < 2 for v in products) and len(set(products)) > 12

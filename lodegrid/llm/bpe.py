@@ -14,6 +14,7 @@ whose size is bounded (it is a cache: chunks that it has lost are encoded again)
 
 from __future__ import annotations
 
+import functools
 import gc
 import json
 import re
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodegrid.llm.common import free_name, table, with_text
 
 #: Chunks, and pairs of tokens, that a worker remembers.
-CACHE, PAIRS = 100_000, 300_000
+CACHE, PAIRS = 200_000, 400_000
 #: Texts of these characters only are cut by the patterns below; the others go through the library's
 #: own normaliser and pre-tokeniser. Ranges in which both agree by the Unicode tables.
 _SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞]*")
@@ -51,17 +53,13 @@ class Vocabulary:
     """A tokenizer file of the word-end kind: byte-level BPE whose last symbol carries a suffix."""
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(source)
         model = spec["model"]
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.source = source
         self.suffix = model["end_of_word_suffix"]
         to_byte = {c: b for b, c in byte_alphabet().items()}
         self.to_byte = str.maketrans({c: chr(b) for c, b in to_byte.items()})
-        self.tokens: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        tokens: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         # inner tokens and closing tokens, by their bytes
@@ -79,7 +77,15 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.made = {out: (rank, pair) for pair, (rank, out) in self.merges.items()}
-        self.names = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
+        self.names = [tokens.get(i) for i in range(max(tokens) + 1)]
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, for the texts that need it."""
+        made = Tokenizer.from_str(self.source)
+        made.no_truncation()
+        made.no_padding()
+        return made
 
     def merged(self, body: bytes, closes: bool) -> list[int]:
         """Plain BPE of one word by its merge ranks; the trie asks it about single tokens only."""
@@ -402,4 +408,5 @@ def word_bpe() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids of every text of ``documents`` and of what they decode to."""
     return digest(table(spark, sf_dir, "documents"), word_bpe())

@@ -100,6 +100,7 @@ def summary(tokens: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts, counts and checksums of every document's ids, read back from the files."""
     path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, word_bpe(), end_id=2)
     return summary(read_tokens(spark, path))

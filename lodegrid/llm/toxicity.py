@@ -26,7 +26,7 @@ from lodegrid.llm.learners import BoostedTrees, Isotonic, calibrated_trees
 #: Bound of the labelled sample that is fitted, and of the lexicon (the heaviest entries stay).
 LABELLED, LEXICON = 10_000, 20_000
 #: Pieces of text whose weight a worker remembers.
-WORDS = 60_000
+WORDS = 150_000
 #: Least weight (a log ratio of document shares) of a lexicon entry, and of a strong one.
 WEAK, STRONG = math.log(3), math.log(20)
 #: Second-person words of the languages at hand, and characters that stand in for letters.
@@ -163,7 +163,9 @@ def _counts(training: DataFrame, toxic: int, wanted: dict[str, int] | None) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LABELLED, size: int = LEXICON) -> Model:
     """Fit on at most ``labelled`` labelled documents where ``split`` (of doc_id) holds, the first by a
-    hash of their id. Null ids and labels are left out; an id with two labels counts as toxic if either
+    hash of their id (of documents that repeat an id, ``2 * labelled`` rows at most), with a lexicon of the
+    ``size`` heaviest of the ``5 * size`` entries that stand in most of the sample's toxic documents: bounds of
+    the fit only, every document is scored by its whole text. Null ids and labels are left out; an id with two labels counts as toxic if either
     says so. Without toxic or without other documents every score is their share."""
     known = labels.where(split & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
@@ -215,5 +217,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is held out (its checksum is 0)."""
     out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), train(spark, sf_dir)).drop("text")
     return out.select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

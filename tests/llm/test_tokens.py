@@ -44,6 +44,12 @@ def test_round_trip(spark, library, edge_docs, no_docs):
     assert sorted(out.columns) == sorted(edge_docs.columns)
 
 
+def test_ids_outside_the_vocabulary(spark, library):
+    rows = [(1, [320, -1, 10**6, 321]), (2, None), (3, []), (4, [None, 49407])]
+    got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), bpe.word_bpe()).collect()}
+    assert got == {1: library.decode([320, 10**6, 321], skip_special_tokens=False), 2: None, 3: "", 4: "<|endoftext|>"}
+
+
 def test_token_files(spark, library, edge_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     path = shared_path(spark, "test_tokens")

@@ -495,12 +495,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = events(spark, sf_dir)
     hourly = reduce.resample(c, "1,h", "mean", spine=False)
     ends = c.df.agg(F.date_trunc("day", F.min("time")).alias("lo"), F.max("time").alias("hi"))
-    hours = ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("time"))
-    # the product of stations and hours is the dense result itself
-    dense = hourly.df.select("station").distinct().crossJoin(hours).join(hourly.df, ["station", "time"], "left")
-    filled = interpolate.fill_carried(hourly.with_df(dense), "time", reach=6 * 3600)
-    daily = filled.df.groupBy("station", F.date_trunc("day", "time").alias("time"))
-    return shown(Coverage(daily.agg(F.avg("value").alias("value"), F.count("value").cast("double").alias("hours")), ("station", "time"), ("value", "hours")), 7)
+    days = ends.where("lo is not null").select(F.explode(F.sequence("lo", F.date_trunc("day", "hi"), F.expr("interval 1 day"))).alias("time"))
+    filled = interpolate.carried_cells(hourly, "time", "1,h", 6 * 3600, ends)
+    daily = filled.df.groupBy("station", F.date_trunc("day", "time").alias("time")).agg(F.avg("value").alias("value"), F.count("value").cast("double").alias("hours"))
+    # the product of stations and days is the result itself
+    dense = c.df.select("station").distinct().crossJoin(F.broadcast(days)).join(daily, ["station", "time"], "left")
+    return shown(Coverage(dense.withColumn("hours", F.coalesce("hours", F.lit(0.0))), ("station", "time"), ("value", "hours")), 7)
 
 
 _query(

@@ -157,9 +157,9 @@ def brackets(source: DataFrame, dim: str, asked: Axis, request: DataFrame) -> Da
     x = number(F.col(dim), request, dim)
     own = request.withColumns({"__i_x": x, "__i_j": position(x, asked)})
     both = own.select("__i_j", "__i_x").distinct().join(groups, "__i_j", "full_outer")
-    order = Window.orderBy("__i_j")
-    below = F.max("most").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.when(F.col("most") == F.col("__i_x"), F.col("__i_x")).otherwise(F.min("least").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    below = F.max("most").over(Window.orderBy("__i_j").rowsBetween(Window.unboundedPreceding, 0))
+    above = F.min("least").over(Window.orderBy(F.desc("__i_j")).rowsBetween(Window.unboundedPreceding, -1))
+    above = F.when(F.col("most") == F.col("__i_x"), F.col("__i_x")).otherwise(above)
     found = both.select("__i_j", "__i_x", below.alias("__i_below"), above.alias("__i_above")).where("__i_x is not null").drop("__i_x")
     return own.join(found, "__i_j").drop("__i_j")
 
@@ -263,10 +263,8 @@ def as_of(source: Coverage, request: DataFrame, dim: str, direction: str = "prev
     if not shared:
         keys, cut = ["__range"], range_column(source.df, dim)
         merged, left = merged.withColumn("__range", cut), left.withColumn("__range", cut)
-    order = Window.partitionBy(*keys).orderBy(dim, "__side")
-    frame = order.rowsBetween(Window.unboundedPreceding, 0) if direction == "previous" else order.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last("__hit", True) if direction == "previous" else F.first("__hit", True)
-    merged = merged.withColumn("__found", pick.over(frame)).where(F.col("__side") == (1 if direction == "previous" else 0))
+    order = Window.partitionBy(*keys).orderBy(*((dim, "__side") if direction == "previous" else (F.desc(dim), F.desc("__side"))))
+    merged = merged.withColumn("__found", F.last("__hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__side") == (1 if direction == "previous" else 0))
     if not shared:
         merged = _from_other_ranges(merged, left.where("__hit is not null"), direction)
     hit = F.col("__found")
@@ -282,8 +280,8 @@ def _from_other_ranges(rows: DataFrame, cells: DataFrame, direction: str) -> Dat
     __hit of ``cells`` in the ranges before (after) it. One row a range is carried along the ranges."""
     ends = cells.groupBy("__range").agg((F.max if direction == "previous" else F.min)("__hit").alias("__end"))
     ranges = rows.select("__range").distinct().join(ends, "__range", "full_outer")
-    order = Window.orderBy("__range")
-    far = F.last("__end", True).over(order.rowsBetween(Window.unboundedPreceding, -1)) if direction == "previous" else F.first("__end", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    order = Window.orderBy("__range" if direction == "previous" else F.desc("__range"))
+    far = F.last("__end", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.join(ranges.select("__range", far.alias("__far")), "__range", "left").withColumn("__found", F.coalesce("__found", "__far")).drop("__far", "__range")
 
 
@@ -458,17 +456,17 @@ def first_needed(request: DataFrame, dim: str, axis: UniformAxis) -> int:
 
 def _around(c: Coverage, dim: str) -> DataFrame:
     """The cells with, for each output o, the last known one at or before (__a_o) and the first known one at or after
-    (__b_o), as structs of x (the dimension as a number) and v."""
+    (__b_o), as structs of x (the dimension as a number) and v. Either is carried along an order of its own, as Spark
+    goes over the rest of a group anew for each row of a frame that ends with the group."""
     others = [d for d in c.dims if d != dim]
     df = c.df if others else c.df.withColumn("__range", range_column(c.df, dim))
     keys = others or ["__range"]
-    order = Window.partitionBy(*keys).orderBy(dim)
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(dim), F.desc(dim)))
     x = number(F.col(dim), c.df, dim)
     known = {o: F.when(F.col(o).isNotNull(), F.struct(x.alias("x"), F.col(o).alias("v"))) for o in c.outputs}
     out = df
     for o, k in known.items():
-        out = out.withColumn(f"__a_{o}", F.last(k, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        out = out.withColumn(f"__b_{o}", F.first(k, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+        out = out.withColumns({f"__a_{o}": F.last(k, True).over(up), f"__b_{o}": F.last(k, True).over(down)})
     if others:
         return out
     for o, k in known.items():
@@ -492,7 +490,7 @@ def fill_missing(c: Coverage, dim: str) -> Coverage:
 
 def fill_carried(c: Coverage, dim: str, reach: float) -> Coverage:
     """Fill missing cells along a dimension from the last known cell within ``reach`` (seconds for time), or else from
-    the next one within it: one sort for both."""
+    the next one within it."""
     x = number(F.col(dim), c.df, dim)
     far = reach * (1e6 if isinstance(c.df.schema[dim].dataType, T.TimestampType) else 1.0)
 
@@ -503,6 +501,25 @@ def fill_carried(c: Coverage, dim: str, reach: float) -> Coverage:
     return c.with_df(_around(c, dim).select(*c.dims, *(filled(o).alias(o) for o in c.outputs)))
 
 
+def carried_cells(c: Coverage, dim: str, step: str, reach: float, ends: DataFrame) -> Coverage:
+    """The known cells of a time axis of step "n,U" (days and shorter) and the missing ones that ``fill_carried`` would fill
+    between the times lo and hi of ``ends`` (one row): each known cell is repeated over its neighbours within ``reach``
+    seconds. Only known cells are sorted, so the work follows them and not the length of the axis."""
+    if len(c.outputs) != 1:
+        raise ValueError("one output at a time, as each has known cells of its own")
+    width, others = tu.micros(tu.step(step)), [d for d in c.dims if d != dim]
+    most, none = (F.lit(n).cast("long") for n in (int(reach * 1e6 // width), 0))
+    steps = lambda a, b: F.call_function("div", F.unix_micros(b) - F.unix_micros(a), F.lit(width).cast("long"))
+    order = Window.partitionBy(*others).orderBy(dim)
+    known = c.df.where(F.col(c.outputs[0]).isNotNull())
+    known = known.withColumns({"__p": F.lag(dim).over(order), "__n": F.lead(dim).over(order)}).crossJoin(F.broadcast(ends))
+    # cells in reach of the one before are that one's
+    back = F.greatest(none, F.least(most, F.coalesce(steps("__p", dim) - 1 - most, steps("lo", dim))))
+    forth = F.least(most, F.coalesce(steps(dim, "__n") - 1, steps(dim, "hi")))
+    spread = known.select(*others, F.col(dim).alias("__at"), *c.outputs, F.explode(F.sequence(-back, forth)).alias("__i"))
+    return c.with_df(spread.select(*others, F.timestamp_micros(F.unix_micros("__at") + F.col("__i") * width).alias(dim), *c.outputs), dims=[*others, dim])
+
+
 QUANTILES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
 
 

@@ -1,4 +1,6 @@
 import math
+import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -80,6 +82,32 @@ def test_gaps(spark):
     assert [r.value for r in interpolate.fill_missing(c, "lat").df.orderBy("lat").collect()] == [None, 2, 4, 8]
 
 
+def test_no_frame_goes_over_the_rest_of_a_group(spark):
+    rows = [(float(v), float(k), None if v % 4 else v * 10.0) for v in range(40) for k in (1, 2)]
+    c = Coverage(spark.createDataFrame(rows, "lat double, lon double, value double"), ("lat", "lon"))
+    line, ask = c.with_df(c.df.where("lon = 1").drop("lon"), dims=["lat"]), Axis([-1, 2.5, 8, 50], "lat")
+    made = [interpolate.fill_missing(c, "lat"), interpolate.fill_missing(line, "lat"), interpolate.fill_carried(c, "lat", 1.0), interpolate.as_of(line, ask.frame(spark), "lat", "next"), interpolate.nearest_sorted(line, ask.frame(spark), "lat", ask)]
+    for m in made:
+        assert "unboundedfollowing" not in m.df._jdf.queryExecution().toString().lower()
+    assert {r.lat: r.value for r in made[3].df.collect()} == {-1: 0, 2.5: 40, 8: 80, 50: None}
+    got = {(r.lat, r.lon): r.value for r in made[2].df.collect()}
+    assert got == {(v, k): (None if v % 4 == 2 else v // 4 * 40.0 if v % 4 < 2 else (v + 1) * 10.0 if v < 39 else None) for v, k, _ in rows}
+
+
+@pytest.mark.parametrize("reach", [0, 1, 2, 6, 40])
+def test_carried_cells_are_the_filled_ones(spark, reach):
+    rng = random.Random(reach)
+    start = datetime(2024, 1, 1)
+    cells = [(k, start + timedelta(hours=h), rng.choice([None, float(h)])) for k in range(12) for h in range(72) if rng.random() < (k + 1) / 12 * 0.5]
+    c = Coverage(spark.createDataFrame(cells, "station long, time timestamp, value double"), ("station", "time"))
+    ends = spark.createDataFrame([(start, start + timedelta(hours=71, minutes=59))], "lo timestamp, hi timestamp")
+    every = ends.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("time"))
+    dense = c.with_df(spark.range(12).toDF("station").crossJoin(every).join(c.df, ["station", "time"], "left"))
+    want = {(r.station, r.time): r.value for r in interpolate.fill_carried(dense, "time", reach * 3600).df.collect() if r.value is not None}
+    got = interpolate.carried_cells(c, "time", "1,h", reach * 3600, ends).df.collect()
+    assert want and len(got) == len(want) and {(r.station, r.time): r.value for r in got} == want
+
+
 def test_convolution_forms_agree(spark):
     axis = UniformAxis(0, 9, size=10, name="lat")
     c = Coverage(axis.frame(spark).select("lat", (F.col("lat") ** 2).alias("value")), ("lat",))

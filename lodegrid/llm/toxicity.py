@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegrid.llm.common import crc32_of_id, cut, fields, free_name, table, tidied, with_text
 from lodegrid.llm.learners import BoostedTrees, Isotonic, calibrated_trees
@@ -166,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LAB
     hash of their id (of documents that repeat an id, ``2 * labelled`` rows at most), with a lexicon of the
     ``size`` heaviest of the ``5 * size`` entries that stand in most of the sample's toxic documents: bounds of
     the fit only, every document is scored by its whole text. Null ids and labels are left out; an id with two labels counts as toxic if either
-    says so. Without toxic or without other documents every score is their share."""
-    known = labels.where(split & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    says so. Without toxic or without other documents every score is their share. Ids keep the types that the tables give them."""
+    known = labels.where(split & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = [tuple(r) for r in some.collect()]  # ``labelled`` pairs of numbers at most
-    picked = docs.sparkSession.createDataFrame(rows, fields("doc_id long", "toxic int"))
+    rows = [tuple(r) for r in some.collect()]  # ``labelled`` pairs of an id and a number at most
+    picked = docs.sparkSession.createDataFrame(rows, some.schema)
     training = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     toxic = sum(t == 1 for _, t in rows)
     other = len(rows) - toxic
@@ -183,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LAB
     lexicon = Lexicon({e: (n, rest.get(e, 0)) for e, n in wanted.items()}, toxic, other)
     kept = sorted(lexicon.counts, key=lambda e: (-lexicon.weight(e, -1), e))[:size]
     lexicon.counts = {e: lexicon.counts[e] for e in kept if lexicon.weight(e, -1) >= WEAK - 0.3}
-    schema = fields("doc_id long", "toxic int", "x array<double>")
+    training = training.select("doc_id", "text", "toxic")
+    order = [F.length("doc_id")] if isinstance(training.schema["doc_id"].dataType, T.StringType) else []  # numerals as their numbers
+    schema = T.StructType([training.schema["doc_id"], *fields("toxic int", "x array<double>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -191,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, split: F.Column, labelled: int = LAB
                 x = [features(t, lexicon, y) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=schema.names)
 
-    made = training.select("doc_id", "text", "toxic").mapInArrow(tidied(run), schema).orderBy("doc_id", "x").limit(2 * labelled).collect()
+    made = training.mapInArrow(tidied(run), schema).orderBy(*order, "doc_id", "x").limit(2 * labelled).collect()
     x, y = np.array([r.x for r in made]), np.array([float(r.toxic) for r in made])
     lexicon.words.clear()
     return Model(lexicon, *calibrated_trees(x, y), toxic / len(rows)) if len(made) else Model(None, None, None, toxic / len(rows))

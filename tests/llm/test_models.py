@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodegrid.llm import learners, quality_classifier, toxicity
 from lodegrid.llm.common import crc32_of_id
@@ -41,6 +42,17 @@ def test_null_ids_have_a_side(spark):
         assert rows[0].held is null and rows[1].held is not None
 
 
+@pytest.mark.parametrize(("ids", "label_ids", "label"), [("int", "long", "int"), ("int", "int", "long"), ("decimal(20,0)", "decimal(20,0)", "int"), ("string", "string", "int"), ("long", "long", "boolean"), ("long", "long", "double")])
+def test_toxicity_takes_ids_and_labels_of_other_types(spark, ids, label_ids, label):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    other = docs.withColumn("doc_id", docs.doc_id.cast(ids))
+    model = toxicity.fit(other, labels.withColumns({"doc_id": labels.doc_id.cast(label_ids), "toxic": labels.toxic.cast(label)}), crc32_of_id() % 5 != 0)
+    kept = toxicity.keep_clean(other, model)
+    assert kept.schema == other.schema
+    want = toxicity.keep_clean(docs, toxicity.train(spark, "/root/testdata/sf0.001"))
+    assert model.trees is not None and sorted(int(r.doc_id) for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
